@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, pieces, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,39 @@ FROM docs WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from those not held out; see language_id.language_id."""
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again; see pieces.digests."""
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load())
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; see quality.quality."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; see toxicity.toxicity."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component; see simhash.near_dedup."""
+    rows = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_pieces": op6_pieces,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_simhash": op9_simhash,
+}
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL}
