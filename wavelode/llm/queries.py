@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, pieces, quality, simhash, toxicity
+from . import embedding_dedup, exact_dedup, language_id, mixing, pieces, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ FROM docs WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component; see embedding_dedup.near_vectors."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those not held out; see language_id.language_id."""
     return language_id.language_id(table(spark, sf_dir, "documents"))
@@ -91,6 +96,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pieces": op6_pieces,
