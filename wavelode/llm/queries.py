@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, mixing, pieces, quality, simhash, toxicity
+from . import embedding_dedup, exact_dedup, html_extraction, language_id, mixing, pieces, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; see html_extraction.extract."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -103,5 +108,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL}
