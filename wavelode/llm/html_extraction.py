@@ -41,6 +41,8 @@ CLOSES_P = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot body html div section article main aside nav select".split())
 NAMED = ("class", "id", "role", "itemprop", "aria-label")
+#: Shortens a page's article to about its first paragraph: short articles are rare in a sample.
+BRIEF = re.compile(r"(<article\b.*?<p[ >].{0,300}?)<p[ >].*(?=</article>)", re.S | re.I)
 NUMBERS, TRUTH = 18, "data-truth"
 
 
@@ -301,7 +303,8 @@ def relaid(page: Page, rng: random.Random, others: list[str]) -> str:
 
     advert = lambda: box(rng.choice(ADVERT), rng.choice([short(), prose()[:120], f"<p>{prose()[:160]}</p>"]))
     body = []
-    for k, text in enumerate(paragraphs.values()):
+    few = rng.randint(1, 2) if rng.random() < 0.2 else len(paragraphs)
+    for k, text in enumerate(list(paragraphs.values())[:few]):
         text = esc(text)
         if k == 0 and len(text) < 120 and rng.random() < 0.7:
             body.append(f"<h1>{text}</h1>")
@@ -358,13 +361,14 @@ def targets(page: Page) -> np.ndarray:
     return keep
 
 
-def fit(sources: list[str], layouts: int = 3, trees: int = 40, depth: int = 4, rate: float = 0.3, tokens: int = 80) -> Trees:
+def fit(sources: list[str], layouts: int = 3, trees: int = 50, depth: int = 4, rate: float = 0.3, tokens: int = 80) -> Trees:
     """Trees from a list of pages. Pages without an article teach nothing; without any page that has
     one, the trees learn from layouts of a built-in line, so that every table has a result."""
     rng = random.Random(17)
     known = [p for p in map(as_is, sources) if p] or [as_is("<body><nav><a href=x>Menu</a></nav><article><h1>A title.</h1><p>Some words, and more words.</p></article><footer>End.</footer>")]
     others = [p[2].strip() for page in known for p in page.pieces if page.truth[p[0]] and p[2].strip()]
-    pages = known + [Page(relaid(page, rng, others)) for page in known for _ in range(layouts)]
+    brief = [p for p in (as_is(BRIEF.sub(r"\1", s)) for s in sources[::2]) if p]
+    pages = known + brief + [Page(relaid(page, rng, others)) for page in known for _ in range(layouts)]
     counts = Counter(t for p in pages for ts in p.tokens for t in set(ts))
     numbers = np.concatenate([p.features() for p in pages])
     edges = [np.unique(np.quantile(numbers[:, k], np.linspace(0, 1, 33)[1:-1])) for k in range(NUMBERS)]
