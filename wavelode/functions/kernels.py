@@ -131,34 +131,6 @@ def dft_values(w: Column, width: int, length: int, sigma: Column, skip: int = 0)
     return out
 
 
-def acf(df: DataFrame, n: int, max_lag: int, x: str = "x") -> DataFrame:
-    """acf: array of the autocorrelations at lags 1..max_lag of series of length n.
-
-    At a lag the parts x[0..n-lag) and x[lag..n) have means and variances of their own; where the
-    correlation is undefined or beyond 1 it is 0. One pass per lag adds up all five sums.
-    """
-
-    def at(lag: Column) -> Column:
-        m = F.lit(n) - lag
-        sums = F.struct(*[zero().alias(c) for c in ("a", "b", "aa", "bb", "ab")])
-
-        def add(s: Column, i: Column) -> Column:
-            u, v = F.get(x, i), F.get(x, i + lag)
-            return F.struct(
-                (s["a"] + u).alias("a"), (s["b"] + v).alias("b"), (s["aa"] + u * u).alias("aa"), (s["bb"] + v * v).alias("bb"), (s["ab"] + u * v).alias("ab")
-            )
-
-        def finish(s: Column) -> Column:
-            ma, mb = s["a"] / m, s["b"] / m
-            va, vb = s["aa"] / m - ma * ma, s["bb"] / m - mb * mb
-            r = F.when((va > 1e-12) & (vb > 1e-12), (s["ab"] / m - ma * mb) / F.sqrt(va * vb))
-            return F.when(r.isNull() | F.isnan(r) | (F.abs(r) > 1), 0.0).otherwise(r)
-
-        return F.when(m <= 0, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), sums, add, finish))
-
-    return df.withColumn("acf", F.transform(F.sequence(F.lit(1), F.lit(max_lag)), at))
-
-
 def power(x: Column, n: int, k: int) -> Column:
     """|DFT_k|^2 of a real series of length n."""
     angles = [2 * math.pi * ((k * j) % n) / n for j in range(n)]

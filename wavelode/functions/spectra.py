@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels as K
 
 
 def _by_length(x: pd.Series, work) -> pd.Series:
@@ -22,35 +21,53 @@ def _by_length(x: pd.Series, work) -> pd.Series:
     return out
 
 
-@F.pandas_udf("array<double>")
-def power_spectrum(x: pd.Series) -> pd.Series:
-    """|DFT_k|^2, k = 0 .. n/2."""
-    return _by_length(x, lambda a: np.abs(np.fft.rfft(a)) ** 2)
+def _packed(a: np.ndarray) -> np.ndarray:
+    n = a.shape[1]
+    even = np.pad(a, ((0, 0), (0, n % 2)))
+    return np.fft.fft(even[:, ::2] + 1j * even[:, 1::2], n)
 
 
-@F.pandas_udf("array<double>")
-def power_spectrum_packed(x: pd.Series) -> pd.Series:
-    """|DFT_k|^2, k = 0 .. n-1, of z_j = x_2j + i x_2j+1 followed by zeros."""
+def _array_udf(work):
+    """A kernel on stacks of equally long rows as an Arrow UDF of one array column."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return _by_length(x, work)
 
-    def work(a: np.ndarray) -> np.ndarray:
-        n = a.shape[1]
-        even = np.pad(a, ((0, 0), (0, n % 2)))
-        return np.abs(np.fft.fft(even[:, ::2] + 1j * even[:, 1::2], n)) ** 2
+    return F.pandas_udf(run, "array<double>")
 
-    return _by_length(x, work)
+
+def power_spectrum(x: str) -> Column:
+    """|DFT_k|^2, k = 0 .. n/2."""
+    return _array_udf(lambda a: np.abs(np.fft.rfft(a)) ** 2)(x)
 
 
-@F.pandas_udf("array<double>")
-def dft_raw(x: pd.Series) -> pd.Series:
+def power_spectrum_packed(x: str) -> Column:
+    """|DFT_k|^2, k = 0 .. n-1, of z_j = x_2j + i x_2j+1 followed by zeros."""
+    return _array_udf(lambda a: np.abs(_packed(a)) ** 2)(x)
+
+
+def dft_raw(x: str) -> Column:
     """Re and Im in turn of the packed transform."""
+    return _array_udf(lambda a: np.stack([_packed(a).real, _packed(a).imag], 2).reshape(len(a), -1))(x)
+
+
+def autocorrelations(a: np.ndarray, most: int) -> np.ndarray:
+    """Of rows of values, at lags 1..most: the correlation of x[0..n-lag) with x[lag..n), each with a mean
+    and variance of its own; 0 where that is undefined or beyond 1."""
+    n, out = a.shape[1], np.zeros((len(a), most))
+    for lag in range(1, min(most, n - 1) + 1):
+        u, v = a[:, : n - lag], a[:, lag:]
+        mu, mv = u.mean(1), v.mean(1)
+        vu, vv = (u * u).mean(1) - mu * mu, (v * v).mean(1) - mv * mv
+        ok = (vu > 1e-12) & (vv > 1e-12)
+        r = ((u * v).mean(1) - mu * mv) / np.sqrt(np.where(ok, vu * vv, 1))
+        out[:, lag - 1] = np.where(ok & (np.abs(r) <= 1), r, 0)
+    return out
 
-    def work(a: np.ndarray) -> np.ndarray:
-        n = a.shape[1]
-        even = np.pad(a, ((0, 0), (0, n % 2)))
-        z = np.fft.fft(even[:, ::2] + 1j * even[:, 1::2], n)
-        return np.stack([z.real, z.imag], 2).reshape(len(a), -1)
 
-    return _by_length(x, work)
+def acf(df: DataFrame, most: int, x: str = "x") -> DataFrame:
+    """df with acf: array of autocorrelations at lags 1..most."""
+    return df.withColumn("acf", _array_udf(lambda a: autocorrelations(a, most))(x))
 
 
 def durbin_levinson(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,27 +86,26 @@ def durbin_levinson(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pacf, phi
 
 
-@F.pandas_udf("array<double>")
-def pacf(r: pd.Series) -> pd.Series:
-    return _by_length(r, lambda a: durbin_levinson(a)[0])
+def pacf(r: str) -> Column:
+    return _array_udf(lambda a: durbin_levinson(a)[0])(r)
+
+
+def ar_coefficients(r: str) -> Column:
+    return _array_udf(lambda a: durbin_levinson(a)[1])(r)
 
 
-@F.pandas_udf("array<double>")
-def ar_coefficients(r: pd.Series) -> pd.Series:
-    return _by_length(r, lambda a: durbin_levinson(a)[1])
+def orders(a: np.ndarray, n: int) -> np.ndarray:
+    """For rows of autocorrelations of n values, the order before the first rise of n ln(variance) + 2 order."""
+    partial, _ = durbin_levinson(a)
+    variance = np.maximum(np.cumprod(1 - partial**2, 1), 1e-300)
+    score = n * np.log(variance) + 2 * np.arange(1, a.shape[1] + 1)
+    rises = np.diff(score, axis=1) > 0
+    return np.where(rises.any(1), rises.argmax(1) + 1, a.shape[1])
 
 
-@F.pandas_udf("int")
-def best_order(r: pd.Series, n: pd.Series) -> pd.Series:
-    """The order before the first rise of n ln(variance) + 2 order."""
-    out = []
-    for row, size in zip(r, n, strict=True):
-        partial, _ = durbin_levinson(np.asarray(row, float)[None])
-        variance = np.maximum(np.cumprod(1 - partial[0] ** 2), 1e-300)
-        score = size * np.log(variance) + 2 * np.arange(1, len(variance) + 1)
-        rises = np.flatnonzero(np.diff(score) > 0)
-        out.append(int(rises[0] + 1 if len(rises) else len(score)))
-    return pd.Series(out)
+def best_order(r: str, n: int) -> Column:
+    """orders() of an array column, as an array of one."""
+    return _array_udf(lambda a: orders(a, n)[:, None].astype(float))(r)
 
 
 def max_lag(n: int) -> int:
@@ -107,7 +123,7 @@ FILTERS = {
 def filtered(series: DataFrame, n: int, kind: str) -> DataFrame:
     """x of length n replaced by array column f: the filter's parts one after another."""
     parts = FILTERS[kind]
-    rows = K.acf(series, n, max_lag(n)) if {"acf", "pacf", "ar"} & set(parts) else series
+    rows = acf(series, max_lag(n)) if {"acf", "pacf", "ar"} & set(parts) else series
     made: dict[str, Column] = {
         "acf": F.col("acf") if "acf" in rows.columns else F.lit(None), "pacf": pacf("acf"), "ar": ar_coefficients("acf"),
         "ps": power_spectrum_packed("x"), "plain": power_spectrum("x"), "dft": dft_raw("x"),

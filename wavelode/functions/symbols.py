@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from . import kernels as K
 
 LETTERS = "abcdefghijklmnopqrst"
@@ -91,8 +92,7 @@ def _beyond(need: Column, last: Column | None):
 def equi_depth_bins(histogram: DataFrame, alphabet: int = 4) -> DataFrame:
     """(coef, cuts): each cut is the smallest value above the last cut that has more than
     ceil(depth * its number) values up to it; cuts that no value reaches are the largest double."""
-    from pyspark.sql import Window
-
+    histogram = stored(histogram, "histogram")
     upto = F.sum("n").over(Window.partitionBy("coef").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("n").over(Window.partitionBy("coef"))
     runs = histogram.withColumn("upto", upto).withColumn("total", whole)
@@ -133,7 +133,7 @@ def bag(words: DataFrame) -> DataFrame:
 
 def tfidf(words: DataFrame) -> DataFrame:
     """(label, word, tfidf): ln(1 + tf) * ln(classes / classes with the word)."""
-    tf = words.groupBy("label", "word").agg(F.count("*").alias("tf"))
+    tf = stored(words.groupBy("label", "word").agg(F.count("*").alias("tf")), "tf")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     classes = tf.select("label").distinct().agg(F.count("*").alias("classes"))
     weight = F.log(1 + F.col("tf")) * F.log(F.col("classes") / F.col("df"))

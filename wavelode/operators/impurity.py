@@ -40,33 +40,28 @@ def gain(p_right: Column, n_right: Column, p: Column, n: Column) -> Column:
     return entropy(p, n) - n_right / n * entropy(p_right, n_right) - left_n / n * entropy(left_p, left_n)
 
 
-def best_thresholds(values: DataFrame, keys: list[str], own: Column | None = None, decimals: int = 9) -> DataFrame:
-    """(keys, label, gain, threshold, n_class, n_class_far): the threshold of the largest gain for each class of keys' rows.
+def best_thresholds(values: DataFrame, keys: list[str], own: Column, decimals: int = 9) -> DataFrame:
+    """(keys, gain, threshold, n_class, n_class_far): the threshold that tells most of a class.
 
-    values: keys, value, label. Every distinct value is a candidate; value >= threshold is the far side.
-    The smallest threshold of those with the largest gain (to `decimals`) wins; without any gain the
-    threshold is 0. own: a condition on (keys, label) that limits the classes. Counts are kept per
-    distinct value, so the window holds as many rows of keys as there are values and classes.
+    values: keys and value; own says whether a row is of the class. Every distinct value is a candidate;
+    value >= threshold is the far side. The smallest threshold of those with the largest gain (to
+    `decimals`) wins; without any gain the threshold is 0. Rows are counted per distinct value before
+    the window, which so holds no more of a key than it has values.
     """
-    counts = values.groupBy(*keys, "value", "label").agg(F.count("*").alias("c"))
-    at = counts.groupBy(*keys, "value").agg(F.sum("c").alias("here"), F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("by"))
-    line = Window.partitionBy(*keys).orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    classes = counts.groupBy(*keys, "label").agg(F.sum("c").alias("p"))
-    if own is not None:
-        classes = classes.where(own)
-    sized = classes.join(counts.groupBy(*keys).agg(F.sum("c").alias("n")), keys)
-    far = at.withColumn("n_far", F.sum("here").over(line))
-    rows = far.join(sized, keys).withColumn("c", F.coalesce(F.try_element_at("by", "label"), F.lit(0)))
-    mine = Window.partitionBy(*keys, "label").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("p_far", F.sum("c").over(mine))
+    at = values.groupBy(*keys, "value").agg(F.count("*").alias("here"), F.count_if(own).alias("c"))
+    whole = Window.partitionBy(*keys)
+    line = whole.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = at.select(
+        *keys, "value", F.sum("here").over(line).alias("n_far"), F.sum("c").over(line).alias("p_far"),
+        F.sum("here").over(whole).alias("n"), F.sum("c").over(whole).alias("p"),
+    )
     rows = rows.withColumn("gain", F.round(gain(F.col("p_far"), F.col("n_far"), F.col("p"), F.col("n")), decimals))
     best = F.max_by(F.struct("value", "p_far"), F.struct("gain", -F.col("value")))
-    out = rows.groupBy(*keys, "label").agg(F.max("gain").alias("gain"), best.alias("b"), F.first("p").alias("n_class"))
+    out = rows.groupBy(*keys).agg(F.max("gain").alias("gain"), best.alias("b"), F.first("p").alias("n_class"))
     some = F.col("gain") > 0
     return out.select(
-        *keys, "label", F.when(some, F.col("gain")).otherwise(0.0).alias("gain"),
-        F.when(some, F.col("b.value")).otherwise(0.0).alias("threshold"), "n_class",
-        F.when(some, F.col("b.p_far")).otherwise(F.col("n_class")).alias("n_class_far"),
+        *keys, F.when(some, F.col("gain")).otherwise(0.0).alias("gain"), F.when(some, F.col("b.value")).otherwise(0.0).alias("threshold"),
+        "n_class", F.when(some, F.col("b.p_far")).otherwise(F.col("n_class")).alias("n_class_far"),
     )
 
 

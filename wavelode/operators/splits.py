@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import spectra
+from ..sources.storage import stored
 from . import impurity
 
 
@@ -22,7 +23,7 @@ def gini_splits(values: DataFrame, keys: list[str]) -> DataFrame:
     threshold against the rest; thresholds halfway between neighbouring values, the smallest of equally
     good ones. An attribute with one value has no row."""
     by = [*keys, "attribute"]
-    counts = values.groupBy(*by, "value", "label").agg(F.count("*").alias("c"))
+    counts = stored(values.groupBy(*by, "value", "label").agg(F.count("*").alias("c")), "value-counts")
     points = counts.groupBy(*by, "value").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("m"))
     nxt = F.lead("value").over(Window.partitionBy(*by).orderBy("value"))
     classes = counts.groupBy(*by, "label").agg(F.sum("c").alias("all"))

@@ -44,11 +44,9 @@ def min_distances(words: DataFrame, queries: DataFrame, length: int, keys: list[
 def scored_words(distances: DataFrame, keys: list[str]) -> DataFrame:
     """(keys with label, gain, threshold, valid): each query word's best threshold for its own class,
     and whether at least as many rows of the class lie below it as above (then it is usable)."""
-    rows = distances.select(*[F.col(k).alias("for" if k == "label" else k) for k in keys], F.col("series_label").alias("label"), "value")
-    own = ["for" if k == "label" else k for k in keys]
-    best = impurity.best_thresholds(rows, own, own=F.col("label") == F.col("for"))
+    best = impurity.best_thresholds(distances, keys, F.col("series_label") == F.col("label"))
     valid = (F.col("gain") > 0) & (F.col("n_class_far") * 2 <= F.col("n_class"))
-    return best.withColumn("valid", valid).drop("for", "n_class", "n_class_far")
+    return best.withColumn("valid", valid).drop("n_class", "n_class_far")
 
 
 def best_words(scored: DataFrame, keys: list[str], top: int = 1) -> DataFrame:

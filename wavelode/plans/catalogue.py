@@ -100,13 +100,13 @@ def sax_mindist(spark, sf):
 
 
 def acf(spark, sf):
-    rows = K.acf(data(spark, sf), 64, 16)
+    rows = spectra.acf(data(spark, sf), 16)
     return rows.select("series_id", F.posexplode("acf").alias("i", "v")).select("series_id", (F.col("i") + 1).alias("lag"), K.r6(F.col("v")).alias("r"))
 
 
 def acf_interval(spark, sf):
     rows = data(spark, sf).withColumn("x", K.subsequence(F.col("x"), 8, 40))
-    rows = K.acf(rows, 32, 8)
+    rows = spectra.acf(rows, 8)
     return rows.select("series_id", F.posexplode("acf").alias("i", "v")).select("series_id", (F.col("i") + 1).alias("lag"), K.r6(F.col("v")).alias("r"))
 
 
@@ -126,7 +126,7 @@ def dft_window_coeffs(spark, sf):
 
 
 def _recursion(spark, sf, kind):
-    rows = K.acf(data(spark, sf), 64, 12).select("series_id", F.posexplode(kind("acf")).alias("i", "v"))
+    rows = spectra.acf(data(spark, sf), 12).select("series_id", F.posexplode(kind("acf")).alias("i", "v"))
     return rows.select("series_id", (F.col("i") + 1).alias("lag"), K.r6(F.col("v")).alias("v"))
 
 
@@ -139,8 +139,8 @@ def ar_coefs(spark, sf):
 
 
 def ar_order(spark, sf):
-    rows = K.acf(data(spark, sf), 64, 12)
-    return rows.select("series_id", spectra.best_order("acf", F.lit(64)).alias("p"))
+    rows = spectra.acf(data(spark, sf), 12)
+    return rows.select("series_id", F.explode(spectra.best_order("acf", 64)).alias("v")).select("series_id", F.col("v").cast("int").alias("p"))
 
 
 def tsf_interval_stats(spark, sf):
@@ -273,7 +273,7 @@ def rise_candidate(spark, sf):
     rows = splits.attributes(splits.interval_filter(train(spark, sf), 8, 56, "ACF"), "f", [])
     best = splits.gini_splits(rows, [])
     out = splits.labelled_by_gain(rows, best, ["attribute"])
-    return out.select("attribute", K.r6(F.col("threshold")).alias("threshold"), "label", K.r6(F.col("gain")).alias("gain"), "sign")
+    return out.select("attribute", (F.round("threshold", 7) + 0.0).alias("threshold"), "label", K.r6(F.col("gain")).alias("gain"), "sign")
 
 
 def majority_class(spark, sf):
@@ -461,7 +461,7 @@ def daily_event_series(spark, sf):
 
 def monthly_revenue_series(spark, sf):
     rows = S.monthly_revenue(spark, sf)
-    return rows.select("l_suppkey", F.posexplode("x").alias("month", "v")).select("l_suppkey", "month", F.round("v", 2).alias("v"))
+    return rows.select("l_suppkey", F.posexplode("x").alias("month", "v")).select("l_suppkey", "month", F.round("v", 4).alias("v"))
 
 
 def streamed_daily_sums(spark, sf):

@@ -23,9 +23,8 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavelode-")
     out = f"{base.rstrip('/')}/daily-{uuid.uuid4().hex}"
-    # A file's folder, with the file's name as filter: file streams list folders.
-    folder, name = path.rsplit("/", 1)
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}")
+    # A pattern, since the table may be a file or a folder.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     sums = daily_stream(events)
 
     def write(rows: DataFrame, number: int) -> None:
