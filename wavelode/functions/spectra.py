@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 def _by_length(x: pd.Series, work) -> pd.Series:
     """work on stacks of equally long rows; null and empty series give null."""
-    out, lens = pd.Series([None] * len(x), dtype=object), x.map(lambda v: 0 if v is None else len(v))
-    for n in lens.unique():
+    lens = np.array([0 if v is None else len(v) for v in x], int)
+    out: list = [None] * len(x)
+    for n in np.unique(lens):
         if n:
             at = np.flatnonzero(lens == n)
             for i, row in zip(at, work(np.stack([np.asarray(x.iloc[k], float) for k in at])), strict=True):
                 out[i] = row
-    return out
+    return pd.Series(out, dtype=object)
 
 
 def _packed(a: np.ndarray) -> np.ndarray:

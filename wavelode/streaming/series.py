@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def daily_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
@@ -31,6 +32,6 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.withColumn("b", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     sums.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    rows = spark.read.schema(sums.schema.add("b", "int")).parquet(f"{out}/rows")
+    rows = spark.read.schema(T.StructType([*sums.schema.fields, T.StructField("b", T.IntegerType())])).parquet(f"{out}/rows")
     last = rows.groupBy("user_id", "day").agg(F.max_by(F.struct("v", "n"), "b").alias("s"))
     return last.select("user_id", "day", F.round("s.v", 4).alias("v"), F.col("s.n").alias("n"))
