@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)",
@@ -407,7 +409,8 @@ def extract(pages: DataFrame, sample: int = 150, longest: int = 30_000) -> DataF
     those of at most `longest` characters; every page is extracted.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    chosen = rows.where(F.length("html").between(1, longest)).select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
+    short = rows.where(F.length("html").between(1, longest)).select("html")
+    chosen = smallest(short, F.xxhash64("html"), sample, "html")
     shared = pages.sparkSession.sparkContext.broadcast(fit([r.html for r in chosen.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
