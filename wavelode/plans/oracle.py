@@ -180,6 +180,9 @@ SQL = {
     "sax_bag": f"WITH {S}, {SAX} SELECT series_id, word, count(*) AS n FROM words GROUP BY ALL",
     "sax_first_position": f'WITH {S}, {SAX} SELECT series_id, word, min("offset")::INTEGER AS "offset" FROM words GROUP BY ALL',
     "sax_tfidf": f"WITH {S}, {SAX}, tf AS (SELECT label, word, count(*) AS tf FROM words GROUP BY ALL) SELECT label, word, {r6('ln(1 + tf) * ln((SELECT count(DISTINCT label) FROM tf) / (count(*) OVER (PARTITION BY word))::DOUBLE)')} AS tfidf FROM tf",
+    "sax_mindist": f"""WITH {S}, {SAX}, e AS (SELECT series_id, min_by(word, "offset") AS a, max_by(word, "offset") AS b FROM words GROUP BY 1),
+g AS (SELECT series_id, ascii(substr(a, i + 1, 1)) - 97 AS p, ascii(substr(b, i + 1, 1)) - 97 AS q FROM (SELECT *, unnest(range(8)) AS i FROM e))
+SELECT series_id, {r6('sqrt(sum(CASE WHEN abs(p - q) <= 1 THEN 0 ELSE pow(' + str(CUTS) + '[greatest(p, q)] - ' + str(CUTS) + '[least(p, q) + 1], 2) END) * 2)')} AS d FROM g GROUP BY 1""",
     "acf": f"WITH {S}, {lags(64, 16)} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
     "acf_interval": f"WITH {S}, si AS (SELECT * REPLACE (x[9:40] AS x) FROM s), {lags(32, 8, 'si')} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
     "power_spectrum": f"""WITH {S}, k AS (SELECT *, unnest(range(33)) AS k FROM s) SELECT series_id, k::INTEGER AS k, {r6('''
@@ -230,6 +233,10 @@ SELECT query_id, example_id, sum(pow(q.n - coalesce(e.n, 0), 2))::BIGINT AS d FR
     "feature_distance_sax": f"""WITH {S}, {EXEMPLARS}, {win(16)}, c AS (SELECT w.* FROM w JOIN ex USING (series_id) WHERE "offset" % 4 = 0)
 SELECT a.label, a."offset"::INTEGER AS f1, b."offset"::INTEGER AS f2, {r6('''sqrt(list_min(list_transform(range(5), lambda o: list_sum(list_transform(range(1, 13), lambda i: pow(b.w[i] - a.w[o + i], 2))))) / 12)''')} AS d
 FROM c a JOIN c b ON a.label = b.label AND a."offset" < b."offset" """,
+    "feature_distance_sfa": f"""WITH {S}, {EXEMPLARS},
+a AS (WITH {sfa(16)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id) WHERE w."offset" % 8 = 0),
+b AS (WITH {sfa(24)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id) WHERE w."offset" % 8 = 0)
+SELECT q.label, q."offset"::INTEGER AS f1, t."offset"::INTEGER AS f2, {r6(f'({L1}) * ln(1.5)')} AS d FROM a q JOIN b t ON q.label = t.label""",
     "feature_distance_rise": f"WITH {FEATURES} SELECT a.attribute::INTEGER AS f1, b.attribute::INTEGER AS f2, 'ACF_' || a.label AS group_id, abs(a.attribute - b.attribute)::BIGINT AS d FROM features a JOIN features b ON a.label = b.label AND a.fid < b.fid WHERE a.type = 'RISE' AND b.type = 'RISE'",
     "daily_event_series": f"""WITH u AS (SELECT DISTINCT user_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'),
 e AS (SELECT user_id, datediff('day', DATE '2024-01-01', ts::DATE) AS day, sum(coalesce(value, 0)) AS v FROM events GROUP BY ALL)
@@ -237,6 +244,6 @@ SELECT u.user_id, d::INTEGER AS day, {r6('coalesce(v, 0)')} AS v FROM u, range(3
     "monthly_revenue_series": """WITH i AS (SELECT l_suppkey, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS m, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY ALL),
 u AS (SELECT DISTINCT l_suppkey FROM i WHERE m BETWEEN 0 AND 82)
 SELECT u.l_suppkey, t.m::INTEGER AS month, round(coalesce(v, 0), 4) AS v FROM u, range(83) t(m) LEFT JOIN i ON i.l_suppkey = u.l_suppkey AND i.m = t.m""",
-    "streamed_daily_sums": "SELECT user_id, ts::DATE AS day, round(sum(coalesce(value, 0)), 4) AS v, count(*) AS n FROM events GROUP BY ALL",
+    "streamed_daily_sums": "SELECT user_id, (ts::DATE)::VARCHAR AS day, round(sum(coalesce(value, 0)), 4) AS v, count(*) AS n FROM events GROUP BY ALL",
     "wide_value_rows": f"WITH {VALUES} SELECT fid AS feature_id, count(*)::INTEGER AS n_values FROM fv JOIN ranked USING (rank) WHERE split = 'validate' GROUP BY fid",
 }

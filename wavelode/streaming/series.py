@@ -34,4 +34,4 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     rows = spark.read.schema(T.StructType([*sums.schema.fields, T.StructField("b", T.IntegerType())])).parquet(f"{out}/rows")
     last = rows.groupBy("user_id", "day").agg(F.max_by(F.struct("v", "n"), "b").alias("s"))
-    return last.select("user_id", "day", F.round("s.v", 4).alias("v"), F.col("s.n").alias("n"))
+    return last.select("user_id", F.col("day").cast("string").alias("day"), F.round("s.v", 4).alias("v"), F.col("s.n").alias("n"))
