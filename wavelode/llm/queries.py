@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, html_extraction, language_id, mixing, pieces, quality, simhash, toxicity
+from . import embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,33 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different line with its near lines and class; see line_dedup.line_classes."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("line")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE occurrences AS (
+  SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM documents),
+lines AS (
+  SELECT line, md5(line) AS line_md5, count(*) AS n, min(doc_id) AS first_doc, octet_length(encode(line)) AS size
+  FROM occurrences WHERE line <> '' GROUP BY line),
+links AS MATERIALIZED (
+  SELECT a.line_md5 AS a, b.line_md5 AS b
+  FROM lines a JOIN lines b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.line_md5 <> b.line_md5
+  WHERE a.size >= 20 AND b.size >= 20 AND levenshtein(a.line, b.line) <= 2),
+reach AS (
+  SELECT DISTINCT a, a AS b FROM links
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (
+  SELECT r.a, min(r.b) AS class_id, min(m.first_doc) AS class_doc FROM reach r JOIN lines m ON m.line_md5 = r.b GROUP BY r.a),
+degrees AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT l.line_md5, l.n, l.first_doc, coalesce(d.n_links, 0) AS n_links,
+       coalesce(c.class_id, l.line_md5) AS class_id, coalesce(c.class_doc, l.first_doc) AS class_doc
+FROM lines l LEFT JOIN degrees d ON d.a = l.line_md5 LEFT JOIN classes c ON c.a = l.line_md5
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those not held out; see language_id.language_id."""
     return language_id.language_id(table(spark, sf_dir, "documents"))
@@ -102,6 +129,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pieces": op6_pieces,
@@ -110,4 +138,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL}
