@@ -23,9 +23,9 @@ MOST_EDITS, MIN_BYTES = 2, 20
 BLANKS = " \t\r\f\v"
 #: Two bits of sketch each. Any list gives right results; frequent ones filter best.
 COUNTED = "abcdefghijklmnopqrstuvwxyz ,.0"
-#: Keys are counted in so many buckets, and a bucket is hot above HOT_ROWS and HOT_TIMES the mean.
-#: At most KEY_BUCKETS / HOT_TIMES rows of 8 bytes are broadcast.
-KEY_BUCKETS, HOT_ROWS, HOT_TIMES = 1 << 20, 256, 8
+#: Keys of more lines than HOT_ROWS are split by sketches, but at most HOT_KEYS of them, the fullest
+#: ones: so many rows of 9 bytes are broadcast, however large the input is.
+HOT_ROWS, HOT_KEYS = 64, 1 << 18
 #: Columns after which the verification looks whether a pair can still be within bounds.
 BLOCK = 16
 
@@ -67,25 +67,39 @@ def segment_keys(most: int, probing: bool) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+def hot_keys(index: DataFrame) -> DataFrame:
+    """(key, hot): the keys that more than HOT_ROWS lines are indexed by, or if these exceed HOT_KEYS,
+    those of them above the next power of two that leaves no more."""
+    many = stored(index.groupBy("key").count().where(F.col("count") > HOT_ROWS), "line-hot-keys")
+    least, kept = HOT_ROWS, 0
+    for row in many.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count("*").alias("keys")).orderBy(F.desc("power")).collect():
+        kept += row["keys"]
+        if kept > HOT_KEYS:
+            least = 2 ** (row["power"] + 1) - 1
+            break
+    return many.where(F.col("count") > least).select("key", F.lit(True).alias("hot"))
+
+
 def split_hot(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:
-    """rows (id, sketch, size, key) with the keys of hot buckets split by parts of the sketch."""
+    """(id, size, key, sketch): rows (id, line, size, key), where hot keys are split by parts of the
+    sketch; other rows don't compute it and have sketch 0."""
     parts, width = 2 * most + 1, 2 * len(COUNTED) // (2 * most + 1)
+    marked = rows.join(F.broadcast(hot), "key", "left").select(
+        "id", "size", "key", F.when(F.col("hot"), sketch(F.col("line"))).alias("sketch")
+    )
     part = lambda p: F.shiftright("sketch", width * p).bitwiseAND((1 << width) - 1)
     fine = F.array(*[F.xxhash64("key", F.lit(p), part(p)) for p in range(parts)])
-    marked = rows.withColumn("bucket", F.pmod("key", F.lit(KEY_BUCKETS)).cast("int")).join(F.broadcast(hot), "bucket", "left")
-    keys = F.when(F.col("hot"), fine).otherwise(F.array("key"))
-    return marked.select("id", "sketch", "size", F.explode(keys).alias("key"))
+    keys = F.when(F.col("sketch").isNotNull(), fine).otherwise(F.array("key"))
+    return marked.select("id", "size", F.coalesce("sketch", F.lit(0)).alias("sketch"), F.explode(keys).alias("key"))
 
 
 def candidates(distinct: DataFrame, most: int) -> DataFrame:
-    """(a, b): pairs of ids of distinct (id, line) that share a segment and have close sketches; a pair stands once."""
-    base = distinct.select("id", sketch(F.col("line")).alias("sketch"), F.col("line").cast("binary").alias("bytes")).withColumn("size", F.octet_length("bytes"))
-    index = base.select("id", "sketch", "size", F.explode(segment_keys(most, probing=False)).alias("key"))
-    probes = base.select("id", "sketch", "size", F.explode(segment_keys(most, probing=True)).alias("key"))
-    counts = index.groupBy(F.pmod("key", F.lit(KEY_BUCKETS)).cast("int").alias("bucket")).count()
-    counts = stored(counts, "line-buckets")
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("count") > max(HOT_ROWS, HOT_TIMES * total // KEY_BUCKETS)).select("bucket", F.lit(True).alias("hot"))
+    """(a, b): pairs of ids of distinct (id, line) that share a segment, by a hot key only those with
+    close sketches; a pair stands once."""
+    base = distinct.select("id", "line", F.col("line").cast("binary").alias("bytes"), F.octet_length("line").alias("size"))
+    index = base.select("id", "line", "size", F.explode(segment_keys(most, probing=False)).alias("key"))
+    probes = base.select("id", "line", "size", F.explode(segment_keys(most, probing=True)).alias("key"))
+    hot = hot_keys(index)
     i, p = split_hot(index, hot, most).alias("i"), split_hot(probes, hot, most).alias("p")
     near = F.bit_count(F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))) <= 2 * most
     order = (F.col("i.size") < F.col("p.size")) | ((F.col("i.size") == F.col("p.size")) & (F.col("i.id") < F.col("p.id")))
