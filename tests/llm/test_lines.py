@@ -120,3 +120,52 @@ def test_no_lines(spark):
     assert line_dedup.line_classes(spark.createDataFrame([(1, None), (2, "\n \n")], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         line_dedup.line_classes(spark.createDataFrame([], SCHEMA), most=2, min_bytes=2)
+
+
+def brute_kept(rows):
+    """{(row, pos): class}, and of each class the (row, pos) that stays."""
+    found = [(k, i, pos, x) for k, (i, text) in enumerate(rows) for pos, line in enumerate((text or "").split("\n")) if (x := line.strip(" \t\r\f\v"))]
+    names = sorted({x for *_, x in found})
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(names):
+        for y in names[:k]:
+            short, long = sorted((len(x.encode()), len(y.encode())))
+            if long - short <= 2 and distance(x, y) <= min(2, short // 10):
+                root[find(x)] = find(y)
+    groups, first = defaultdict(list), {}
+    for x in names:
+        groups[find(x)].append(hashlib.md5(x.encode()).hexdigest())
+    for k, i, pos, x in sorted(found, key=lambda f: (f[1] is None, f[1] or 0, f[2])):
+        first.setdefault(find(x), (k, pos))
+    return {(k, pos): min(groups[find(x)]) for k, _, pos, x in found}, set(first.values())
+
+
+def test_members_and_texts_equal_brute_force(spark):
+    rows = [r for r in fixture() if r[0] not in (503, 600, 601, 602)]
+    rows += [(700, "Accept cookies\n  own line of 700"), (701, "\nAccept cookies.\nno\n"), (702, "no\nnu\nAccept cookies"), (703, "12345678901234567890\n"), (704, "1234567890123456789")]
+    classes, first = brute_kept(rows)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, line_dedup.members(docs).select("doc_id", "pos", "class_id", "kept").collect()), key=repr)
+    assert got == sorted(((rows[k][0], pos, c, (k, pos) in first) for (k, pos), c in classes.items()), key=repr)
+    texts = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    assert len(texts) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        stays = lambda pos: (k, pos) not in classes or (k, pos) in first  # noqa: B023, E731
+        kept = None if text is None else "\n".join(x for pos, x in enumerate(text.split("\n")) if stays(pos))
+        n = sum(r == k for r, _ in classes)
+        assert (texts[i].text, texts[i].n_lines, texts[i].n_kept) == (kept, n, sum(r == k for r, _ in first))
+    assert texts[701].text == "\nno\n" and texts[702].text == "nu" and texts[704].text == ""
+
+
+def test_texts_of_repeated_rows_and_null_ids(spark):
+    rows = [(4, "one\ntwo"), (4, "one\ntwo"), (None, "three\none"), (None, "three"), (9, ""), (None, None)]
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.n_kept for r in got) == 3 and sum(r.n_lines for r in got) == 7
+    assert sorted((r.text for r in got if r.doc_id == 4), key=len) == ["", "one\ntwo"]
+    assert line_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -8,6 +8,9 @@ which every edit changes in at most two bits; pairs further apart than that don'
 held by very many lines are split by fifths of the sketch (for two edits), of which close lines share
 one. What is left is verified by a banded bit-parallel edit distance on the pair's bytes, after their
 common ends are cut off.
+
+deduplicated() carries the classes back to every line of every document: of a class one line stays, and
+the texts are built again without the others.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, stored
+from .common import attach, maybe_in, stored
 from .components import components
 
 MOST_EDITS, MIN_BYTES = 2, 20
+#: members() and deduplicated() allow a line an edit for every so many bytes, MOST_EDITS at most.
+BYTES_PER_EDIT = 10
 #: Trimmed from both ends of a line; lines end at \n.
 BLANKS = " \t\r\f\v"
 #: Two bits of sketch each. Any list gives right results; frequent ones filter best.
@@ -154,21 +159,36 @@ def line_links(distinct: DataFrame, most: int) -> DataFrame:
     return texts.where(edit_distance("left_bytes", "right_bytes", most) <= most).select("a", "b")
 
 
-def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def close_links(distinct: DataFrame, most: int, min_bytes: int, per_edit: int | None) -> DataFrame:
+    """(a, b): ids of linked lines, each pair once. Lines under min_bytes take part with per_edit alone: the
+    shorter line of a pair then allows an edit for every per_edit bytes."""
+    size, rows = F.octet_length("line"), distinct.select("id", "line")
+    links = line_links(rows.where(size >= min_bytes), most)
+    if per_edit is None:
+        return links
+    for edits in range(1, most):  # the lines that allow so many edits, and those that are longer by so many bytes
+        links = links.unionByName(line_links(rows.where((size >= per_edit * edits) & (size < per_edit * (edits + 1) + edits)), edits))
+    return links.distinct()
+
+
+def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_BYTES, per_edit: int | None = None) -> DataFrame:
     """One row per different line of all texts: line, line_md5, n (times it stands), first_doc (smallest
     doc_id), n_links (other lines within `most` edits), class_id (smallest line_md5 reachable over
     links, itself included), class_doc (smallest doc_id of any line of the class).
 
     Lines end at a newline, are trimmed of ASCII blanks and compared as they are; empty ones don't
     count. Edits insert, delete or replace one byte of UTF-8, so an accent more or less takes up to two.
-    Lines under min_bytes link with nothing. Null and empty texts have no lines, null doc_ids count in
+    Lines under min_bytes link with nothing, unless per_edit is given: then the shorter line of a pair
+    allows an edit for every per_edit bytes, up to `most`. Null and empty texts have no lines, null doc_ids count in
     n and are never first, other columns are ignored; an empty table gives an empty result.
     """
     if min_bytes <= most:
         raise ValueError("min_bytes must exceed the edits, so that no segment is empty")
+    if per_edit is not None and (per_edit < 2 or per_edit * most != min_bytes):
+        raise ValueError("min_bytes must be where `most` edits begin")
     groups = lines(docs).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     distinct = stored(groups.withColumn("id", F.monotonically_increasing_id()), "lines")
-    links = stored(line_links(distinct.where(F.octet_length("line") >= min_bytes).select("id", "line"), most), "line-links")
+    links = stored(close_links(distinct, most, min_bytes, per_edit), "line-links")
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = ends.join(components(links).withColumnRenamed("node", "id"), "id")
     rows = distinct.withColumn("line_md5", F.md5(F.col("line").cast("binary")))
@@ -183,3 +203,66 @@ def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_B
         "line", "line_md5", "n", "first_doc", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("class_id", "line_md5").alias("class_id"), F.coalesce("class_doc", "first_doc").alias("class_doc"),
     )
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text), written: a number tells rows apart, as ids may repeat or be null."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
+
+
+def occurrences(base: DataFrame, most: int, per_edit: int) -> DataFrame:
+    """(row, doc_id, pos, line_md5, class_id, kept), written: every line of numbered rows. Lines are told
+    apart by their MD5, as in line_classes."""
+    classes = stored(line_classes(base, most, per_edit * most, per_edit).select("line_md5", "n", "n_links", "class_id", "class_doc"), "line-classes")
+    several = classes.where("n > 1 or n_links > 0").select(
+        F.unhex("line_md5").alias("digest"), "n", F.unhex("class_id").alias("class"), "class_doc"
+    )
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    split = base.select("row", "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    split = split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
+    # Of a class, the first place in the smallest id stays; of rows with that id, by the hash of their texts.
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("h").bitwiseAND((1 << 32) - 1))
+    rows = split.select("row", "doc_id", "pos", place.alias("place"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
+    found = stored(attach(rows, several, "digest", total, "left"), "line-occurrences")
+    firsts = found.where(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_doc"))).groupBy("class").agg(
+        F.min_by("row", "place").alias("row"), F.shiftright(F.min("place"), 32).cast("int").alias("pos")
+    )
+    # By place, not by class: one class may hold a large part of all lines.
+    joined = found.where(F.col("class").isNotNull()).join(firsts.select("row", "pos", F.lit(True).alias("kept")), ["row", "pos"], "left")
+    columns = ["row", "doc_id", "pos", "digest", "class", "kept"]
+    every = joined.select(*columns).unionByName(found.where(F.col("class").isNull()).withColumn("kept", F.lit(True)).select(*columns))
+    hexed = lambda c: F.lower(F.hex(c))
+    return stored(
+        every.select(
+            "row", "doc_id", "pos", hexed("digest").alias("line_md5"), hexed(F.coalesce("class", "digest")).alias("class_id"),
+            F.coalesce("kept", F.lit(False)).alias("kept"),
+        ),
+        "line-kept",
+    )
+
+
+def members(docs: DataFrame, most: int = MOST_EDITS, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
+    """Every line of every row of docs: doc_id, pos (from 0, empty lines counted), line_md5, class_id and kept.
+
+    Lines and classes as in line_classes, but a pair may differ by an edit for every per_edit bytes of
+    its shorter line, up to `most`. Of each class one line is kept: the first one in the smallest doc_id
+    (null ids come last). Repeated rows give repeated rows, of which one at most is kept.
+    """
+    return occurrences(numbered(docs), most, per_edit).drop("row")
+
+
+def deduplicated(docs: DataFrame, most: int = MOST_EDITS, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
+    """Per row of docs: doc_id, text without the lines that members() doesn't keep, n_lines and n_kept.
+
+    Other lines, empty ones too, stay as they are and in order. A null text stays null.
+    """
+    base = numbered(docs)
+    sums = occurrences(base, most, per_edit).groupBy("row").agg(
+        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("dropped")
+    )
+    rest = let("p", "split(text, '\\n', -1)", "array_join(transform(array_except(sequence(0, size(p) - 1), dropped), i -> get(p, i)), '\n')")
+    text = F.when(F.size("dropped") > 0, F.expr(rest)).otherwise(F.col("text"))
+    return base.join(sums, "row", "left").select(
+        "doc_id", text.alias("text"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept")
+    )

@@ -95,6 +95,11 @@ FROM lines l LEFT JOIN degrees d ON d.a = l.line_md5 LEFT JOIN classes c ON c.a
 """
 
 
+def op3_line_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated and near lines; see line_dedup.deduplicated."""
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those not held out; see language_id.language_id."""
     return language_id.language_id(table(spark, sf_dir, "documents"))
@@ -130,6 +135,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_texts": op3_line_texts,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pieces": op6_pieces,
