@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and piece ids of every row, segmented with seeded merge-dropout."""
-    return pieces.encode(docs, pieces.Vocabulary.load())
+    """doc_id and piece ids of every row, segmented with seeded merge-dropout; copies each in their way."""
+    return pieces.encode(docs, pieces.Vocabulary.load(), vary_copies=True)
 
 
 STAGES = [

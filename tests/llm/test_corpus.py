@@ -337,6 +337,37 @@ def test_pieces_vary_with_the_seed_and_repeat_with_it(spark, vocabulary):
     assert pieces.digests(docs_of(spark, []), vocabulary).count() == 0
 
 
+def test_pieces_draw_skips_for_every_occurrence(spark, vocabulary):
+    word, n = " reasonable", 4000
+    for dropout in (0.1, 0.5):
+        ids = vocabulary.encode_all(["reasonable"] * n, list(range(n)), dropout, 1)
+        assert len({x.tobytes() for x in ids}) > 4
+        plain = vocabulary.segment(word)
+        chains = [vocabulary.segment(word, dropout, k) for k in range(n)]
+        share, want = (sum(x == plain for x in some) / n for some in ([i.tobytes() for i in ids], chains))
+        assert abs(share - want) < 0.04
+    places = vocabulary.encode("again reasonable" + " reasonable" * 300, 0.1, 1).tolist()
+    assert vocabulary.decode(places) == "again reasonable" + " reasonable" * 300
+    # Remembered runs give just what each key gives alone, unknown letters and long units among them.
+    texts = ["the reasonable thing 日本語 é\U0001f600x " + "z" * 40 + " understanding\n\n  again"] * 300
+    runs = []
+    for longest in (24, 0):
+        pieces._KEPT.clear()
+        pieces.LONGEST, before = longest, pieces.LONGEST
+        try:
+            runs.append([x.tolist() for x in vocabulary.encode_all(texts, list(range(300)), 0.3, 5)])
+        finally:
+            pieces.LONGEST = before
+    pieces._KEPT.clear()
+    assert runs[0] == runs[1]
+
+
+def test_copies_of_a_document_are_segmented_each_in_its_way(spark, vocabulary):
+    docs = docs_of(spark, [(7, "some reasonable understanding of several things " * 5, "en", "a")] * 2)
+    assert len({tuple(r.ids) for r in pieces.encode(docs, vocabulary, 0.3, 1, vary_copies=True).collect()}) == 2
+    assert len({tuple(r.ids) for r in pieces.encode(docs, vocabulary, 0.3, 1).collect()}) == 1
+
+
 def truth_of(page):
     keep = html_extraction.targets(page) & np.array([bool(t) for t in page.truth])
     return page.text(keep)

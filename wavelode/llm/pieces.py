@@ -15,21 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: No merge crosses the front of a run of blanks or a line break (checked when a model is loaded).
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Longer units aren't remembered. When so many are, they become the old ones, and what isn't used
-#: again until the next change is forgotten.
+#: Longer units aren't remembered. When so many runs are, all are forgotten.
 LONGEST, REMEMBERED = 24, 250_000
 #: Longer units are worked on one by one. The place of a pair that is no piece.
 ABREAST, NEVER = 32, 1 << 30
 #: Characters of texts that are encoded together.
 STEP = 1 << 20
-_KEPT: dict[tuple, list[dict]] = {}
+GOLDEN, PLACE = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+_KEPT: dict[int, _Runs] = {}
 
 
 class Vocabulary:
@@ -108,7 +108,9 @@ class Vocabulary:
         hit = self.pairs[at] == pair
         return np.where(hit, self.pair_order[at], NEVER), self.pair_id[at]
 
-    def _abreast(self, units: list[str], width: int, limit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _abreast(self, units: list[str], width: int, limit: int, keys: np.ndarray, skips: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """skips: instead of by keys, the candidates of each row's set bits are skipped, counted from 0 as
+        they come up. seen gets (rows, their candidates) of every turn."""
         n, single = len(units), self.single
         lens = np.array([len(u) for u in units])
         inside = np.arange(width + 1)[None, :] < lens[:, None]
@@ -119,14 +121,21 @@ class Vocabulary:
         order, makes = np.full((n, width + 1), NEVER, np.int32), np.zeros((n, width + 1), np.int32)
         r, j = np.nonzero(inside[:, 1:])
         order[r, j], makes[r, j] = self._joined(ids[r, j], ids[r, j + 1])
-        open_ = np.arange(n)
+        open_, turn = np.arange(n), 0
         while len(open_):
             left = order[open_].argmin(1)
             best = order[open_, left]
             going = best < NEVER
             open_, left, best = open_[going], left[going], best[going]
             right = after[open_, left]
-            if limit:
+            if seen is not None:
+                seen.append((open_, _places(left, right, best)))
+            if skips is not None:
+                skip = ((skips[open_] >> np.uint64(turn)) & np.uint64(1)).astype(bool)
+                turn += 1
+                order[open_[skip], left[skip]] = NEVER
+                take = ~skip
+            elif limit:
                 skip = _keyed_all(keys[open_], left, right, best) < limit
                 order[open_[skip], left[skip]] = NEVER
                 take = ~skip
@@ -148,7 +157,7 @@ class Vocabulary:
             order[x, y], makes[x, y] = self._joined(ids[x, y], ids[x, z])
         return ids[inside].astype(np.uint16), inside.sum(1)
 
-    def _heaped(self, unit: str, limit: int, key: int) -> list[str]:
+    def _heaped(self, unit: str, limit: int, key: int, skips: int | None = None, seen: list | None = None) -> list[str]:
         of, symbols, n = self.order.get, list(unit), len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(order, i, i + 1, unit[i : i + 2]) for i in range(n - 1) if (order := of(unit[i : i + 2])) is not None]
@@ -158,7 +167,11 @@ class Vocabulary:
             # A stale candidate: one side was merged away or has grown since.
             if after[left] != right or symbols[left] + symbols[right] != pair or not symbols[left]:
                 continue
-            if limit and _keyed(key, left, right, order) < limit:
+            if seen is not None:
+                seen.append((left, right, order))
+                if skips >> (len(seen) - 1) & 1:
+                    continue
+            elif limit and _keyed_int(key, left, right, order) < limit:
                 continue
             symbols[left], symbols[right] = pair, ""
             after[left] = nxt = after[right]
@@ -175,45 +188,58 @@ class Vocabulary:
                     heapq.heappush(agenda, (order, prev, left, wider))
         return [s for s in symbols if s]
 
-    def encode_all(self, texts: list[str], keys: list[int], dropout: float = 0.0, seed: int = 0, variants: int = 4) -> list[np.ndarray]:
-        """Piece ids of whole texts (uint16), each behind one blank, as the model
-        expects, and none for an empty text.
+    def encode_all(self, texts: list[str], keys: list[int], dropout: float = 0.0, seed: int = 0, copies: list[int] | None = None) -> list[np.ndarray]:
+        """Piece ids of whole texts (uint16), each behind one blank, as the model expects, and none for
+        an empty text.
 
-        Each unit takes one of `variants` keys, by a keyed hash of the text's key and the unit's number,
-        so a word is segmented in up to so many ways, and each way is worked out once and remembered.
+        Every unit has a key of its own, from seed, the text's key and copy number, and the unit's number,
+        and is segmented as by segment() with that key. Remembered are only runs without a skip and with
+        one, with the candidates they bring up; a key that draws no other skip takes such a run as it is.
         """
-        held = _KEPT.setdefault((id(self), dropout, seed), [{}, {}])
-        known, old = held
-        keyed, ends = [], [0]
-        for text, key in zip(texts, keys, strict=True):
-            units = UNIT.findall(" " + text) if text else []
-            ends.append(ends[-1] + len(units))
-            if not dropout:
-                keyed += zip(units, [0] * len(units), strict=True)
-                continue
-            h = np.arange(len(units), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + seed) % (1 << 64))
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            keyed += zip(units, ((h >> np.uint64(40)) % np.uint64(variants)).tolist(), strict=True)
-        found = list(map(known.get, keyed))
-        new: dict[tuple, bytes | None] = {}
-        absent = [k for k, ids in enumerate(found) if ids is None]
-        for k in absent:
-            unit = keyed[k]
-            if unit not in new:
-                new[unit] = old.get(unit)
-        todo = [u for u, ids in new.items() if ids is None]
-        made = self.segment_all([u for u, _ in todo], dropout, [seed * 1_000_003 + v for _, v in todo])
-        new.update(zip(todo, made, strict=True))
+        limit = int(dropout * (1 << 32))
+        runs = _KEPT.setdefault(id(self), _Runs())
+        if len(runs.ids) >= REMEMBERED:
+            runs = _KEPT[id(self)] = _Runs()
+        units, drawn, ends = [], [], [0]
+        for text, key, copy in zip(texts, keys, copies or [0] * len(texts), strict=True):
+            some = UNIT.findall(" " + text) if text else []
+            units += some
+            ends.append(len(units))
+            if limit and some:
+                start = _keyed_int(_keyed_int(seed, copy, 0, 0, 64), key, 1, 0, 64)
+                h = np.arange(len(some), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                drawn.append(h ^ (h >> np.uint64(29)))
+        at = list(map(runs.roots.get, units))
+        absent = [k for k, node in enumerate(at) if node is None]
+        short = list(dict.fromkeys(units[k] for k in absent if len(units[k]) <= LONGEST))
+        runs.add(self, short, [0] * len(short))
         for k in absent:
-            found[k] = new[keyed[k]]
-        known.update((u, ids) for u, ids in new.items() if len(u[0]) <= LONGEST)
-        if len(known) >= REMEMBERED:
-            held[:] = {}, known
+            at[k] = runs.roots.get(units[k], -1)
+        node = np.array(at, np.int64)
+        alone = np.flatnonzero(node < 0)
+        if limit and units:
+            key = np.concatenate(drawn)
+            open_ = np.flatnonzero(node >= 0)
+            first = runs.first_skip(node[open_], key[open_], limit)
+            open_, first = open_[first >= 0], first[first >= 0]
+            skips, back = np.unique(node[open_] * 64 + first, return_inverse=True)
+            new = [x for x in skips.tolist() if x not in runs.after_skip]
+            runs.add(self, [runs.units[x >> 6] for x in new], [1 << (x & 63) for x in new], new)
+            node[open_] = np.array([runs.after_skip[x] for x in skips.tolist()], np.int64)[back]
+            again = open_[runs.first_skip(node[open_], key[open_], limit) >= 0]
+            alone = np.concatenate((alone, again))
+            keyed = key[alone].tolist()
+        else:
+            keyed = [0] * len(alone)
+        ids = runs.ids
+        found = [ids[k] if k >= 0 else b"" for k in node.tolist()]
+        for k, one in zip(alone.tolist(), self.segment_all([units[k] for k in alone.tolist()], dropout, keyed), strict=True):
+            found[k] = one
         return [np.frombuffer(b"".join(found[a:b]), np.uint16) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = 4) -> np.ndarray:
-        return self.encode_all([text], [key], dropout, seed, variants)[0]
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0) -> np.ndarray:
+        return self.encode_all([text], [key], dropout, seed)[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Control pieces spell nothing; bytes that aren't UTF-8 become U+FFFD, which
@@ -222,17 +248,97 @@ class Vocabulary:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-def _keyed_all(key: np.ndarray, left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """32 bits that depend on all arguments, which are whole numbers."""
-    h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for x, by in ((left, 0xC2B2AE3D27D4EB4F), (right, 0x165667B19E3779F9), (order, 0x27D4EB2F165667C5)):
+class _Runs:
+    """Remembered runs over units: their ids, and the candidates that came up after the last skip."""
+
+    def __init__(self):
+        self.roots: dict[str, int] = {}
+        #: 64 * run + number of the candidate it skips next, to the run that follows.
+        self.after_skip: dict[int, int] = {}
+        self.units: list[str] = []
+        self.ids: list[bytes] = []
+        self.begin, self.ends, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def add(self, words: Vocabulary, units: list[str], skips: list[int], of: list[int] | None = None) -> None:
+        """Runs over units that skip the candidates of the set bits of skips; of: which runs they follow."""
+        if not units:
+            return
+        ids: list[bytes] = [b""] * len(units)
+        places: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(units)
+        rows: dict[int, list[int]] = {}
+        for k, unit in enumerate(units):
+            if words.letters.issuperset(unit):
+                rows.setdefault(-(-len(unit) // 4) * 4, []).append(k)
+                continue
+            out, seen = array("H"), []
+            for s in words._heaped(unit, 0, 0, skips[k], seen):
+                one = words.ids.get(s)
+                out.extend([words.byte_ids[b] for b in s.encode()] if one is None else [one])
+            ids[k] = out.tobytes()
+            places[k] = _places(*np.array(seen or np.zeros((0, 3)), np.int64).T)
+        for width, which in rows.items():
+            for at in range(0, len(which), 1 << 14):
+                part, turns = which[at : at + (1 << 14)], []
+                found, lens = words._abreast([units[k] for k in part], width, 0, np.zeros(0), np.array([skips[k] for k in part], np.uint64), turns)
+                data, ends = found.tobytes(), np.cumsum(lens) * 2
+                row = np.concatenate([r for r, _ in turns] or [np.zeros(0, np.int64)])
+                came = np.concatenate([x for _, x in turns] or [np.zeros(0, np.uint64)])[np.argsort(row, kind="stable")]
+                upto = np.cumsum(np.bincount(row, minlength=len(part)))
+                for k, a, b, c, d in zip(part, (ends - lens * 2).tolist(), ends.tolist(), [0, *upto.tolist()], upto.tolist(), strict=False):
+                    ids[k], places[k] = data[a:b], came[c:d]
+        places = [x[s.bit_length() :] for x, s in zip(places, skips, strict=True)]
+        new = range(len(self.ids), len(self.ids) + len(units))
+        if of is None:
+            self.roots.update(zip(units, new, strict=True))
+        else:
+            self.after_skip.update(zip(of, new, strict=True))
+        self.units += units
+        self.ids += ids
+        lens = np.array([len(x) for x in places], np.int64)
+        ends = np.cumsum(lens) + len(self.places)
+        self.begin = np.concatenate((self.begin, ends - lens))
+        self.ends = np.concatenate((self.ends, ends))
+        self.places = np.concatenate([self.places, *places])
+
+    def first_skip(self, runs: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Of each run, the number of the first candidate that its key skips, or -1."""
+        lens = self.ends[runs] - self.begin[runs]
+        row = np.repeat(np.arange(len(runs)), lens)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
+        hit = np.flatnonzero(_mixed(keys[row] * np.uint64(GOLDEN) ^ self.places[self.begin[runs][row] + number]) < limit)
+        out = np.full(len(runs), -1, np.int64)
+        out[row[hit][::-1]] = number[hit][::-1]
+        return out
+
+
+def _places(left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(left), np.uint64)
+    for x, by in zip((left, right, order), PLACE, strict=True):
         h = h ^ (x.astype(np.uint64) * np.uint64(by))
+    return h
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
 
 
-def _keyed(*parts: int) -> int:
-    return int(_keyed_all(*(np.array([p % (1 << 64)], np.uint64) for p in parts))[0])
+def _keyed_all(key: np.ndarray, left: np.ndarray, right: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """32 bits that depend on all arguments, which are whole numbers."""
+    return _mixed(key.astype(np.uint64) * np.uint64(GOLDEN) ^ _places(left, right, order))
+
+
+def _keyed_int(key: int, left: int, right: int, order: int, bits: int = 32) -> int:
+    """The same of single numbers, or up to 64 bits."""
+    h = (key * GOLDEN ^ left * PLACE[0] ^ right * PLACE[1] ^ order * PLACE[2]) & ((1 << 64) - 1)
+    h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & ((1 << 64) - 1)
+    return (h ^ (h >> 32)) & ((1 << bits) - 1)
+
+
+def copy_numbers(docs: DataFrame) -> DataFrame:
+    """docs with column copy: 0, 1, ... of rows with the same doc_id and text."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return docs.withColumn("copy", F.row_number().over(same) - 1)
 
 
 def steps(rows: Iterator[tuple], size: int = STEP) -> Iterator[list[tuple]]:
@@ -252,10 +358,11 @@ def text_key(doc_id: int | None) -> int:
     return 0 if doc_id is None else doc_id % (1 << 64)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, vary_copies: bool = False) -> DataFrame:
     """(doc_id, ids): the pieces of every whole text. A null text has null ids, an empty one none.
 
-    The segmentation depends on the text, doc_id and seed alone: repeated rows give repeated rows. A
+    The segmentation depends on the text, doc_id and seed alone: repeated rows give repeated rows. With
+    vary_copies it depends on the number of the copy too, so they are segmented each in its way. A
     null doc_id counts as 0. Other columns of docs are ignored. dropout 0 gives the model's own
     segmentation, 1 single characters. The vocabulary (at most 65536 pieces) goes by broadcast.
     """
@@ -264,13 +371,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            for part in steps(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                ids = words.encode_all([t or "" for _, t in part], [text_key(i) for i, _ in part], dropout, seed)
+            for part in steps(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                ids = words.encode_all([t or "" for _, t, _ in part], [text_key(i) for i, *_ in part], dropout, seed, [c for *_, c in part])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for _, t in part]))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), lists], ["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for _, t, _ in part]))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in part], pa.int64()), lists], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = copy_numbers(rows) if vary_copies else rows.withColumn("copy", F.lit(0))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
