@@ -1,7 +1,9 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import pickle
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -228,6 +230,48 @@ def test_language_edges(spark):
     assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "en", "en"] and all(0 <= r.score <= 1 for r in got.values())
     assert [r.lang_pred for r in language_id.language_id(docs_of(spark, [(1, "text", None, None)])).collect()] == ["und"]
     assert language_id.language_id(docs_of(spark, [])).count() == 0
+    odd = [(1, "½ ²", None, None), (2, "Ⅷ ①", None, None), (3, "_ 5", None, None), (4, "\U0001f600", None, None), (5, "ª", None, None), (6, "\U00020000", None, None), (7, "hello", "en", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(docs_of(spark, odd), F.lit(False)).collect()}
+    assert [got[i] for i in range(1, 8)] == ["und"] * 4 + ["en"] * 3
+
+
+def brute_languages(learned, texts, alpha=0.1, size=1 << 15):
+    """Multinomial naive Bayes with dictionaries; ids of n-grams come one by one from the hash."""
+    def ids(text):
+        clean = re.sub(r"[^a-zéü]+", " ", text.lower()) + " "
+        clean = re.sub(" +", " ", clean)
+        return [int(i) for n in (1, 2, 3) for k in range(len(clean) - n + 1) for i in [one_id(clean[k : k + n], n)]]
+
+    def one_id(gram, n):
+        h = ord(gram[0])
+        for a, b in zip(range(n - 1), range(1, n), strict=True):
+            del a
+            h = h * 0x01000193 + ord(gram[b]) * 0x85EBCA6B & 0xFFFFFFFF
+        return ((h ^ (h >> 15)) * 0x9E3779B1 + (n * 0x2C1B3C6D & 0xFFFFFFFF) & 0xFFFFFFFF) >> (33 - size.bit_length())
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in learned:
+        docs[lang] += 1
+        counts[lang].update(ids(text))
+    out = []
+    for text in texts:
+        logs = {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + alpha * size
+            logs[lang] = np.log((docs[lang] + 1) / (sum(docs.values()) + len(docs))) + sum(np.log((counts[lang][i] + alpha) / total) for i in ids(text))
+        best = max(logs, key=lambda x: (logs[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(np.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(7)
+    words = {"en": ["the", "of", "and", "with", "under"], "fr": ["été", "le", "et", "dans", "sur"], "de": ["über", "und", "der", "mit"]}
+    rows = [(k, " ".join(rng.choice(words[lang] + ["a", "alpha"]) for _ in range(rng.randint(1, 9))), lang if k % 3 else None, None) for k, lang in enumerate(rng.choices(list(words), k=60))]
+    got = {r.doc_id: r for r in language_id.language_id(docs_of(spark, rows), F.lit(False)).collect()}
+    want = brute_languages([(t, lang) for _, t, lang, _ in rows if lang], [t for _, t, *_ in rows])
+    for (k, *_), (lang, score) in zip(rows, want, strict=True):
+        assert got[k].lang_pred == lang and got[k].score == pytest.approx(score, rel=1e-6)
 
 
 def test_grams_do_not_depend_on_the_batch():
@@ -238,7 +282,7 @@ def test_grams_do_not_depend_on_the_batch():
         end = starts[k + 1] if k + 1 < len(starts) else len(ids[0])
         for n in range(3):
             assert sorted(x for x in ids[n][starts[k] : end] if x < 1 << 12) == sorted(x for x in own[n] if x < 1 << 12)
-    for f in (quality.features, lambda t, bits=0: toxicity.term_ids(t)):
+    for f in (quality.features, toxicity.term_ids):
         text, got = f(texts, 18)
         for k, t in enumerate(texts):
             assert got[text == k].tolist() == f([t], 18)[1].tolist()
@@ -273,17 +317,46 @@ def test_classifier_edges(spark, work, name):
     assert work(docs_of(spark, []), spark.createDataFrame([], schema)).count() == 0
 
 
-def test_factorization_machine_learns_a_pair():
+def test_factorization_machine_equals_brute_force():
     rng = np.random.default_rng(2)
-    x = rng.random((3000, 6)) < 0.5
-    y = (x[:, 0] & x[:, 1]).astype(int)
-    words = toxicity.Vocabulary(np.arange(6, dtype=np.uint32))
-    starts = np.concatenate(([0], np.cumsum(x.sum(1))))
-    ids = np.nonzero(x)[1]
-    model = toxicity.fit(words, y, starts, ids, passes=40)
-    margin = model.margins(np.repeat(np.arange(3000), x.sum(1)), ids, 3000)
-    p = 1 / (1 + np.exp(-(model.scale * margin + model.shift)))
-    assert ((p >= 0.5) == y).mean() > 0.97
+    model = toxicity.Model(0.3, rng.normal(size=8), rng.normal(size=(8, 3)), 1.5, -0.2)
+    rows = [[0, 3, 5], [], [1], [0, 1, 2, 3, 4, 5, 6, 7]]
+    got = model.margins(np.repeat(np.arange(4), [len(r) for r in rows]), np.array([i for r in rows for i in r]), 4)
+    for r, m in zip(rows, got, strict=True):
+        pairs = sum(float(model.v[a] @ model.v[b]) for a in r for b in r if a < b)
+        assert m == pytest.approx(0.3 + sum(float(model.w[i]) for i in r) + pairs, abs=1e-5)
+
+
+def test_toxicity_of_pairs_whose_terms_tell_nothing_alone(spark):
+    rng = random.Random(3)
+    others = [f"w{a}{b}x" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    docs, labels = [], []
+    for k in range(4000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(others) for _ in range(12)] + ["zebra"] * one + ["quince"] * two
+        rng.shuffle(words)
+        docs.append((k, " ".join(words), None, None))
+        labels.append((k, 0, int(one != two)))
+    table, marks = docs_of(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity(table, marks).collect()
+    assert held_out_accuracy(rows, {i: {"toxic": t} for i, _, t in labels}, "toxic") >= 0.95
+    # Weights alone can't tell.
+    text, ids = toxicity.term_ids([t for _, t, *_ in docs], 18)
+    linear = toxicity.fit(np.array([t for *_, t in labels]), np.searchsorted(text, np.arange(4001)), ids.astype(np.int64), 18, passes=3)
+    assert linear.v.shape[1] == 0 and np.mean((linear.score([t for _, t, *_ in docs]) >= 0.5) == np.array([t for *_, t in labels])) < 0.7
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    docs = [(k, t, None, None) for k, (_, t, *_) in enumerate(some_docs(60))]
+    labels = [(k, 0, int("omega" in (t or ""))) for k, t, *_ in docs]
+    table, marks = docs_of(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(table, marks, F.lit(True), 1000, 16)
+    for r in toxicity.toxicity(table, marks, F.lit(False), bits=16).collect():
+        words = re.findall(r"[^\W\d_]+", (dict((k, t) for k, t, *_ in docs)[r.doc_id] or "").lower())
+        terms = {int(i) for w in words for i in toxicity.term_ids([w], 16)[1]}
+        margin = model.bias + sum(float(model.w[i]) for i in terms)
+        margin += sum(float(model.v[a] @ model.v[b]) for a in terms for b in terms if a < b)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(model.scale * margin + model.shift, -30, 30))), abs=1e-4)
 
 
 def test_dual_descent_finds_the_hinge_optimum():
@@ -352,16 +425,29 @@ def test_pieces_draw_skips_for_every_occurrence(spark, vocabulary):
     texts = ["the reasonable thing 日本語 é\U0001f600x " + "z" * 40 + " understanding\n\n  again"] * 300
     runs = []
     for longest in (24, 0):
-        pieces._KEPT.clear()
         pieces.LONGEST, before = longest, pieces.LONGEST
         try:
-            runs.append([x.tolist() for x in vocabulary.encode_all(texts, list(range(300)), 0.3, 5)])
+            runs.append([x.tolist() for x in pickle.loads(pickle.dumps(vocabulary)).encode_all(texts, list(range(300)), 0.3, 5)])
         finally:
             pieces.LONGEST = before
-    pieces._KEPT.clear()
     assert runs[0] == runs[1]
 
 
+def test_pieces_of_two_vocabularies_in_one_process(vocabulary, monkeypatch):
+    names = [pieces.MARK, "a", "b", "c", "ab", "bc", "abc", pieces.MARK + "a"]
+    ids = [*range(len(names), len(names) + 256)]
+    make = lambda scores: pieces.Vocabulary([*zip(names, scores, strict=True), *[(f"<0x{b:02X}>", 0.0) for b in range(256)]], ids, set())
+    for _ in range(20):  # each freed at once, so that a new one may stand where the last one stood
+        assert make([0, 0, 0, 0, -1, -2, -3, -4]).encode("abc abc").tolist() == [0, 6, 0, 6]
+        assert make([0, 0, 0, 0, -2, -1, -9, -4]).encode("abc abc").tolist() == [7, 5, 7, 5]
+    one = pickle.loads(pickle.dumps(vocabulary))
+    monkeypatch.setattr(pieces, "REMEMBERED", 20_000)
+    texts = [f"{k} words and numbers {k * 7919} in many {k * 31}a ways" for k in range(2000)]
+    got = [one.encode_all(texts[k : k + 50], list(range(k, k + 50)), 0.2, 3) for k in range(0, 2000, 50)]
+    assert one.runs.size < 200_000
+    assert [x.tolist() for part in got for x in part] == [x.tolist() for x in vocabulary.encode_all(texts, list(range(2000)), 0.2, 3)]
+
+
 def test_copies_of_a_document_are_segmented_each_in_its_way(spark, vocabulary):
     docs = docs_of(spark, [(7, "some reasonable understanding of several things " * 5, "en", "a")] * 2)
     assert len({tuple(r.ids) for r in pieces.encode(docs, vocabulary, 0.3, 1, vary_copies=True).collect()}) == 2

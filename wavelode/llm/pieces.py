@@ -22,14 +22,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: No merge crosses the front of a run of blanks or a line break (checked when a model is loaded).
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Longer units aren't remembered. When so many runs are, all are forgotten.
-LONGEST, REMEMBERED = 24, 250_000
+#: Longer units aren't remembered. When the remembered runs take so many bytes, all are forgotten.
+LONGEST, REMEMBERED = 24, 48 << 20
 #: Longer units are worked on one by one. The place of a pair that is no piece.
 ABREAST, NEVER = 32, 1 << 30
 #: Characters of texts that are encoded together.
-STEP = 1 << 20
+STEP = 1 << 19
 GOLDEN, PLACE = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-_KEPT: dict[int, _Runs] = {}
 
 
 class Vocabulary:
@@ -59,6 +58,11 @@ class Vocabulary:
         wide = [p for p in self.ids if "\n" in p or " " in p.lstrip(" ")]
         if wide or len(pieces) > 1 << 16:
             raise ValueError(f"pieces across blanks or line breaks, or over 65536 pieces: {wide[:3]}")
+        self.runs = _Runs()
+
+    def __getstate__(self) -> dict:
+        """Without the remembered runs: each task's copy gathers its own, and they go with it."""
+        return {**self.__dict__, "runs": _Runs()}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -197,9 +201,9 @@ class Vocabulary:
         one, with the candidates they bring up; a key that draws no other skip takes such a run as it is.
         """
         limit = int(dropout * (1 << 32))
-        runs = _KEPT.setdefault(id(self), _Runs())
-        if len(runs.ids) >= REMEMBERED:
-            runs = _KEPT[id(self)] = _Runs()
+        if self.runs.size >= REMEMBERED:
+            self.runs = _Runs()
+        runs = self.runs
         units, drawn, ends = [], [], [0]
         for text, key, copy in zip(texts, keys, copies or [0] * len(texts), strict=True):
             some = UNIT.findall(" " + text) if text else []
@@ -258,6 +262,8 @@ class _Runs:
         self.units: list[str] = []
         self.ids: list[bytes] = []
         self.begin, self.ends, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        #: Bytes, about: texts and ids, their objects, entries of dictionaries and lists, places.
+        self.size = 0
 
     def add(self, words: Vocabulary, units: list[str], skips: list[int], of: list[int] | None = None) -> None:
         """Runs over units that skip the candidates of the set bits of skips; of: which runs they follow."""
@@ -294,6 +300,7 @@ class _Runs:
             self.after_skip.update(zip(of, new, strict=True))
         self.units += units
         self.ids += ids
+        self.size += sum(len(u) + len(x) + 8 * len(p) for u, x, p in zip(units, ids, places, strict=True)) + 300 * len(units)
         lens = np.array([len(x) for x in places], np.int64)
         ends = np.cumsum(lens) + len(self.places)
         self.begin = np.concatenate((self.begin, ends - lens))
