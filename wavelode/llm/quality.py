@@ -1,13 +1,13 @@
 """Quality classifier: naive Bayes support vectors over hashed word and word-shape n-grams.
 
 Indicators of n-grams are scaled by the classes' log-count ratios; a linear hinge-loss model is fitted
-to them by dual coordinate descent, and its weights are interpolated with the ratios' own. The fit
-takes a bounded, documented sample of labelled rows; every whole text is scored.
+to them by dual coordinate descent. The fit takes a bounded, documented sample of labelled rows; every
+whole text is scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return grams.distinct(text, ids >> np.uint64(64 - bits))
 
 
-def sampled_features(docs: DataFrame, sample: DataFrame, most: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sampled_features(docs: DataFrame, sample: DataFrame, most: int, of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labels, row starts and feature ids of at most `most` labelled documents, on the driver.
+    of: distinct (text number, id) of some texts.
 
     sample has at most `most` rows of two numbers, so it goes by broadcast; ids that repeat in docs
     are cut to `most` rows again, by hash of id and features, before anything is collected.
@@ -33,7 +34,7 @@ def sampled_features(docs: DataFrame, sample: DataFrame, most: int, bits: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in grams.by_batch(batches, 1):
-            text, ids = features(texts, bits)
+            text, ids = of(texts)
             cuts = np.searchsorted(text, np.arange(len(texts) + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "ids"])
@@ -109,7 +110,6 @@ def fit(y: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, alpha: fl
     p = np.bincount(ids[y[row] > 0], minlength=size) + alpha
     q = np.bincount(ids[y[row] < 0], minlength=size) + alpha
     ratio = np.log(p / (pos + 2 * alpha)) - np.log(q / (neg + 2 * alpha))
-    ratio[p + q - 2 * alpha < 3] = 0  # n-grams of one or two rows tell nothing of a class
     scale = 1 / np.sqrt(np.maximum(np.diff(starts), 1))
     values = ratio[ids] * scale[row]
     # A constant term of its own: one more feature for every row.
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int, bits: int) -> Model:
     sample = labelled_sample(labels, "quality", usable, most)
-    return fit(*sampled_features(docs, sample, most, bits), bits)
+    return fit(*sampled_features(docs, sample, most, lambda texts: features(texts, bits)), bits)
 
 
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_labelled: int = 12_000, bits: int = 18) -> DataFrame:

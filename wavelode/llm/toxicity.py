@@ -1,9 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Besides a weight per term it learns a short vector per term, so that pairs of terms (an insult and a
-group that is named with it) count apart from either alone. Terms are hashes of lower-cased words and
-of their first letters. The fit takes a bounded, documented sample of labelled rows; every whole text
-is scored.
+group that is named with it) count apart from either alone. Terms are lower-cased words and their first
+letters, hashed to a table of fixed size; no term is left out. The fit takes a bounded, documented
+sample of labelled rows; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -16,70 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import id_remainder, labelled_sample, stored
-from .quality import calibrated, scored
+from .common import id_remainder, labelled_sample
+from .quality import calibrated, sampled_features, scored
 
+#: Rows of a sample that are learned from together.
+BLOCK = 128
 
-def term_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, 32-bit term hash), by text."""
-    text, ids = grams.terms(texts)
-    return grams.distinct(text, ids >> np.uint64(32))
-
-
-class Vocabulary:
-    """Positions of chosen terms (32-bit hashes)."""
-
-    def __init__(self, chosen: np.ndarray):
-        self.chosen = np.sort(chosen.astype(np.uint32))
-        self.near = np.zeros(1 << 16, bool)
-        self.near[self.chosen & 0xFFFF] = True
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text number, position) of the chosen terms in texts, by text."""
-        text, ids = grams.terms(texts)
-        ids = (ids >> np.uint64(32)).astype(np.uint32)
-        maybe = self.near[ids & 0xFFFF]
-        text, ids = text[maybe], ids[maybe]
-        at = np.searchsorted(self.chosen, ids)
-        found = at < len(self.chosen)
-        found[found] = self.chosen[at[found]] == ids[found]
-        return grams.distinct(text[found], at[found])
-
-
-def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean): labelled rows (label, text) with each term; tasks add up a step's texts first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in grams.by_batch(batches, 1):
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            text, ids = term_ids(texts)
-            unique, back = np.unique(ids, return_inverse=True)
-            toxic = np.bincount(back, label[text] == 1, len(unique)).astype(np.int64)
-            clean = np.bincount(back, label[text] != 1, len(unique)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(unique.astype(np.int64)), pa.array(toxic), pa.array(clean)], ["term", "toxic", "clean"])
-
-    counts = rows.select("label", "text").mapInArrow(run, "term long, toxic long, clean long")
-    return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-
-def chosen_terms(counts: DataFrame, toxic: int, clean: int, size: int, least: float = 7.0) -> np.ndarray:
-    """The at most `size` terms whose rows are least like the classes' shares: log-likelihood ratio
-    `least` or more, so that few terms of a large vocabulary pass by chance. The driver gets no more."""
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    share = F.lit((toxic + 0.5) / (toxic + clean + 1))
-    n = a + b
-    gain = a * F.log((a + 0.5) / (n + 1) / share) + b * F.log((b + 0.5) / (n + 1) / (1 - share))
-    rows = counts.withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.col("gain").desc(), "term").limit(size).select("term").toArrow()
-    return rows.column("term").to_numpy().astype(np.uint32)
+def term_ids(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, term hash below 2**bits), by text."""
+    text, ids = grams.terms(texts)
+    return grams.distinct(text, ids >> np.uint64(64 - bits))
 
 
 class Model:
-    """Factorization machine over the vocabulary's positions, with the calibration of its margin."""
+    """Factorization machine over hashed terms, with the calibration of its margin."""
 
-    def __init__(self, words: Vocabulary, bias: float, w: np.ndarray, v: np.ndarray, scale: float = 1.0, shift: float = 0.0):
-        self.words, self.bias, self.w, self.v, self.scale, self.shift = words, bias, w, v, scale, shift
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, scale: float = 1.0, shift: float = 0.0):
+        self.bias, self.w, self.v, self.scale, self.shift = bias, w.astype(np.float32), v.astype(np.float32), scale, shift
 
     def margins(self, text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Of n texts, from (text number, term) pairs."""
         out = self.bias + np.bincount(text, self.w[at], n)
         for f in range(self.v.shape[1]):
             x = self.v[at, f]
@@ -87,67 +44,97 @@ class Model:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        text, at = self.words.of(texts)
+        text, at = term_ids(texts, len(self.w).bit_length() - 1)
         return 1 / (1 + np.exp(-np.clip(self.scale * self.margins(text, at, len(texts)) + self.shift, -30, 30)))
 
 
-def fit(words: Vocabulary, y: np.ndarray, starts: np.ndarray, ids: np.ndarray, factors: int = 4, passes: int = 20, rate: float = 0.1) -> Model:
-    """Logistic loss with classes weighed alike, by adaptive gradient steps on blocks of rows in a
-    fixed random order. With one class only, or no row, the score is that class's smoothed share."""
-    rng, size = np.random.default_rng(5), len(words.chosen)
+class Block:
+    """Some rows of a sample that are learned from together: their terms, and each one's places in them."""
+
+    def __init__(self, rows: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+        rows = rows[starts[rows + 1] > starts[rows]]
+        lens = starts[rows + 1] - starts[rows]
+        self.rows, self.first = rows, np.cumsum(lens) - lens
+        at = ids[np.repeat(starts[rows] - self.first, lens) + np.arange(lens.sum())]
+        self.terms, self.place = np.unique(at, return_inverse=True)
+        self.row = np.repeat(np.arange(len(rows)), lens)
+        order = np.argsort(self.place, kind="stable")
+        self.row_by_term, self.term_first = self.row[order], np.searchsorted(self.place[order], np.arange(len(self.terms)))
+
+
+def fit(
+    y: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, factors: int = 4, linear: int = 3, passes: int = 16, patience: int = 4,
+    rate: float = 1.0, sparsity: float = 15.0, vector_rate: float = 0.1, ridge: float = 1.0,
+) -> Model:
+    """From labels 0/1 and each row's distinct terms. Logistic loss, classes weighed alike.
+
+    Weights follow the leader with an absolute-value penalty, which leaves a term that tells little at 0;
+    vectors take adaptive gradient steps, but only after `linear` passes over the weights alone. A fifth
+    of the rows isn't learned from: of all passes the one with the least loss on them is kept, so vectors
+    stay where pairs tell something, and the fit ends after `patience` passes that better nothing. With one class only, or no row, the score is that class's smoothed share.
+    """
+    rng, size = np.random.default_rng(5), 1 << bits
     pos, neg = int((y > 0).sum()), int((y <= 0).sum())
-    w, v = np.zeros(size), rng.normal(0, 0.02, (size, factors))
-    if not pos or not neg or not size:
-        return Model(words, 0.0, w, np.zeros((size, factors)), 0.0, float(np.log((pos + 1) / (neg + 1))))
+    w, start = np.zeros(size, np.float32), rng.normal(0, 0.02, (size, factors)).astype(np.float32)
+    if not pos or not neg:
+        return Model(0.0, w, np.zeros((size, factors)), 0.0, float(np.log((pos + 1) / (neg + 1))))
     weight = np.where(y > 0, len(y) / (2 * pos), len(y) / (2 * neg))
-    model, bias_g, w_g, v_g = Model(words, 0.0, w, v), 1e-6, np.full(size, 1e-6), np.full((size, factors), 1e-6)
-    for _ in range(passes):
-        order = rng.permutation(len(y))
-        for block in np.array_split(order, max(1, len(y) // 64)):
-            lens = starts[block + 1] - starts[block]
-            at = ids[np.repeat(starts[block], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)]
-            row = np.repeat(np.arange(len(block)), lens)
-            margin = model.margins(row, at, len(block))
-            slope = weight[block] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - (y[block] > 0)) / len(block)
+    order = rng.permutation(len(y))
+    aside = order[: len(y) // 5] if min(pos, neg) >= 10 else order[:0]
+    learned = order[len(aside) :]
+    blocks = [Block(rows, starts, ids) for rows in np.array_split(learned, max(1, len(learned) // BLOCK))]
+    checked = Block(aside if len(aside) else learned, starts, ids)
+    v = np.zeros((size, factors), np.float32)
+    bias, bias_g, z, g_sum, v_g = 0.0, 1.0, np.zeros(size), np.zeros(size), np.ones((size, factors), np.float32)
+    best, least, last = Model(0.0, w, v[:, :0]), np.inf, 0
+    for turn in range(passes):
+        if turn == linear:
+            v = start
+        if turn >= max(linear, last) + patience:
+            break
+        for k in rng.permutation(len(blocks)):
+            block = blocks[k]
+            if not len(block.rows):
+                continue
+            u, truth = block.terms, y[block.rows] > 0
+            wu, vu = w[u], v[u]
+            margin = bias + np.add.reduceat(wu[block.place], block.first)
+            if turn >= linear:
+                x = vu[block.place]
+                sums = np.add.reduceat(x, block.first, axis=0)
+                margin = margin + 0.5 * (sums * sums - np.add.reduceat(x * x, block.first, axis=0)).sum(1)
+            slope = weight[block.rows] * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - truth)
             bias_g += slope.sum() ** 2
-            model.bias -= rate * slope.sum() / np.sqrt(bias_g)
-            g = np.bincount(at, slope[row], size) + 1e-5 * w
-            w_g += g * g
-            w -= rate * g / np.sqrt(w_g)
-            for f in range(factors):
-                x = v[at, f]
-                sums = np.bincount(row, x, len(block))
-                g = np.bincount(at, slope[row] * (sums[row] - x), size) + 1e-4 * v[:, f]
-                v_g[:, f] += g * g
-                v[:, f] -= 0.2 * rate * g / np.sqrt(v_g[:, f])
+            bias -= rate * slope.sum() / np.sqrt(bias_g)
+            by_term = slope[block.row_by_term]
+            g = np.add.reduceat(by_term, block.term_first)
+            if turn >= linear:
+                g_v = np.add.reduceat((slope[:, None] * sums)[block.row_by_term], block.term_first, axis=0) + (ridge - g)[:, None] * vu
+                v_g[u] += g_v * g_v
+                v[u] = vu - vector_rate * g_v / np.sqrt(v_g[u])
+            after = g_sum[u] + g * g
+            z[u] += g - (np.sqrt(after) - np.sqrt(g_sum[u])) / rate * wu
+            g_sum[u] = after
+            over = np.sign(z[u]) * np.maximum(np.abs(z[u]) - sparsity, 0)
+            w[u] = -over * rate / (1 + np.sqrt(after))
+        model = Model(bias, w, v if turn >= linear else v[:, :0])
+        margin, truth = model.margins(checked.row, checked.terms[checked.place], len(checked.rows)), y[checked.rows] > 0
+        loss = (weight[checked.rows] * np.logaddexp(0, np.where(truth, -margin, margin))).sum()
+        if loss < least:
+            best, least, last = Model(bias, w.copy(), model.v.copy()), loss, turn + 1
     text = np.repeat(np.arange(len(y)), np.diff(starts))
-    model.scale, model.shift = calibrated(model.margins(text, ids, len(y)), y)
-    return model
+    best.scale, best.shift = calibrated(best.margins(text, ids, len(y)), y)
+    return best
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int, size: int) -> Model:
-    """sample has at most `most` rows of two numbers and goes by broadcast; ids that repeat in docs
-    are cut to `most` rows again before anything is collected."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int, bits: int) -> Model:
+    """From the at most `most` labelled rows that labelled_sample() chooses."""
     sample = labelled_sample(labels, "toxic", usable, most)
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text"), "toxicity-sample")
-    toxic, clean = (rows.where(F.col("label") == k).count() for k in (1, 0))
-    words = Vocabulary(chosen_terms(term_counts(rows), toxic, clean, size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in grams.by_batch(batches, 1):
-            text, at = words.of(texts)
-            cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(at.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "ids"])
-
-    found = rows.mapInArrow(run, "label int, ids array<int>").orderBy(F.xxhash64("ids", "label"), "label").limit(most).toArrow()
-    lists = found.column("ids").to_pylist()
-    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    ids = np.array([i for x in lists for i in x], np.int64)
-    return fit(words, found.column("label").to_numpy(), starts, ids)
+    y, starts, ids = sampled_features(docs, sample, most, lambda texts: term_ids(texts, bits))
+    return fit(y, starts, ids, bits)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_labelled: int = 12_000, terms: int = 2048) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, max_labelled: int = 12_000, bits: int = 20) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5), per row of docs.
 
     docs needs doc_id and text, labels doc_id and toxic. The model is fitted on the max_labelled
@@ -157,14 +144,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     score. Repeated rows give repeated rows; other columns are ignored.
     """
     out = id_remainder("doc_id", 5) == 0 if held_out is None else held_out
-    model = train(docs, labels, ~out, max_labelled, terms)
+    model = train(docs, labels, ~out, max_labelled, bits)
     rows = scored(docs, model).withColumn("held_out", out)
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 12_000, terms: int = 2048) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 12_000, bits: int = 20) -> DataFrame:
     """docs, all columns, whose score is below threshold. Labels of the held-out fifth aren't used."""
-    model = train(docs, labels, id_remainder("doc_id", 5) != 0, max_labelled, terms)
+    model = train(docs, labels, id_remainder("doc_id", 5) != 0, max_labelled, bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
