@@ -11,7 +11,8 @@ import pyarrow as pa
 STEP = 1 << 19
 #: Classes of code points: other, white space, upper, lower, digit; punctuation stands for itself.
 OTHER, SPACE, UPPER, LOWER, DIGIT = 0, 1, 2, 3, 4
-LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+#: Unicode's category L.
+LETTER = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, np.uint64)]
 
@@ -103,7 +104,7 @@ def terms(texts: list[str], prefix: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every word (run of letters, lower-cased) and of the first `prefix`
     letters of every longer one. Repeats are kept; sorted by text."""
     codes, starts = points([t.lower() for t in texts])
-    a, b = runs(looked_up(LETTER, codes, True))
+    a, b = runs(LETTER[codes])
     if not len(a):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     text, whole = text_of(starts, a), run_hashes(codes, a, b)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,6 @@ from .common import id_remainder
 
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_ids(texts: list[str], size: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -23,7 +21,7 @@ def gram_ids(texts: list[str], size: int) -> tuple[list[np.ndarray], np.ndarray]
     text's positions start. Texts are lower-cased, runs of non-letters become one blank and texts end
     in one; n-grams that would cross a text's end have id `size`."""
     codes, starts = grams.points([t.lower() for t in texts])
-    codes = np.where(grams.looked_up(grams.LETTER, codes, True), codes, 32)
+    codes = np.where(grams.LETTER[codes], codes, 32)
     ends = starts[1:] - 1
     keep = np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))
     keep[ends] = True
@@ -110,7 +108,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch, texts in grams.by_batch(batches, 1):
-            known = np.array([bool(model.langs) and HAS_LETTER.search(t) is not None for t in texts])
+            known = np.array([bool(model.langs) and any(map(str.isalpha, t)) for t in texts])
             langs, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if known.any():
                 logs = scores([t for t, k in zip(texts, known, strict=True) if k], model)
