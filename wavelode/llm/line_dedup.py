@@ -3,11 +3,12 @@
 A line of l bytes is cut into most + 1 segments. A line within `most` edits leaves one of them whole,
 at a place that the difference of lengths and the segment's number confine to few starts. So every
 line is indexed by its segments and probes with its substrings at those starts, for each length it may
-meet. Keys are hashes of (length, segment number, bytes). The rows carry a sketch of letter counts,
-which every edit changes in at most two bits; pairs further apart than that don't leave the join. Keys
-held by very many lines are split by fifths of the sketch (for two edits), of which close lines share
-one. What is left is verified by a banded bit-parallel edit distance on the pair's bytes, after their
-common ends are cut off.
+meet. Keys are hashes of (length, segment number, bytes). Lines that share a key with many others get a
+sketch of character counts, of which an edit changes at most two bits, and one of the counts of pairs
+of neighbours, of which it changes at most four; pairs further apart than that don't leave the join.
+Such keys are also split by fifths of the first sketch (for two edits), of which close lines share one.
+What is left is verified by a banded bit-parallel edit distance on the pair's bytes, after their common
+ends are cut off.
 
 deduplicated() carries the classes back to every line of every document: of a class one line stays, and
 the texts are built again without the others.
@@ -26,11 +27,11 @@ MOST_EDITS, MIN_BYTES = 2, 20
 BYTES_PER_EDIT = 10
 #: Trimmed from both ends of a line; lines end at \n.
 BLANKS = " \t\r\f\v"
-#: Two bits of sketch each. Any list gives right results; frequent ones filter best.
-COUNTED = "abcdefghijklmnopqrstuvwxyz ,.0"
+#: Classes of characters, and of pairs of them, that a sketch counts in two bits each.
+CLASSES, PAIR_CLASSES = 31, 62
 #: Keys of more lines than HOT_ROWS are split by sketches, but at most HOT_KEYS of them, the fullest
 #: ones: so many rows of 9 bytes are broadcast, however large the input is.
-HOT_ROWS, HOT_KEYS = 64, 1 << 18
+HOT_ROWS, HOT_KEYS = 8, 1 << 18
 #: Columns after which the verification looks whether a pair can still be within bounds.
 BLOCK = 16
 
@@ -41,17 +42,32 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
-def sketch(line: Column) -> Column:
-    """Counts of 30 characters modulo 4 in Gray code: one more or fewer of a character flips one bit."""
-    bits = F.lit(0).cast("long")
-    for i, c in enumerate(COUNTED):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).bitwiseAND(3).cast("long"), 2 * i))
-    return bits
+def sketches(line: Column) -> Column:
+    """Struct of three longs: counts of characters (one) and of pairs of neighbours (two, three), by class
+    of their code points, modulo 4 in Gray code, so that one more or fewer flips one bit.
+
+    An edit of one byte touches one character of each line at most, so it changes two counts of
+    characters and four of pairs at most, in any script.
+    """
+    add = lambda s, at: f"({s} & ~shiftleft(3L, 2 * ({at}))) | shiftleft((shiftright({s}, 2 * ({at})) + 1L) & 3L, 2 * ({at}))"
+    pair = f"int(pmod((a.last * 1000003L + p) * 2654435761L, {PAIR_CLASSES * 1021}L) / 1021)"
+    half = PAIR_CLASSES // 2
+    step = let("p", "ascii(c)", let("q", pair, f"""named_struct('last', int(p),
+      'one', {add("a.one", f"p % {CLASSES}")}, 'two', if(q < {half}, {add("a.two", "q")}, a.two),
+      'three', if(q < {half}, a.three, {add("a.three", f"q - {half}")}))"""))
+    counts = f"aggregate(split(x, ''), named_struct('last', 0, 'one', 0L, 'two', 0L, 'three', 0L), (a, c) -> {step})"
+    gray = lambda v: f"({v} ^ (shiftright({v}, 1) & 6148914691236517205L))"
+    return F.expr(let("x", line, let("s", counts, f"named_struct('one', {gray('s.one')}, 'two', {gray('s.two')}, 'three', {gray('s.three')})")))
+
+
+def segment_rows(base: DataFrame, most: int, probing: bool) -> DataFrame:
+    """(id, size, key) of base (id, bytes, size): its own segments' keys, or those it probes with."""
+    return base.select("id", "size", F.explode(segment_keys(most, probing)).alias("key")).where("key is not null")
 
 
 def segment_keys(most: int, probing: bool) -> Column:
-    """The keys of column `bytes` of length `size`: of its own segments, or those it probes with.
+    """The keys of column `bytes` of length `size`: of its own segments, or those it probes with, null
+    where a substring doesn't fit.
 
     Of a line shorter by `less`, segment i (from 0) may lie off by -i to i, counted from the left,
     and by less - (most - i) to less + (most - i), counted from the right.
@@ -69,7 +85,7 @@ def segment_keys(most: int, probing: bool) -> Column:
                 inside = (at >= 0) & (at + long <= F.col("size"))
                 part = F.substring(F.col("bytes"), at + 1, long)
                 keys.append(F.when(inside, F.xxhash64(length, F.lit(i), part)))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def hot_keys(index: DataFrame) -> DataFrame:
@@ -85,31 +101,34 @@ def hot_keys(index: DataFrame) -> DataFrame:
     return many.where(F.col("count") > least).select("key", F.lit(True).alias("hot"))
 
 
-def split_hot(rows: DataFrame, hot: DataFrame, most: int) -> DataFrame:
-    """(id, size, key, sketch): rows (id, line, size, key), where hot keys are split by parts of the
-    sketch; other rows don't compute it and have sketch 0."""
-    parts, width = 2 * most + 1, 2 * len(COUNTED) // (2 * most + 1)
-    marked = rows.join(F.broadcast(hot), "key", "left").select(
-        "id", "size", "key", F.when(F.col("hot"), sketch(F.col("line"))).alias("sketch")
-    )
-    part = lambda p: F.shiftright("sketch", width * p).bitwiseAND((1 << width) - 1)
+def split_hot(rows: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """(id, size, key, one, two, three): rows (id, size, key) with their sketches, by parts of the first."""
+    parts, width = 2 * most + 1, 2 * CLASSES // (2 * most + 1)
+    part = lambda p: F.shiftright("one", width * p).bitwiseAND((1 << width) - 1)
     fine = F.array(*[F.xxhash64("key", F.lit(p), part(p)) for p in range(parts)])
-    keys = F.when(F.col("sketch").isNotNull(), fine).otherwise(F.array("key"))
-    return marked.select("id", "size", F.coalesce("sketch", F.lit(0)).alias("sketch"), F.explode(keys).alias("key"))
+    return rows.join(marks, "id").select("id", "size", "one", "two", "three", F.explode(fine).alias("key"))
 
 
 def candidates(distinct: DataFrame, most: int) -> DataFrame:
     """(a, b): pairs of ids of distinct (id, line) that share a segment, by a hot key only those with
-    close sketches; a pair stands once."""
-    base = distinct.select("id", "line", F.col("line").cast("binary").alias("bytes"), F.octet_length("line").alias("size"))
-    index = base.select("id", "line", "size", F.explode(segment_keys(most, probing=False)).alias("key"))
-    probes = base.select("id", "line", "size", F.explode(segment_keys(most, probing=True)).alias("key"))
+    close sketches; a pair stands once. Lines themselves don't travel with their keys."""
+    base = distinct.select("id", F.col("line").cast("binary").alias("bytes"), F.octet_length("line").alias("size"))
+    index, probes = segment_rows(base, most, probing=False), segment_rows(base, most, probing=True)
     hot = hot_keys(index)
-    i, p = split_hot(index, hot, most).alias("i"), split_hot(probes, hot, most).alias("p")
-    near = F.bit_count(F.col("i.sketch").bitwiseXOR(F.col("p.sketch"))) <= 2 * most
     order = (F.col("i.size") < F.col("p.size")) | ((F.col("i.size") == F.col("p.size")) & (F.col("i.id") < F.col("p.id")))
-    pairs = i.join(p, (F.col("i.key") == F.col("p.key")) & order & near & (F.col("p.size") - F.col("i.size") <= most))
-    return pairs.select(F.col("i.id").alias("a"), F.col("p.id").alias("b")).distinct()
+    meet = (F.col("i.key") == F.col("p.key")) & order & (F.col("p.size") - F.col("i.size") <= most)
+    few = [rows.join(F.broadcast(hot), "key", "left_anti") for rows in (index, probes)]
+    pairs = few[0].alias("i").join(few[1].alias("p"), meet).select(F.col("i.id").alias("a"), F.col("p.id").alias("b"))
+    many = [stored(rows.join(F.broadcast(hot), "key", "left_semi").select("id", "size", "key"), "line-hot-rows") for rows in (index, probes)]
+    if not many[0].isEmpty():
+        ids = many[0].select("id").unionByName(many[1].select("id")).distinct()
+        lines = maybe_in(distinct.select("id", "line"), "id", ids).join(ids, "id", "left_semi")
+        marks = stored(lines.select("id", sketches("line").alias("s")).select("id", "s.*"), "line-sketches")
+        i, p = (split_hot(rows, marks, most).alias(name) for rows, name in zip(many, "ip", strict=True))
+        apart = lambda *names: sum((F.bit_count(F.col(f"i.{n}").bitwiseXOR(F.col(f"p.{n}"))) for n in names), F.lit(0))
+        near = (apart("one") <= 2 * most) & (apart("two", "three") <= 4 * most)
+        pairs = pairs.unionByName(i.join(p, meet & near).select(F.col("i.id").alias("a"), F.col("p.id").alias("b")))
+    return pairs.distinct()
 
 
 def let(name: str, value: str, body: str) -> str:
