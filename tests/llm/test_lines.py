@@ -94,6 +94,42 @@ def test_classes_equal_brute_force(spark, monkeypatch, hot_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрст", "abcdefghijklmnopqr"])
+def test_families_have_few_candidates_in_any_script(spark, letters):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 8)))
+    words, counts = [word() for _ in range(60)], []
+    for size in (200, 400):
+        lines = set()
+        while len(lines) < size:  # some words exchanged for others as long: same lengths, nearly the same letters
+            line = list(words)
+            for _ in range(3):
+                at = rng.randrange(60)
+                line[at] = "".join(rng.choice(letters) for _ in words[at])
+            lines.add(" ".join(line))
+        near = next(iter(lines))
+        lines.add(near[:-1] + ("q" if near[-1] != "q" else "z"))
+        rows = spark.createDataFrame(list(enumerate(sorted(lines))), "id long, line string")
+        pairs = line_dedup.candidates(rows, 2).collect()
+        names = sorted(lines)
+        assert any({names[r.a], names[r.b]} == {near, near[:-1] + ("q" if near[-1] != "q" else "z")} for r in pairs)
+        counts.append(len(pairs))
+    assert counts[1] < 400  # of 79 800 pairs, nearly all of which share a segment
+
+
+def test_sketches_bound_edits_in_any_script(spark):
+    rng, pairs = random.Random(9), []
+    for _ in range(400):
+        letters = rng.choice(["abc ", "абв é", "日本語 a", "\U0001f600é\u07ffz"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(5, 40)))
+        other = edited(rng, text, rng.randint(0, 2), letters)
+        pairs.append((text, other, distance(text, other)))
+    rows = spark.createDataFrame(pairs, "l string, r string, d int").select("d", line_dedup.sketches("l").alias("a"), line_dedup.sketches("r").alias("b"))
+    apart = lambda n: F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}")))
+    for d, one, two in rows.select("d", apart("one"), apart("two") + apart("three")).collect():
+        assert one <= 2 * d and two <= 4 * d
+
+
 def test_few_hot_keys_stay_exact(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT_ROWS", 2)
     monkeypatch.setattr(line_dedup, "HOT_KEYS", 3)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, maybe_in, stored
+from .common import attach, kind_of, maybe_in, stored
 from .components import components
 
 MOST_EDITS, MIN_BYTES = 2, 20
@@ -38,7 +38,7 @@ BLOCK = 16
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line): the lines of every text, trimmed, empty ones left out; null texts have none."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
@@ -50,7 +50,7 @@ def sketches(line: Column) -> Column:
     characters and four of pairs at most, in any script.
     """
     add = lambda s, at: f"({s} & ~shiftleft(3L, 2 * ({at}))) | shiftleft((shiftright({s}, 2 * ({at})) + 1L) & 3L, 2 * ({at}))"
-    pair = f"int(pmod((a.last * 1000003L + p) * 2654435761L, {PAIR_CLASSES * 1021}L) / 1021)"
+    pair = f"int(pmod((a.last * 1000003L + p) % 2147483647L * 69621L, {PAIR_CLASSES * 1021}L) / 1021)"
     half = PAIR_CLASSES // 2
     step = let("p", "ascii(c)", let("q", pair, f"""named_struct('last', int(p),
       'one', {add("a.one", f"p % {CLASSES}")}, 'two', if(q < {half}, {add("a.two", "q")}, a.two),
@@ -61,31 +61,28 @@ def sketches(line: Column) -> Column:
 
 
 def segment_rows(base: DataFrame, most: int, probing: bool) -> DataFrame:
-    """(id, size, key) of base (id, bytes, size): its own segments' keys, or those it probes with."""
-    return base.select("id", "size", F.explode(segment_keys(most, probing)).alias("key")).where("key is not null")
-
-
-def segment_keys(most: int, probing: bool) -> Column:
-    """The keys of column `bytes` of length `size`: of its own segments, or those it probes with, null
-    where a substring doesn't fit.
+    """(id, size, key) of base (id, bytes, size): keys of its own segments, or those it probes with.
 
     Of a line shorter by `less`, segment i (from 0) may lie off by -i to i, counted from the left,
-    and by less - (most - i) to less + (most - i), counted from the right.
+    and by less - (most - i) to less + (most - i), counted from the right. These choices are rows of a
+    constant array and the key one expression of them, so that the generated code stays small.
     """
-    keys = []
-    for less in range(most + 1 if probing else 1):
-        length = F.col("size") - less
-        base, longer = F.floor(length / (most + 1)).cast("int"), (length % (most + 1)).cast("int")
-        for i in range(most + 1):
-            start = base * i + F.greatest(F.lit(0), longer - (most + 1 - i))
-            long = base + F.when(longer >= most + 1 - i, 1).otherwise(0)
-            offs = range(max(-i, less - most + i), min(i, less + most - i) + 1) if probing else (0,)
-            for off in offs:
-                at = start + off
-                inside = (at >= 0) & (at + long <= F.col("size"))
-                part = F.substring(F.col("bytes"), at + 1, long)
-                keys.append(F.when(inside, F.xxhash64(length, F.lit(i), part)))
-    return F.array(*keys)
+    choices = [
+        (less, i, off)
+        for less in range(most + 1 if probing else 1)
+        for i in range(most + 1)
+        for off in (range(max(-i, less - most + i), min(i, less + most - i) + 1) if probing else (0,))
+    ]
+    field = lambda k: F.shiftright("choice", 8 * k).bitwiseAND(255)
+    packed = F.array(*[F.lit(less | i << 8 | off + most << 16) for less, i, off in choices])
+    rows = base.select("id", "size", "bytes", F.explode(packed).alias("choice"))
+    length, i = F.col("size") - field(0), field(1)
+    rows = rows.select("id", "size", "bytes", length.alias("length"), i.alias("i"), (field(2) - most).alias("off"))
+    short, longer = F.expr(f"length div {most + 1}").cast("int"), F.col("length") % (most + 1)
+    start = short * F.col("i") + F.greatest(F.lit(0), F.col("i") - (most + 1 - longer)) + F.col("off")
+    long = short + F.when(F.col("i") >= most + 1 - longer, 1).otherwise(0)
+    rows = rows.where((start >= 0) & (start + long <= F.col("size")))
+    return rows.select("id", "size", F.xxhash64("length", "i", F.substring("bytes", start + 1, long)).alias("key"))
 
 
 def hot_keys(index: DataFrame) -> DataFrame:
@@ -216,7 +213,7 @@ def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_B
     named = stored(inside.select("id", "n_links", "root").join(classes, "root").drop("root"), "line-named")
     near = maybe_in(rows, "id", named.select("id")).join(named, "id", "left")
     far = maybe_in(rows, "id", named.select("id"), inside=False)
-    alone = [F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("string").alias("class_id"), F.lit(None).cast("long").alias("class_doc")]
+    alone = [F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("string").alias("class_id"), F.lit(None).cast(kind_of(docs, "doc_id")).alias("class_doc")]
     everything = near.select(*far.columns, "n_links", "class_id", "class_doc").unionByName(far.select("*", *alone))
     return everything.select(
         "line", "line_md5", "n", "first_doc", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -226,7 +223,7 @@ def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_B
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text), written: a number tells rows apart, as ids may repeat or be null."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text")
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
 
 
