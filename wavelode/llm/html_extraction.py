@@ -3,8 +3,10 @@
 A page becomes a tree of nodes; boosted trees score each by subtree density, attribute tokens, depth
 and sibling statistics; the best labelling in which every kept node's ancestors are kept too is found
 by one pass up and one down the tree. No labels come with the pages, so the trees learn from a bounded
-sample of them: as they are, with their article element as the truth, and laid out anew, their own
-paragraphs, links and footers standing in other elements with other attributes, truth known.
+sample of them: as they are, with their article element as the truth (but for forms, asides, menus,
+footers and readers' comments inside it), and laid out anew, their own sentences standing in headings,
+paragraphs, lists, tables, quotes and preformatted text, their links and footers in other elements, under
+usual names, made-up names or none, truth known.
 """
 
 from __future__ import annotations
@@ -280,6 +282,8 @@ TOP = ["header", "div id=header", "div class=site-header", "div class=masthead",
 BOTTOM = ["footer", "div id=footer", "div class=site-footer", "div class=copyright", "div role=contentinfo"]
 ADVERT = ["div class=ad", "div class=advert", "div class=sponsored", "ins class=adsbygoogle", "div id=ad-banner", "div class=promo", "aside class=advertisement"]
 NOTICE = ["div class=cookie-notice", "div id=cookie-banner", "div class=notice", "div role=alert", "div class=popup", "div class=gdpr-consent", "div class=newsletter"]
+# Elements and names inside an article that hold something else.
+NOT_TEXT = frozenset("t:form t:aside t:nav t:footer t:button t:select t:textarea a:comment a:comments a:advert a:ad a:sponsored a:newsletter a:share".split())
 COMMENTS = ["section id=comments", "div class=comments", "div id=disqus", "ol class=comment-list", "div class=comment-section", "section class=responses"]
 
 
@@ -293,66 +297,115 @@ def relaid(page: Page, rng: random.Random, others: list[str]) -> str:
     esc = html.escape
     short = lambda: esc(rng.choice(outside)[:80])
     prose = lambda: esc(rng.choice(others))
+    some = lambda share, part: [part] if rng.random() < share else []
+    named = rng.random() < 0.7  # else all names of this page are made up
+    attribute = lambda: rng.choice(["", "", f" class={made_up(rng)}", f' class="{made_up(rng)} {made_up(rng)}"', f" id={made_up(rng)}"])
 
     def box(kind: str, body: str, truth: str | None = "0") -> str:
-        tag, _, named = kind.partition(" ")
-        key, _, value = named.partition("=")
-        attributes = (f' {key}="{value}"' if named else "") + (f' {TRUTH}="{truth}"' if truth else "")
-        return f"<{tag}{attributes}>{body}</{tag}>"
+        tag, _, name = kind.partition(" ")
+        key, _, value = name.partition("=")
+        own = (f' {key}="{value}"' if name else "") if named else attribute()
+        return f"<{tag}{own}" + (f' {TRUTH}="{truth}"' if truth else "") + f">{body}</{tag}>"
 
     def links() -> str:
-        return "<ul>" + "".join(f'<li><a href="/{k}">{short()[: rng.randint(4, 30)]}</a></li>' for k in range(rng.randint(2, 9))) + "</ul>"
+        items = [f'<a href="/{k}">{short()[: rng.randint(4, 30)]}</a>' for k in range(rng.randint(2, 9))]
+        return rng.choice(["<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", " | ".join(items), " ".join(items), "<p>" + " ".join(items) + "</p>"])
+
+    def remarks() -> str:
+        name = rng.choice(["comment", "reply", made_up(rng)])
+        each = [rng.choice([f'<div class="{name}"><b>{short()[:14]}</b><p>{prose()[:300]}</p></div>', f"<li><p>{prose()[:200]}</p></li>", f'<div class="{name}">{short()[:20]}: {prose()[:150]}</div>']) for _ in range(rng.randint(1, 5))]
+        return rng.choice([f"<h3>{short()[:20]}</h3>", ""]) + "".join(each)
+
+    def fields() -> str:
+        return rng.choice([f"<label>{short()}</label>", f"<p>{short()}</p>", short()]) + "<input>" + rng.choice([f"<button>{short()[:12]}</button>", "<input type=submit>"])
+
+    advert = lambda: box(rng.choice(ADVERT), rng.choice([short(), prose()[:120], f"<p>{prose()[:160]}</p>", f"<a href=/x>{prose()[:60]}</a>"]))
+    form = lambda: box(rng.choice(["form", "form class=search", "form id=subscribe"]), fields())
+    notice = lambda: box(rng.choice(NOTICE), rng.choice([prose()[:200], f"<p>{prose()[:160]}</p><button>{short()[:8]}</button>"]))
+    related = lambda: box(rng.choice(SIDE), rng.choice(["", f"<h3>{short()[:20]}</h3>"]) + links())
+
+    def stretch(text: str) -> str:
+        """Some of the article's own text in some element."""
+        parts = [esc(x) for x in re.split(r"(?<=[.!?]) ", text) if x.strip()]
+        whole, kind = esc(text), rng.random()
+        if kind < 0.1:
+            tag = rng.choice(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in parts) + f"</{tag}>"
+        if kind < 0.16:
+            cells = [rng.choice(["td", "td", "th"]) for _ in parts]
+            wide = rng.randint(1, 3)
+            rows = ["".join(f"<{c}>{x}</{c}>" for c, x in list(zip(cells, parts, strict=True))[k : k + wide]) for k in range(0, len(parts), wide)]
+            return "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
+        if kind < 0.22:
+            return rng.choice(["<pre>{}</pre>", "<pre><code>{}</code></pre>"]).format(whole)
+        if kind < 0.28:
+            return rng.choice(["<blockquote><p>{}</p></blockquote>", "<blockquote>{}</blockquote>"]).format(whole)
+        if kind < 0.31:
+            return "<dl>" + "".join(f"<{t}>{x}</{t}>" for t, x in zip(["dt", "dd"] * len(parts), parts, strict=False)) + "</dl>"
+        if kind < 0.43 and len(parts) > 1 and len(parts[0]) < 140:
+            return rng.choice(["<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>"]).format(parts[0]) + "<p>" + " ".join(parts[1:]) + "</p>"
+        if kind < 0.48:
+            return f"<div{attribute()}>{whole}</div>"
+        if kind < 0.52:
+            return "<br><br>".join(parts)
+        if kind < 0.56:
+            return f"<figure><img src=x><figcaption>{parts[0] if parts else whole}</figcaption></figure>" + (f"<p>{' '.join(parts[1:])}</p>" if len(parts) > 1 else "")
+        return f"<p{attribute() if rng.random() < 0.2 else ''}>{whole}</p>"
 
-    advert = lambda: box(rng.choice(ADVERT), rng.choice([short(), prose()[:120], f"<p>{prose()[:160]}</p>"]))
     body = []
     few = rng.randint(1, 2) if rng.random() < 0.2 else len(paragraphs)
     for k, text in enumerate(list(paragraphs.values())[:few]):
-        text = esc(text)
-        if k == 0 and len(text) < 120 and rng.random() < 0.7:
-            body.append(f"<h1>{text}</h1>")
-        elif rng.random() < 0.06:
-            body.append(f"<ul><li>{text}</li></ul>")
-        elif rng.random() < 0.06:
-            body.append(f"<blockquote><p>{text}</p></blockquote>")
-        elif rng.random() < 0.06 and len(text) < 100:
-            body.append(f"<h2>{text}</h2>")
+        if k == 0 and len(text) < 160 and rng.random() < 0.8:
+            title = rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]).format(esc(text))
+            body.append(title)
         else:
-            body.append(f"<p>{text}</p>")
-        if rng.random() < 0.05:
-            body.append(rng.choice([advert(), box("div class=share", links()), box("aside class=related", links()), box("figure", f"<img src=x><figcaption>{short()}</figcaption>")]))
+            body.append(stretch(text))
+        if rng.random() < 0.08:
+            body.append(rng.choice([advert, form, related, lambda: box("div class=share", links()), lambda: box("nav class=toc", links()), notice])())
+    body += some(0.12, box(rng.choice(COMMENTS), remarks())) + some(0.12, form()) + some(0.1, box("footer", short()))
     content = box(rng.choice(CONTENT), "".join(body), "1")
     if rng.random() < 0.3:
         content = box(rng.choice(["div class=wrapper", "div id=page", "div class=container", "div", "section"]), content, None)
-    form = box(rng.choice(["form", "form class=search", "form id=subscribe"]), f"<label>{short()}</label><input><button>{short()[:12]}</button><p>{short()}</p>")
-    remarks = "".join(f'<div class="comment"><b>{short()[:14]}</b><p>{prose()}</p></div>' if rng.random() < 0.5 else f"<li><p>{prose()}</p></li>" for _ in range(rng.randint(1, 5)))
-    some = lambda share, part: [part] if rng.random() < share else []
-    parts = [
-        *some(0.5, box(rng.choice(NOTICE), rng.choice([prose()[:200], f"<p>{prose()[:160]}</p><button>{short()[:8]}</button>"]))),
-        *some(0.6, box(rng.choice(TOP), f"<h1>{short()[:30]}</h1>" + rng.choice(["", links(), f"<p>{short()}</p>"]))),
+    before = [
+        *some(0.5, notice()),
+        *some(0.6, box(rng.choice(TOP), rng.choice([f"<h1>{short()[:30]}</h1>", short()[:40]]) + rng.choice(["", links(), f"<p>{short()}</p>"]))),
         *some(0.8, box(rng.choice(MENU), links())),
         *some(0.5, advert()),
-        *some(0.3, form),
+        *some(0.3, form()),
         *some(0.3, box(rng.choice(SIDE), links())),
-        content,
+    ]
+    after = [
         *some(0.5, box(rng.choice(SIDE), rng.choice([links(), f"<h3>{short()[:20]}</h3>{links()}", f"<p>{prose()[:250]}</p>"]))),
-        *some(0.5, box(rng.choice(COMMENTS), "<h3>" + short()[:20] + "</h3>" + remarks)),
-        *some(0.3, form),
+        *some(0.5, box(rng.choice(COMMENTS), remarks())),
+        *some(0.3, form()),
         *some(0.4, advert()),
         *some(0.3, box(rng.choice(NOTICE), f"<p>{prose()[:200]}</p>")),
         *some(0.8, box(rng.choice(BOTTOM), rng.choice([short(), f"<p>{short()}</p>{links()}", "&copy; " + short()]))),
     ]
-    return f'<html><head><title>{short()}</title></head><body {TRUTH}="0">' + "".join(parts) + "</body></html>"
+    parts = "".join(before) + content + "".join(after)
+    if rng.random() < 0.12:  # a page laid out in a table
+        side = f'<td {TRUTH}="0">{links()}</td>'
+        middle = "".join(before[:1]) + f'<td {TRUTH}="1">' + "".join(body) + "</td>"
+        parts = "<table><tr>" + rng.choice([side + middle, middle + side, side + middle + side]) + f'</tr></table><table><tr><td {TRUTH}="0">{short()}</td></tr></table>'
+    return f'<html><head><title>{short()}</title></head><body {TRUTH}="0">{parts}</body></html>'
+
+
+def made_up(rng: random.Random) -> str:
+    """A name that says nothing."""
+    return "".join(rng.choice("bcdfghklmnprstvwxz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
 
 
 def as_is(source: str) -> Page | None:
-    """A page with its article element as the truth; None if it has none."""
+    """A page with its article element as the truth, without what isn't text of the article in it; None
+    if it has no article."""
     page = Page(source)
-    inside = [False] * len(page.parent)
-    order = sorted(range(len(page.parent)), key=page.depth.__getitem__)
-    for i in order:
-        inside[i] = page.tokens[i][0] == "t:article" or (i > 0 and inside[page.parent[i]])
-    page.truth = inside
-    return page if any(inside) else None
+    article, left_out = ([False] * len(page.parent) for _ in range(2))
+    for i in sorted(range(len(page.parent)), key=page.depth.__getitem__):
+        up = page.parent[i]
+        article[i] = page.tokens[i][0] == "t:article" or (i > 0 and article[up])
+        left_out[i] = article[i] and (bool(NOT_TEXT.intersection(page.tokens[i])) or (i > 0 and left_out[up]))
+    page.truth = [a and not o for a, o in zip(article, left_out, strict=True)]
+    return page if any(page.truth) else None
 
 
 def targets(page: Page) -> np.ndarray:
@@ -363,7 +416,7 @@ def targets(page: Page) -> np.ndarray:
     return keep
 
 
-def fit(sources: list[str], layouts: int = 3, trees: int = 50, depth: int = 4, rate: float = 0.3, tokens: int = 80) -> Trees:
+def fit(sources: list[str], layouts: int = 4, trees: int = 60, depth: int = 4, rate: float = 0.3, tokens: int = 100) -> Trees:
     """Trees from a list of pages. Pages without an article teach nothing; without any page that has
     one, the trees learn from layouts of a built-in line, so that every table has a result."""
     rng = random.Random(17)
@@ -410,7 +463,7 @@ def extract(pages: DataFrame, sample: int = 150, longest: int = 30_000) -> DataF
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     short = rows.where(F.length("html").between(1, longest)).select("html")
-    chosen = smallest(short, F.xxhash64("html"), sample, "html")
+    chosen = smallest(short, F.xxhash64("html"), sample, "html")  # rows of equal pages count one each
     shared = pages.sparkSession.sparkContext.broadcast(fit([r.html for r in chosen.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
