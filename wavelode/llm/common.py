@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ FILTER_BITS = 1 << 22
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (as in tests) a local folder takes its place.
+    Only where that setting is absent and all tasks run in this process does a local folder take its
+    place; on a cluster without the setting there is no folder that all can reach, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="wavelode-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -40,6 +44,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """Column `row`, a struct of all of docs' columns, beside copies of those named. So an operator's own
+    columns can't clash with docs'; select("row.*") gives docs' rows back."""
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
+def kind_of(rows: DataFrame, column: str) -> str:
+    """A column's type, for a schema."""
+    return dict(rows.dtypes)[column]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() does just that to pure ASCII, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -64,7 +79,8 @@ def maybe_in(rows: DataFrame, key: str, members: DataFrame, inside: bool = True)
     """The rows whose key's hash is among the hashes of members' keys, or with inside=False the others.
 
     A filter before a join, so that rows that cannot match don't go through its shuffle. All rows with
-    a key among members are inside, and some others; when the bitmap is full, all rows are.
+    a key among members are inside, and some others; when the bitmap is full, all rows are. rows have no
+    column named _bit, _slot or _mask.
     """
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     words = members.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_slot")).agg(
@@ -76,16 +92,21 @@ def maybe_in(rows: DataFrame, key: str, members: DataFrame, inside: bool = True)
 
 
 def smallest(rows: DataFrame, hashed: Column, most: int, *ties: str) -> DataFrame:
-    """At most `most` rows, those with the smallest 30 bits of a hash, the same ones on every run.
+    """The `most` rows with the smallest 30 bits of a hash (all, if there are fewer), the same ones on every run.
 
     A limit takes `most` rows from every task to one place, so rows whose hash is too large to be among
-    them are left out first, by a bound with a fourfold margin. Where over three quarters of the rows
-    repeat a few hashes, fewer than `most` may remain.
+    them are left out first, by a bound with a fourfold margin, which widens where many rows repeat a
+    few hashes. rows have no column named _h. The result is written.
     """
     bits = 1 << 30
     rows = rows.withColumn("_h", F.pmod(hashed, F.lit(bits)))
-    bound = min(bits, 4 * most * bits // max(rows.count(), 1))
-    return rows.where(F.col("_h") < bound).orderBy("_h", *ties).limit(most).drop("_h")
+    total = rows.count()
+    bound = min(bits, 4 * most * bits // max(total, 1))
+    while True:
+        found = stored(rows.where(F.col("_h") < bound).orderBy("_h", *ties).limit(most).drop("_h"), "sample")
+        if bound == bits or found.count() >= min(most, total):
+            return found
+        bound = min(bits, bound * 16)
 
 
 def labelled_sample(labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:

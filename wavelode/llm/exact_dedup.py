@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, ascii_lower, attach, maybe_in, shared_folder, stored
+from .common import HOT, ascii_lower, attach, maybe_in, packed, shared_folder, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -126,15 +126,16 @@ def exact_dedup(
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts: the one exact_dedup() keeps.
 
-    Only rows that may belong to a group with dropped rows are looked up; the others pass as they are.
+    Null and empty texts are equal; of repeated rows one stays; an empty table stays empty; other columns
+    may have any name. Only rows that may belong to a group with dropped rows are looked up; the others
+    pass as they are.
     """
     marks = stored(exact_dedup(docs, **options).where("group_size > 1"), "dedup-marks")
-    near = maybe_in(docs, "doc_id", marks)
-    far = maybe_in(docs, "doc_id", marks, inside=False)
-    near = near.withColumn("_digest", sha256(ascii_lower(F.coalesce("text", F.lit("")))))
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_mark"), "kept").withColumnRenamed("kept", "_kept")
-    marks = marks.groupBy("_id", "_mark").agg(F.max("_kept").alias("_kept"))
-    found = near.join(marks, near["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_mark")), "left")
-    alone = found.where(F.col("_kept").isNull()).select(*docs.columns)
-    kept = found.where("_kept").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
-    return far.unionByName(alone).unionByName(kept)
+    rows = packed(docs, "doc_id")
+    near = maybe_in(rows, "doc_id", marks).withColumn("digest", sha256(ascii_lower(F.coalesce("row.text", F.lit("")))))
+    stays = marks.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of")).agg(F.max("kept").alias("kept"))
+    found = near.join(stays, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    alone = found.where(F.col("kept").isNull()).select("row")
+    kept = found.where("kept").dropDuplicates(["doc_id", "digest"]).select("row")
+    far = maybe_in(rows, "doc_id", marks, inside=False).select("row")
+    return far.unionByName(alone).unionByName(kept).select("row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import id_remainder
+from .common import id_remainder, kind_of
 
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
@@ -117,8 +117,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score[known] = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, held_out: Column | None = None, **options) -> DataFrame:

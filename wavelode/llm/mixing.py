@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, packed, stored
 
 HASH_BITS, LEVEL_BITS, SALTS = 60, 12, 32
 
@@ -128,12 +128,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 20, **options) -> DataFrame:
-    """docs as the mix takes them, all columns: each row as often as it has copies (0 times: gone)."""
+    """docs as the mix takes them, all columns: each row as often as it has copies (0 times: gone).
+
+    Copies are those of mix(): documents without words are taken as their threshold says, null ids and
+    sources too, repeated rows share one fate, an empty table stays empty. Other columns may have any name.
+    """
     _, limits = mix_plan(docs, seed=seed, **options)
-    limits = limits.select(F.col("source").alias("of"), F.col("base").alias("_base"), F.col("limit").alias("_limit"))
-    salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.withColumn("_h", id_hash(F.col("doc_id"), seed))
-    on = F.col("source").eqNullSafe(F.col("of")) & (F.col("_salt") == F.pmod("_h", F.lit(SALTS)).cast("int"))
-    copies = (F.col("_base") + F.when(F.col("_h") < F.col("_limit"), 1).otherwise(0)).cast("int")
-    repeated = rows.join(salted, on).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*docs.columns)
+    rows = packed(docs, "source").withColumn("h", id_hash(F.col("row.doc_id"), seed))
+    taken = by_source(rows, limits.select("source", "base", "limit"))
+    copies = (F.col("base") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")

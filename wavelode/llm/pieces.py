@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import kind_of
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: No merge crosses the front of a run of blanks or a line break (checked when a model is loaded).
@@ -349,7 +351,7 @@ def copy_numbers(docs: DataFrame) -> DataFrame:
 
 
 def steps(rows: Iterator[tuple], size: int = STEP) -> Iterator[list[tuple]]:
-    """(doc_id, text or None) rows in lists of about `size` characters."""
+    """Rows (doc_id, text or None, ...) in lists of about `size` characters."""
     part, chars = [], 0
     for row in rows:
         part.append(row)
@@ -361,8 +363,11 @@ def steps(rows: Iterator[tuple], size: int = STEP) -> Iterator[list[tuple]]:
         yield part
 
 
-def text_key(doc_id: int | None) -> int:
-    return 0 if doc_id is None else doc_id % (1 << 64)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): key is a whole-number id itself (a null one 0), of other ids a hash."""
+    whole = kind_of(docs, "doc_id") in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.xxhash64("doc_id")
+    return docs.select("doc_id", "text", key.alias("key"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, vary_copies: bool = False) -> DataFrame:
@@ -379,14 +384,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed:
         words = shared.value
         for batch in batches:
             for part in steps(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                ids = words.encode_all([t or "" for _, t, _ in part], [text_key(i) for i, *_ in part], dropout, seed, [c for *_, c in part])
+                ids = words.encode_all([t or "" for _, t, *_ in part], [k % (1 << 64) for _, _, k, _ in part], dropout, seed, [c for *_, c in part])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for _, t, _ in part]))
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in part], pa.int64()), lists], ["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for _, t, *_ in part]))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in part], batch.schema.field(0).type), lists], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = keyed(docs)
     rows = copy_numbers(rows) if vary_copies else rows.withColumn("copy", F.lit(0))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -401,7 +406,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 texts = [None if x is None else words.decode(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind_of(tokens, 'doc_id')}, text string")
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1) -> DataFrame:
@@ -413,12 +418,12 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            for part in steps(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                texts = [t or "" for _, t in part]
-                ids = words.encode_all(texts, [text_key(i) for i, _ in part], dropout, seed)
+            for part in steps(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                texts = [t or "" for _, t, _ in part]
+                ids = words.encode_all(texts, [k % (1 << 64) for *_, k in part], dropout, seed)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i for i, _ in part], pa.int64()),
+                        pa.array([i for i, *_ in part], batch.schema.field(0).type),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(x.astype("<u2").tobytes()).hexdigest() for x in ids], pa.string()),
                         pa.array([words.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
@@ -426,5 +431,4 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed:
                     ["doc_id", "n_tokens", "ids_sha256", "lossless"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, lossless boolean")
+    return keyed(docs).mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, n_tokens long, ids_sha256 string, lossless boolean")

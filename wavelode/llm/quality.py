@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import id_remainder, labelled_sample, stored
+from .common import id_remainder, kind_of, labelled_sample, stored
 
 
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
         for batch, texts in grams.by_batch(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int, bits: int) -> Model:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, maybe_in, stored
+from .common import attach, kind_of, maybe_in, packed, stored
 from .components import components
 
 BITS, SEED = 64, 42
@@ -55,15 +55,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp): fp is the fingerprint as a signed long. doc_id may be of any type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs, 'doc_id')}, fp long")
 
 
 class Ball:
@@ -217,9 +216,13 @@ def near_dedup(docs: DataFrame, shingle: int = 4, differing: int = 4) -> DataFra
 
 
 def near_deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, without those whose component holds a smaller doc_id."""
-    gone = stored(near_dedup(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "simhash-gone")
-    gone = gone.where("_gone is not null").distinct()
-    near = maybe_in(docs, "doc_id", gone.withColumnRenamed("_gone", "doc_id"))
-    far = maybe_in(docs, "doc_id", gone.withColumnRenamed("_gone", "doc_id"), inside=False)
-    return far.unionByName(near.join(gone, near["doc_id"] == F.col("_gone"), "left_anti"))
+    """docs, all columns, without those whose component holds a smaller doc_id.
+
+    Rows with a null id, and rows repeated with the id that stays, all stay; texts without a word are
+    alike, so the one with the smallest id stays; an empty table stays empty; other columns may have any name.
+    """
+    gone = near_dedup(docs, **options).where(~F.col("kept")).select("doc_id").where("doc_id is not null")
+    gone = stored(gone.distinct(), "simhash-gone")
+    rows = packed(docs, "doc_id")
+    far = maybe_in(rows, "doc_id", gone, inside=False)
+    return far.unionByName(maybe_in(rows, "doc_id", gone).join(gone, "doc_id", "left_anti").select(*rows.columns)).select("row.*")

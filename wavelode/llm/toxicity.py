@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import id_remainder, labelled_sample
+from .common import id_remainder, labelled_sample, packed
 from .quality import calibrated, sampled_features, scored
 
 #: Rows of a sample that are learned from together.
@@ -150,13 +150,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 12_000, bits: int = 20) -> DataFrame:
-    """docs, all columns, whose score is below threshold. Labels of the held-out fifth aren't used."""
+    """docs, all columns, whose score is below threshold. Labels of the held-out fifth aren't used.
+
+    Null, empty and wordless texts have the bias's score, so all of them stay or go; so do all rows when
+    no label of either class is there. Repeated rows share one fate; an empty table stays empty; other
+    columns may have any name.
+    """
     model = train(docs, labels, id_remainder("doc_id", 5) != 0, max_labelled, bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    rows = packed(docs, F.col("text").alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in grams.by_batch(batches, names.index("text")):
+        for batch, texts in grams.by_batch(batches, 1):
             yield batch.filter(pa.array(shared.value.score(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
