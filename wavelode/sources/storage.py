@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as Parquet below spark.checkpoint.dir, read again: computed once, with its lineage cut.
 
-    A local folder takes the setting's place only where it is absent, as in tests.
+    A local folder takes the setting's place only where it is absent and all tasks run in this process.
     """
-    spark = df.sparkSession
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir; an error on a cluster that doesn't name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="wavelode-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

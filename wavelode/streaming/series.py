@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import shared_folder
+
 
 def daily_stream(events: DataFrame, late: str = "7 days") -> DataFrame:
     """(user_id, day, v, n) of a stream of (ts, user_id, value): sums per day. A day is final, and its
@@ -22,8 +21,7 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream to its end; micro-batches write what they change."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavelode-")
-    out = f"{base.rstrip('/')}/daily-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "daily")
     # A pattern, since the table may be a file or a folder.
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     sums = daily_stream(events)
