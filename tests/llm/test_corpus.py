@@ -119,6 +119,22 @@ def test_exact_dedup_equals_brute_force_even_when_digests_clash(spark, digest):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == len(rows)
 
 
+def test_exact_dedup_is_a_stream_that_meets_its_state(spark, tmp_path, monkeypatch):
+    rows = some_docs(60) + [(1000 + k, f"again {k % 7}", None, "a") for k in range(300)]
+    docs_of(spark, rows).repartition(9).write.parquet(f"{tmp_path}/docs")
+    batches, write = [], exact_dedup.shared_folder
+    monkeypatch.setattr(exact_dedup, "shared_folder", lambda s, label: batches.append((label, write(s, label))) or batches[-1][1])
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == brute_dedup(rows) and len(got) == len(rows)
+    keys = spark.read.parquet(dict(batches)["dedup-keys"])
+    assert keys.select("batch").distinct().count() >= 3  # later batches met what the state kept of earlier ones
+    assert keys.groupBy("digest").agg(F.countDistinct("batch").alias("b")).where("b > 1").count() >= 5
+    # The locator leads to the text itself, the same in another reading.
+    places = {(r.locator.file, r.locator.row): r.doc_id for r in exact_dedup.located(docs).collect()}
+    assert len(places) == len(rows) and places == {(r.locator.file, r.locator.row): r.doc_id for r in exact_dedup.located(docs.where("true")).repartition(3).collect()}
+
+
 def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
     rows = docs_of(spark, [(5, "x", None, None)] * 3 + [(4, "X", None, None), (None, "x", None, None), (None, "y", None, None)])

@@ -1,10 +1,16 @@
-"""Exact deduplication as a stateful stream with keyed state on disk and full byte checks."""
+"""Exact deduplication as a stateful stream with keyed state on disk and full byte checks.
+
+A stream of fingerprints meets a keyed state that never expires: of every digest it holds the largest
+id, where that row's text lies (file and row) and how many rows had it. What came again is checked on
+full bytes against the text at that place.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT, ascii_lower, attach, maybe_in, packed, shared_folder, stored
@@ -16,7 +22,23 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def stream_state(prints: DataFrame, path: str, files_per_batch: int | None, bytes_per_batch: int) -> DataFrame:
+def located(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, locator): locator is a hash of the Parquet file's name and the row in it.
+
+    Rows that don't come straight from Parquet files are written first, so that each has a place, the
+    same one however often and in whatever tasks the rows are read.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+    rows = docs.select("doc_id", "text")
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select("doc_id", "text", place)
+        except AnalysisException:
+            pass
+    return stored(rows, "dedup-texts").select("doc_id", "text", place)
+
+
+def stream_state(prints: DataFrame, path: str, files_per_batch: int) -> DataFrame:
     """What the keyed state holds after the stream has read all of path: a row per digest.
 
     The state store (RocksDB: on local disk, with its change log in the shared checkpoint folder, so
@@ -32,9 +54,8 @@ def stream_state(prints: DataFrame, path: str, files_per_batch: int | None, byte
     # With many small stores, files allocated ahead take more disk than the state.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
-    reader = session.readStream.schema(prints.schema)
-    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", bytes_per_batch)
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "96")
+    reader = session.readStream.schema(prints.schema).option("maxFilesPerTrigger", files_per_batch)
     keyed = reader.parquet(path).groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("rep"), F.count("*").alias("n"))
     out = shared_folder(spark, "dedup-keys")
     batches: list[int] = []
@@ -54,22 +75,22 @@ def stream_state(prints: DataFrame, path: str, files_per_batch: int | None, byte
 
 
 def byte_check(texts: DataFrame, doubles: DataFrame, total: int) -> DataFrame:
-    """The (doc_id, digest, norm) rows of doubled digests whose bytes differ from the kept row's.
+    """The (doc_id, digest, norm) rows of doubled digests whose bytes differ from those at the state's locator.
 
-    texts: (doc_id, digest, norm) of all rows. A bitmap of the doubled digests, of bounded size,
+    texts: (doc_id, digest, norm, locator) of all rows. A bitmap of the doubled digests, of bounded size,
     keeps rows without a double out of the shuffle. A kept text meets its copies by digest and salt:
     the few digests with over 1/HOT of all rows, HOT at most, have their copies dealt over salts.
     """
     near = maybe_in(texts, "digest", doubles)
     hot = doubles.where(F.col("n") > total / HOT).select("digest", F.ceil(F.col("n") * HOT / total).cast("int").alias("salts"))
     near = near.join(F.broadcast(hot), "digest", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    near = near.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    keep = doubles.select("digest", F.col("rep.doc_id").alias("keep_id"))
+    near = near.withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int"))
+    keep = doubles.select("digest", F.col("rep.locator").alias("place"))
     salted_keep = keep.join(F.broadcast(hot), "digest", "left").select(
-        "digest", "keep_id", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        "digest", "place", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
     )
     met = near.join(salted_keep, ["digest", "salt"])
-    kept = met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    kept = met.where(F.col("locator") == F.col("place")).select("digest", F.col("norm").alias("kept_norm"))
     kept = kept.join(F.broadcast(hot), "digest", "left").select(
         "digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
     )
@@ -80,7 +101,7 @@ def exact_dedup(
     docs: DataFrame,
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
-    bytes_per_batch: int = 64 << 30,
+    batches: int = 4,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (binary).
 
@@ -90,21 +111,26 @@ def exact_dedup(
     one row of a group is kept. docs needs doc_id and text; other columns are ignored. An empty table
     gives an empty result.
 
-    A fingerprint table (doc_id, digest, locator) is written once; the stream reads it in
-    micro-batches (files_per_batch or bytes_per_batch) against the keyed state. Digests that came
-    again are then checked on full bytes against the kept row's text; where two different texts
-    share a digest, their groups are formed on the bytes themselves.
+    A fingerprint table (doc_id, digest, locator) is written once; the stream reads it in about
+    `batches` micro-batches (or files_per_batch files each) against the keyed state. Digests that came
+    again are then checked on full bytes against the text at the state's locator; where two different
+    texts share a digest, their groups are formed on the bytes themselves.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    texts = located(docs).withColumn("norm", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("digest", digest(F.col("norm")))
+    texts = texts.select("doc_id", "norm", "digest", "locator")
     path = shared_folder(spark, "dedup-prints")
-    prints = texts.select("doc_id", "digest", F.monotonically_increasing_id().alias("locator"))
+    prints = texts.select("doc_id", "digest", "locator")
     prints.write.parquet(path)
     prints = spark.read.schema(prints.schema).parquet(path)
+    if len(prints.inputFiles()) < batches:  # a table of a few files
+        path = shared_folder(spark, "dedup-prints")
+        prints.repartition(batches).write.parquet(path)
+        prints = spark.read.schema(prints.schema).parquet(path)
     total = prints.count()
     if not total:
         return prints.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    groups = stored(stream_state(prints, path, files_per_batch, bytes_per_batch).where("n > 1"), "dedup-doubles")
+    groups = stored(stream_state(prints, path, files_per_batch or -(-len(prints.inputFiles()) // batches)).where("n > 1"), "dedup-doubles")
 
     clashing = stored(byte_check(texts, groups, total).select("digest").distinct(), "dedup-clashes")
     out = attach(prints, groups, "digest", total, "left").select(
@@ -117,9 +143,8 @@ def exact_dedup(
     if clashing.isEmpty():
         return out
     exact = texts.join(clashing, "digest", "left_semi")
-    sizes = exact.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    nth = F.row_number().over(Window.partitionBy("digest", "norm").orderBy(F.col("doc_id").desc_nulls_last()))
-    split = exact.withColumn("kept", nth == 1).join(sizes, ["digest", "norm"])
+    sizes = exact.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "locator")).alias("rep"), F.count("*").alias("group_size"))
+    split = exact.join(sizes, ["digest", "norm"]).withColumn("keep_id", F.col("rep.doc_id")).withColumn("kept", F.col("locator") == F.col("rep.locator"))
     return out.join(clashing, "digest", "left_anti").select(out.columns).unionByName(split.select(out.columns))
 
 
