@@ -207,7 +207,9 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("members", [1 << 14, 40])
+def test_vectors_equal_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(embedding_dedup, "MEMBERS", members)  # 40: lists are cut into blocks
     rng = np.random.default_rng(1)
     base = rng.normal(size=(300, 24))
     near = [b + rng.normal(size=24) * s for b in base[:60] for s in (0.02, 0.1, 0.2)]
@@ -222,6 +224,15 @@ def test_vectors_equal_brute_force(spark):
     want = united(range(len(x)), links)
     assert sum(got[i].component_id != want[i] for i in range(len(x))) <= 2
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(9000, 9007))
+    # A group of near vectors, a large part of all.
+    heap = rng.normal(size=24) + rng.normal(size=(200, 24)) * 0.08
+    lone = rng.normal(size=(100, 24))
+    y = np.concatenate([heap, lone]).astype(np.float32)
+    some = spark.createDataFrame(list(enumerate(y.tolist())), "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    u = y.astype(float) / np.linalg.norm(y.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    hits = [r.n_links for r in embedding_dedup.near_vectors(some).orderBy("vec_id").collect()]
+    assert all(h <= w for h, w in zip(hits, near, strict=True)) and sum(hits) >= 0.99 * near.sum() > 30_000
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 

@@ -6,14 +6,21 @@ collides with it. Vectors of a high cosine collide in many lists, others in almo
 lists and the least number of collisions are calibrated so that a pair of exactly the threshold's
 cosine passes with a stated recall; pairs that pass are verified by their cosine in double precision.
 
+Lists are ends of lines, not whole lines, because a whole line tells little: at cosine 0.9 a window that
+half of the linked pairs stand in holds a sixth of all others too, so a line would cost n * n / 12 pairs.
+A list of n * share vectors costs (n * share)**2 / 2, which is n / 22 for the share taken here.
+
 A list's task has its members' vectors and all their places, so it knows of every pair in how many
 earlier lists it has collided, and verifies it in the very list where its count reaches the least.
-So no table of pairs exists: tasks give sums of links and one edge per member.
+So no table of pairs exists: tasks give sums of links and one edge per member. Lists are counted first;
+those with very many members (a large group of near vectors) are cut into blocks, and every pair of
+blocks is a task of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -26,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import attach, stored
 from .components import components
 
-#: Lines that are drawn from one seed; lists in a task's group; cells of a count block.
-BLOCK, TOGETHER, CELLS = 1024, 16, 1 << 22
+#: Lines that are drawn from one seed; lists in a task's group; cells of a count block; vectors that are
+#: projected at once.
+BLOCK, TOGETHER, CELLS, BATCH = 1024, 16, 1 << 22, 4096
+#: Groups of lists with more members are cut into blocks of about so many.
+MEMBERS = 1 << 14
 
 
 class Plan:
@@ -88,9 +98,10 @@ def places(units: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows[order], lists[order].astype(np.int32), values[order].astype(np.float32)
 
 
-def links_of(this: int, units: np.ndarray, values: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def links_of(units: np.ndarray, values: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]], plan: Plan, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) of a list's members whose collision count reaches plan.least in this list and
-    whose cosine is high enough. near: of each earlier list, members of this one in it and values there."""
+    whose cosine is high enough. near: of each earlier list, members of this one in it and values there.
+    block: if given, only pairs of members of different blocks."""
     n, first, second = len(units), [], []
     high = max(1, CELLS // n)
     for at in range(0, n, high):
@@ -106,6 +117,8 @@ def links_of(this: int, units: np.ndarray, values: np.ndarray, near: list[tuple[
         i, j = np.nonzero(here & (count == plan.least - 1))
         i += at
         keep = i < j
+        if block is not None:
+            keep &= block[i] != block[j]
         i, j = i[keep], j[keep]
         for k in range(0, len(i), 1 << 16):
             a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
@@ -136,29 +149,55 @@ def link_sums(classes: DataFrame, count: int, kind: str, cosine: float) -> DataF
     """
     plan = Plan(count, cosine)
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(dim, columns of its vectors, all their places, and of each list group that a vector has a place
+        in: vector's number, group)."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 cid, dim, n = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
                 blob = np.array(part.column(2).to_pylist(), object)
                 for d in np.unique(dim):
                     own = np.flatnonzero(dim == d)
                     row, lists, values = places(unit_rows(list(blob[own]), kind), plan)
-                    cuts = np.searchsorted(row, np.arange(len(own) + 1))
-                    at_lists = np.array([lists[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], object)
-                    at_values = np.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], object)
-                    # A row per group of lists that the vector has a place in.
                     group = np.unique(np.stack([row, lists // TOGETHER], 1), axis=0)
-                    who = group[:, 0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), d, np.int32)), pa.array(group[:, 1].astype(np.int32)), pa.array(cid[own][who]), pa.array(n[own][who]),
-                         pa.array(blob[own][who].tolist(), pa.binary()), pa.array(at_lists[who].tolist(), pa.binary()), pa.array(at_values[who].tolist(), pa.binary())],
-                        ["dim", "part", "cid", "n", "blob", "lists", "places"],
-                    )
+                    yield d, (cid[own], n[own], blob[own]), (row, lists, values), (group[:, 0], group[:, 1])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[tuple[int, int]] = Counter()
+        for d, _, _, (_, groups) in placed(batches):
+            found.update({(int(d), int(g)): int(m) for g, m in zip(*np.unique(groups, return_counts=True), strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*zip(*found, strict=True), list(found.values())) if found else ((), (), ()), (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["dim", "part", "m"])
+
+    vectors = classes.select("cid", "dim", "blob", "n")
+    counts = vectors.mapInArrow(sizes, "dim int, part int, m long").groupBy("dim", "part").agg(F.sum("m").alias("m"))
+    # A row per large group of lists, whose number the plan bounds.
+    blocks = {(r["dim"], r["part"]): -(-r["m"] // MEMBERS) for r in counts.where(F.col("m") > MEMBERS).collect()}
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, (cid, n, blob), (row, lists, values), (who, groups) in placed(batches):
+            cuts = np.searchsorted(row, np.arange(len(cid) + 1))
+            at_lists = np.array([lists[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], object)
+            at_values = np.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], object)
+            many = np.array([blocks.get((int(d), g), 1) for g in groups.tolist()], np.int64)
+            # A member of block x of m is dealt to the m pairs of blocks that x is in.
+            own = (cid[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
+            turn = np.repeat(np.arange(len(who)), many)
+            other = np.arange(len(turn)) - np.repeat(np.cumsum(many) - many, many)
+            tile = np.minimum(own[turn], other) * many[turn] + np.maximum(own[turn], other)
+            for at in range(0, len(turn), BATCH):
+                k = turn[at : at + BATCH]
+                to = who[k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), d, np.int32)), pa.array(groups[k].astype(np.int32)), pa.array(tile[at : at + BATCH]), pa.array(own[k]), pa.array(cid[to]), pa.array(n[to]),
+                     pa.array(blob[to].tolist(), pa.binary()), pa.array(at_lists[to].tolist(), pa.binary()), pa.array(at_values[to].tolist(), pa.binary())],
+                    ["dim", "part", "tile", "own", "cid", "n", "blob", "lists", "places"],
+                )
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        units, cid, n = unit_rows(list(rows["blob"]), kind), rows["cid"].to_numpy(), rows["n"].to_numpy()
+        units, cid, n, block = unit_rows(list(rows["blob"]), kind), rows["cid"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+        many = blocks.get((int(key[0]), int(key[1])), 1)
+        apart = key[2] // many != key[2] % many
         sizes = np.array([len(b) // 4 for b in rows["lists"]])
         owner = np.repeat(np.arange(len(rows)), sizes)
         lists, values = np.frombuffer(b"".join(rows["lists"]), np.int32), np.frombuffer(b"".join(rows["places"]), np.float32)
@@ -178,17 +217,17 @@ def link_sums(classes: DataFrame, count: int, kind: str, cosine: float) -> DataF
             near = [(at[x:y], there[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True) if y - x > 1]
             if len(near) < plan.least - 1:
                 continue
-            i, j = links_of(this, units[who], values[a:b], near, plan)
+            i, j = links_of(units[who], values[a:b], near, plan, block[who] if apart else None)
             if len(i):
                 links = np.bincount(i, n[who][j], b - a) + np.bincount(j, n[who][i], b - a)
                 root, there = rooted(b - a, i, j), np.flatnonzero(links)
                 out.append(pd.DataFrame({"cid": cid[who][there], "links": links[there].astype(np.int64), "root": cid[who][root[there]]}))
         return pd.concat(out) if out else pd.DataFrame({"cid": [], "links": [], "root": []})
 
-    sent = classes.select("cid", "dim", "blob", "n").mapInArrow(
-        scatter, "dim int, part int, cid long, n long, blob binary, lists binary, places binary"
+    sent = vectors.mapInArrow(
+        scatter, "dim int, part int, tile long, own long, cid long, n long, blob binary, lists binary, places binary"
     )
-    return sent.groupBy("dim", "part").applyInPandas(gather, "cid long, links long, root long")
+    return sent.groupBy("dim", "part", "tile").applyInPandas(gather, "cid long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
