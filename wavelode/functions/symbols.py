@@ -42,18 +42,29 @@ def sax_words(series: DataFrame, width: int, parts: int, alphabet: int = 4, flat
     return means.withColumn("word", F.concat(*letters)).drop("w", "mu", "sigma", "p")
 
 
-def letters_of(word: Column, longest: int) -> Column:
-    """A word's letters as numbers, for word_l1 over many pairs: no string is cut there."""
-    return F.array(*[F.ascii(F.substring(word, i + 1, 1)) for i in range(longest)])
+def word_code(word: Column, longest: int, alphabet: int = 20) -> Column:
+    """A struct of longs in which the k-th letter sets k of its bits, so that the bits in which two words'
+    codes differ are their letters' distances. Words of fewer than `longest` letters end in zeros."""
+    bits = alphabet - 1
+    per = 63 // bits
+    parts = []
+    for at in range(0, longest, per):
+        letters = range(at, min(at + per, longest))
+        masks = F.array(*[F.lit((1 << k) - 1).cast("long") for k in range(alphabet)])
+        number = lambda i: F.greatest(F.ascii(F.substring(word, i + 1, 1)) - 97, F.lit(0))
+        marks = [F.shiftleft(F.element_at(masks, number(i) + 1), bits * (i - at)) for i in letters]
+        parts.append(K.added(marks).alias(f"c{at // per}"))
+    return F.struct(*parts)
 
 
-def letters_l1(a: Column, b: Column, longest: int) -> Column:
-    return K.added([F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(longest)])
+def word_l1(a: Column, b: Column, longest: int, alphabet: int = 20) -> Column:
+    """Sum over letters of their distances, of two word_code() columns: the fuzzy match of two words."""
+    return K.added([F.bit_count(a[f"c{k}"].bitwiseXOR(b[f"c{k}"])) for k in range(-(-longest // (63 // (alphabet - 1))))])
 
 
-def word_l1(a: Column, b: Column, length: int) -> Column:
-    """Sum over letters of their distances: the fuzzy match of two words of one length."""
-    return K.added([F.abs(F.ascii(F.substring(a, i + 1, 1)) - F.ascii(F.substring(b, i + 1, 1))) for i in range(length)])
+def least_l1(word: Column, words: Column, longest: int, alphabet: int = 20) -> Column:
+    """The least word_l1 of a code to an array of codes."""
+    return F.array_min(F.transform(words, lambda w: word_l1(word, w, longest, alphabet)))
 
 
 def mindist(a: Column, b: Column, length: int, width: int, alphabet: int = 4) -> Column:
@@ -141,13 +152,17 @@ def tfidf(words: DataFrame) -> DataFrame:
 
 
 def bag_distance(bags: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, example_id, d): sum over the query's words of squared count differences.
+    """(query_id, example_id, d): sum over the query's words of squared count differences, of every query
+    with every series of bags.
 
-    Only pairs with a shared word are joined: d is the query's own sum of squares, corrected for the
-    words they share; pairs without one have that sum alone and aren't listed.
+    d is the query's own sum of squares, corrected for the words a pair shares, which a join on words
+    finds; pairs without one have that sum alone.
     """
     own = queries.groupBy(F.col("series_id").alias("query_id")).agg(F.sum(F.col("n") * F.col("n")).alias("own"))
     q = queries.select(F.col("series_id").alias("query_id"), "word", F.col("n").alias("q"))
     e = bags.select(F.col("series_id").alias("example_id"), "word", F.col("n").alias("e"))
     shared = q.join(e, "word").groupBy("query_id", "example_id").agg(F.sum(F.col("e") * F.col("e") - 2 * F.col("q") * F.col("e")).alias("more"))
-    return shared.join(own, "query_id").select("query_id", "example_id", (F.col("own") + F.col("more")).alias("d"))
+    every = bags.select(F.col("series_id").alias("example_id")).distinct().crossJoin(own)
+    return every.join(shared, ["query_id", "example_id"], "left").select(
+        "query_id", "example_id", (F.col("own") + F.coalesce("more", F.lit(0))).alias("d")
+    )

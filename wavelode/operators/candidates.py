@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import symbols
+from ..functions import spectra, symbols
 from ..sources.storage import stored
 from . import splits, words
 
@@ -33,6 +35,33 @@ class Interval:
     kind: str
 
 
+    @property
+    def attributes(self) -> int:
+        """How many values the filter gives."""
+        n = self.end - self.start
+        lag = spectra.max_lag(n)
+        sizes = {"acf": lag, "pacf": lag, "ar": lag, "ps": n, "plain": n // 2 + 1, "dft": 2 * n}
+        return sum(sizes[p] for p in spectra.FILTERS[self.kind])
+
+
+def random_intervals(length: int, count: int, kinds: tuple[str, ...] = ("ACF", "PS"), least: int = 16, seed: int = 7) -> list[Interval]:
+    """`count` intervals of at least `least` values between two seeded draws from [0, length), the second
+    one not in it; kinds in turn, so that two kinds give every other interval another filter."""
+    if length <= least:
+        raise ValueError(f"series of {length} values have no interval of {least}")
+    rng, out = random.Random(seed), []
+    while len(out) < count:
+        a, b = sorted((rng.randrange(length), rng.randrange(length)))
+        if b - a >= least:
+            out.append(Interval(a, b, kinds[len(out) % len(kinds)]))
+    return out
+
+
+def interval_count(candidates: int) -> int:
+    """Intervals that a node tries for so many interval candidates: two for every sixteen of a quarter."""
+    return 2 * math.ceil(math.ceil(candidates / 4) / 16)
+
+
 def word_grid(length: int, kind: str, least: int = 10) -> list[Words]:
     """All windows below a series' length with the letters that a kind of word is tried with."""
     letters = range(6, 20, 2) if kind == "SAX" else range(6, 18, 2)
@@ -66,26 +95,29 @@ def make_attributes(series: DataFrame, intervals: list[Interval]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def word_candidates(all_words: DataFrame, series: DataFrame, length: int, top: int, seed: int) -> DataFrame:
-    """(param_id, label, word, series_id, offset, gain, threshold): each class's best words, from one
+def word_candidates(all_words: DataFrame, series: DataFrame, length: int, top: int, seed: int, alphabet: int = 20) -> DataFrame:
+    """(param_id, label, word, origin, offset, gain, threshold): each class's best words, from one
     exemplar per class and measured on the training split."""
     train = all_words.where("split = 'train'")
-    chosen = words.exemplars(series.where("split = 'train'"), [], seed)
-    found = [
-        words.query_words(train.where(F.col("param_id") == p.param_id), chosen).withColumn("param_id", F.lit(p.param_id))
-        for p in all_words.select("param_id").distinct().orderBy("param_id").collect()  # a row per parameter
-    ]
-    queries = stored(reduce(DataFrame.unionByName, found), "query-words")
-    keys = ["param_id", "label", "word", "series_id", "offset"]
-    q = queries.select(*keys).withColumnRenamed("series_id", "origin")
+    chosen = words.exemplars(series.where("split = 'train'"), [], seed).select("series_id")
+    own = train.join(chosen, "series_id").groupBy("param_id", "label", "word", F.col("series_id").alias("origin")).agg(F.min("offset").alias("offset"))
     keys = ["label", "word", "origin", "offset"]
-    distances = stored(words.min_distances(train, q, length, keys), "word-distances").join(
-        F.broadcast(q.select(*keys, "param_id")), keys  # a row per class and offset
-    )
+    distances = stored(words.min_distances(train, stored(own, "query-words"), length, keys, alphabet), "word-distances")
     scored = words.scored_words(distances, ["param_id", *keys])
     return words.best_words(scored, ["param_id", "label"], top).select("param_id", *keys, "gain", "threshold")
 
 
+def feature_values(features: DataFrame, all_words: DataFrame, attrs: DataFrame, series: DataFrame, length: int, alphabet: int = 20) -> DataFrame:
+    """(split, type, feature_id, series_id, value) of features (feature_id, type, param_id, word, attribute)
+    for the series of every split: words' least distances, intervals' attribute values."""
+    f = features.where("type <> 'RISE'").select("feature_id", "type", "param_id", "word")
+    d = words.min_distances(all_words, f, length, ["feature_id", "type"], alphabet)
+    word_values = d.join(series.select("series_id", "split"), "series_id").select("split", "type", "feature_id", "series_id", F.col("value").cast("double").alias("value"))
+    g = features.where("type = 'RISE'").select("feature_id", "type", "param_id", "attribute")
+    rise_values = attrs.join(g, ["param_id", "attribute"]).select("split", "type", "feature_id", "series_id", "value")
+    return word_values.unionByName(rise_values)
+
+
 def one_level(series: DataFrame, word_params: list[Words], intervals: list[Interval], top: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(features, values): candidates of a single node over the whole training split.
 
@@ -94,8 +126,8 @@ def one_level(series: DataFrame, word_params: list[Words], intervals: list[Inter
     """
     all_words = stored(make_words(series, word_params), "words")
     attrs = stored(make_attributes(series, intervals), "attributes")
-    longest = max((p.length for p in word_params), default=0)
-    w = word_candidates(all_words, series, longest, top, seed)
+    longest, alphabet = max((p.length for p in word_params), default=1), max((p.alphabet for p in word_params), default=4)
+    w = word_candidates(all_words, series, longest, top, seed, alphabet)
     kinds = F.element_at(F.array(*[F.lit(p.kind) for p in word_params]), F.col("param_id") + 1)
     widths = F.element_at(F.array(*[F.lit(p.width) for p in word_params]), F.col("param_id") + 1)
     word_rows = w.select(
@@ -119,10 +151,5 @@ def one_level(series: DataFrame, word_params: list[Words], intervals: list[Inter
     # Features are as many as classes times `top`, and attributes: bounded by the parameters.
     line = Window.orderBy("type", "param_id", "label", "attribute", "start", "word")
     features = stored(rows.withColumn("feature_id", F.row_number().over(line) - 1), "features")
-    f = features.where("type <> 'RISE'").select("feature_id", F.col("type"), "param_id", "word")
-    d = words.min_distances(all_words, f, longest, ["feature_id", "type"])
-    ids = series.select("series_id", "split")
-    word_values = d.join(ids, "series_id").select("split", "type", "feature_id", "series_id", F.col("value").cast("double").alias("value"))
-    g = features.where("type = 'RISE'").select("feature_id", "type", "param_id", "attribute")
-    rise_values = attrs.join(F.broadcast(g), ["param_id", "attribute"]).select("split", "type", "feature_id", "series_id", "value")
-    return features.drop("param_id"), word_values.unionByName(rise_values)
+    values = feature_values(features, all_words, attrs, series, longest, alphabet)
+    return features.drop("param_id"), values

@@ -91,3 +91,21 @@ def stratified_folds(rows: DataFrame, folds: int, order: Column) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("label", "r").orderBy("o", "series_id"))
     placed = ranged.withColumn("k", nth).join(counts.withColumn("base", base).drop("c"), ["label", "r"])
     return placed.select("series_id", "label", ((F.col("base") + F.col("k") - 1) % folds).cast("int").alias("fold"))
+
+
+def bootstrap(rows: DataFrame, seed: int) -> DataFrame:
+    """(series_id, label, times) of as many draws with replacement as a class has rows, each a row of it by
+    a seeded hash; rows drawn at least once.
+
+    A class's rows are numbered in ranges of ids: counts per range first, then places inside a range, so
+    that one frequent class doesn't pass through one task's window.
+    """
+    ranged = rows.select("series_id", "label", F.floor(F.col("series_id") / 4096).alias("r"))
+    counts = ranged.groupBy("label", "r").agg(F.count("*").alias("c"))
+    base = F.sum("c").over(Window.partitionBy("label").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    nth = F.row_number().over(Window.partitionBy("label", "r").orderBy("series_id")) - 1
+    placed = ranged.withColumn("nth", nth).join(counts.withColumn("base", base).drop("c"), ["label", "r"])
+    placed = placed.join(histogram(rows), "label").select("series_id", "label", (F.col("base") + F.col("nth")).alias("k"), "n")
+    drawn = (F.col("k") * 1103515245 + seed) % 2147483648 % F.col("n")
+    times = placed.groupBy("label", drawn.alias("k")).agg(F.count("*").alias("times"))
+    return placed.join(times, ["label", "k"]).select("series_id", "label", "times")

@@ -59,7 +59,7 @@ def interval_filter(series: DataFrame, start: int, end: int, kind: str) -> DataF
 def labelled_by_gain(values: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, threshold, label, gain, sign): the class an attribute's threshold tells most of, over all
     of values; of equal gains the largest label. sign 1: at least half of the class lies at or above it."""
-    rows = values.join(F.broadcast(thresholds.select(*keys, "threshold")), keys)  # a row per attribute
+    rows = values.join(thresholds.select(*keys, "threshold"), keys)
     gains = impurity.fixed_gain(rows, [*keys, "threshold"], F.col("threshold"))
     best = gains.groupBy(*keys, "threshold").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), "label", "far", "near")).alias("b"))
     return best.select(*keys, "threshold", "b.label", "b.gain", F.when(F.col("b.far") >= F.col("b.near"), 1).otherwise(0).alias("sign"))

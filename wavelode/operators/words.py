@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.symbols import letters_l1, letters_of
+from ..functions.symbols import least_l1, word_code
 from . import impurity
 
 
@@ -22,23 +22,27 @@ def exemplars(series: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 def query_words(words: DataFrame, chosen: DataFrame) -> DataFrame:
     """(label, word, series_id, offset): the exemplars' distinct words with their first offset."""
-    rows = words.join(F.broadcast(chosen.select("series_id")), "series_id")  # a row per class
+    rows = words.join(chosen.select("series_id"), "series_id")
     return rows.groupBy("label", "word", "series_id").agg(F.min("offset").alias("offset"))
 
 
-def min_distances(words: DataFrame, queries: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    """(keys of queries, series_id, label of the series, d): least fuzzy distance of a query to a
+def word_sets(words: DataFrame, length: int, alphabet: int) -> DataFrame:
+    """(param_id, series_id, label, ws): the codes of each series' distinct words, as many as it has windows
+    at most."""
+    return words.groupBy("param_id", "series_id", "label").agg(F.collect_set(word_code(F.col("word"), length, alphabet)).alias("ws"))
+
+
+def min_distances(words: DataFrame, queries: DataFrame, length: int, keys: list[str], alphabet: int = 4) -> DataFrame:
+    """(param_id, keys of queries, series_id, series_label, value): least fuzzy distance of a query to a
     series' words, joined on the queries' param_id.
 
-    Series' words are made distinct and dealt by series_id, and every later grouping has series_id
-    among its keys, so one exchange serves both. queries has a row per class and offset of an exemplar.
+    A series stands once with its words' codes, so a pair of query and series is one row from the start
+    and nothing is grouped after the join. queries has a row per class and offset of an exemplar.
     """
-    distinct = words.select("param_id", "series_id", F.col("label").alias("of"), F.col("word").alias("_w")).repartition("series_id").distinct()
-    distinct = distinct.withColumn("_l", letters_of(F.col("_w"), length))
-    q = queries.select(*keys, "param_id", letters_of(F.col("word"), length).alias("_q"))
-    rows = distinct.join(F.broadcast(q), "param_id")
-    d = rows.groupBy(*keys, "series_id", "of").agg(F.min(letters_l1(F.col("_q"), F.col("_l"), length)).alias("value"))
-    return d.withColumnRenamed("of", "series_label")
+    own = word_sets(words, length, alphabet).withColumnRenamed("label", "series_label")
+    q = queries.select("param_id", *keys, word_code(F.col("word"), length, alphabet).alias("_q"))
+    rows = own.join(q, "param_id")
+    return rows.select("param_id", *keys, "series_id", "series_label", least_l1(F.col("_q"), F.col("ws"), length, alphabet).alias("value"))
 
 
 def scored_words(distances: DataFrame, keys: list[str]) -> DataFrame:

@@ -210,7 +210,7 @@ def entropy_ovr(spark, sf):
 
 
 def fixed_threshold_gain(spark, sf):
-    rows = train(spark, sf).select("series_id", "label", F.posexplode(F.slice("x", 1, 4)).alias("attribute", "value"))
+    rows = train(spark, sf).select("series_id", "label", F.posexplode("x").alias("attribute", "value"))
     return impurity.fixed_gain(rows, ["attribute"], F.lit(0.0)).select("attribute", "label", K.r6(F.col("gain")).alias("gain"), "far", "near")
 
 
@@ -222,7 +222,7 @@ def _queries(spark, sf):
 
 def _distances(spark, sf):
     own, q = _queries(spark, sf)
-    return words.min_distances(own, q, PARTS, ["label", "word", "offset"])
+    return words.min_distances(own, q, PARTS, ["label", "word", "offset"]).drop("param_id")
 
 
 def word_min_distance(spark, sf):
@@ -248,23 +248,23 @@ def best_word_per_class(spark, sf):
 
 def nary_route(spark, sf):
     own, q = _queries(spark, sf)
-    d = stored(words.min_distances(own, q, PARTS, ["label", "word", "offset"]), "distances")
+    d = stored(words.min_distances(own, q, PARTS, ["label", "word", "offset"]).drop("param_id"), "distances")
     best = words.best_words(words.scored_words(d, ["label", "word", "offset"]), ["label"]).select("label", "word", "offset", "gain", "threshold")
-    rows = d.join(F.broadcast(best), ["label", "word", "offset"])  # a row per class
+    rows = d.join(best, ["label", "word", "offset"])
     return words.route(rows, []).select("series_id", "branch")
 
 
-def _prefix_attributes(spark, sf):
-    rows = train(spark, sf).withColumn("f", F.transform(F.slice("x", 1, 8), lambda v: F.round(v, 3)))
-    return splits.attributes(rows, "f", [])
+def _attributes(spark, sf):
+    """The values of the training series themselves as attributes."""
+    return splits.attributes(train(spark, sf), "x", [])
 
 
 def gini_binary_split(spark, sf):
-    return splits.gini_splits(_prefix_attributes(spark, sf), []).select("attribute", K.r6(F.col("threshold")).alias("threshold"), K.r6(F.col("wgini")).alias("wgini"))
+    return splits.gini_splits(_attributes(spark, sf), []).select("attribute", K.r6(F.col("threshold")).alias("threshold"), K.r6(F.col("wgini")).alias("wgini"))
 
 
 def best_candidate(spark, sf):
-    rows = splits.gini_splits(_prefix_attributes(spark, sf), []).withColumn("node_id", F.lit(0))
+    rows = splits.gini_splits(_attributes(spark, sf), []).withColumn("node_id", F.lit(0))
     best = splits.best_of(rows, ["node_id"], [F.col("attribute")])
     return best.select("node_id", "attribute", K.r6(F.col("threshold")).alias("threshold"), K.r6(F.col("wgini")).alias("wgini"))
 
@@ -285,18 +285,11 @@ def stratified_folds(spark, sf):
 
 
 def bootstrap(spark, sf):
-    """As many draws with replacement as there are rows of a class, each draw a row of it by a seeded hash."""
-    from pyspark.sql import Window
-
-    rows = data(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("series_id")) - 1)
-    n = impurity.histogram(data(spark, sf))
-    draws = rows.join(F.broadcast(n), "label").select("label", words.pick(F.col("k"), SEED).alias("h"), "n").withColumn("k", F.col("h") % F.col("n"))
-    times = draws.groupBy("label", "k").agg(F.count("*").alias("times"))
-    return rows.join(times, ["label", "k"]).select("series_id", "label", "times")
+    return impurity.bootstrap(data(spark, sf), SEED)
 
 
 def bag_distance(spark, sf):
-    bags = symbols.bag(_sax(spark, sf))
+    bags = stored(symbols.bag(_sax(spark, sf)), "bags")
     return symbols.bag_distance(bags, bags.where("series_id % 20 = 0"))
 
 
@@ -344,24 +337,17 @@ def topn_semi_join(spark, sf):
     return rows.join(ranks, "feature_id").select("split", "rank", "series_id", K.r6(F.col("value")).alias("value"))
 
 
-def _exemplar_words(spark, sf):
-    """Each class's exemplar's every fourth window: raw values, SAX word and SFA word."""
-    chosen = words.exemplars(train(spark, sf), [], SEED)
-    own = train(spark, sf).join(F.broadcast(chosen.select("series_id")), "series_id").where("label is not null")
-    raw = K.windows(own, WIDTH).select("series_id", "label", "offset", F.col("w").alias("sub"))
-    return raw.where("offset % 4 = 0")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    a = rows.select("label", F.col("offset").alias("f1"), F.struct(*rows.columns).alias("a"))
-    b = rows.select("label", F.col("offset").alias("f2"), F.struct(*rows.columns).alias("b"))
-    return a.join(b, "label").where("f1 < f2")
+def _exemplar_windows(spark, sf, width):
+    """(label, offset, sub): all windows of each class's exemplar."""
+    chosen = words.exemplars(train(spark, sf), [], SEED).select("series_id")
+    rows = K.windows(train(spark, sf).join(chosen, "series_id"), width)
+    return rows.select("label", "offset", F.col("w").alias("sub"))
 
 
 def feature_distance_sax(spark, sf):
-    rows = _pairs(_exemplar_words(spark, sf))
-    d = clustering.sliding_distance(F.col("a.sub"), F.slice("b.sub", 1, F.lit(12)))
-    return rows.select("label", "f1", "f2", K.r6(d).alias("d"))
+    """Windows of 16 and of 12 values of each exemplar, every one with every other."""
+    a, b = (_exemplar_windows(spark, sf, w).select("label", F.col("offset").alias(f), F.col("sub").alias(n)) for w, f, n in ((WIDTH, "f1", "a"), (12, "f2", "b")))
+    return a.join(b, "label").select("label", "f1", "f2", K.r6(clustering.sliding_distance(F.col("a"), F.col("b"))).alias("d"))
 
 
 def feature_distance_sfa(spark, sf):
@@ -369,9 +355,9 @@ def feature_distance_sfa(spark, sf):
     out = []
     for width in (16, 24):
         bins = symbols.equi_depth_bins(symbols.value_histogram(train(spark, sf), width, 8))
-        chosen = words.exemplars(train(spark, sf), [], SEED)
-        own = train(spark, sf).join(F.broadcast(chosen.select("series_id")), "series_id")
-        out.append(symbols.sfa_words(own, bins, width, 8).where("offset % 8 = 0").select("label", "offset", "word", F.lit(width).alias("width")))
+        chosen = words.exemplars(train(spark, sf), [], SEED).select("series_id")
+        own = train(spark, sf).join(chosen, "series_id")
+        out.append(symbols.sfa_words(own, bins, width, 8).select("label", "offset", "word", F.lit(width).alias("width")))
     a, b = (o.select("label", *[F.col(c).alias(f"{c}_{t}") for c in ("offset", "word", "width")]) for o, t in zip(out, "ab", strict=True))
     d = clustering.word_distance(F.col("word_a"), F.col("word_b"), F.col("width_a"), F.col("width_b"), 8)
     return a.join(b, "label").select("label", F.col("offset_a").alias("f1"), F.col("offset_b").alias("f2"), K.r6(d).alias("d"))
@@ -387,14 +373,18 @@ def feature_distance_rise(spark, sf):
 WIDER = [candidates.Words("SAX", WIDTH, PARTS), candidates.Words("SFA", WIDTH, 8), candidates.Words("SFA", 24, 8)]
 
 
-def _clustered(spark, sf):
-    params = WIDER
-    features, values = _features(spark, sf, params, [candidates.Interval(8, 56, "ACF"), candidates.Interval(0, 64, "PS")])
+def _clusters(spark, sf, features, values):
+    """Clusters of features, which show how well they fire on the validation split."""
     acc = clustering.feature_accuracy(features, values.where("split = 'validate'"), _split(spark, sf, "validate"))
     subs = train(spark, sf).select(F.col("series_id").alias("origin"), "x")
     rows = clustering.groups(features).join(subs, "origin", "left")
     rows = rows.withColumn("sub", F.when(F.col("type") == "SAX", F.slice("x", F.greatest(F.col("start") + 1, F.lit(1)), F.greatest("window_len", F.lit(1))))).drop("x")
-    return features, values, stored(clustering.cluster(rows, acc), "clusters")
+    return stored(clustering.cluster(rows, acc), "clusters")
+
+
+def _clustered(spark, sf):
+    features, values = _features(spark, sf, WIDER, [candidates.Interval(8, 56, "ACF"), candidates.Interval(0, 64, "PS")])
+    return features, values, _clusters(spark, sf, features, values)
 
 
 def cluster_features(spark, sf):
@@ -402,40 +392,47 @@ def cluster_features(spark, sf):
     return clusters.select("group_id", "k", "cluster_id", "centroid_feature_id", "size", K.r6(F.col("weight")).alias("weight"))
 
 
-def centroid_votes(spark, sf):
-    features, values, clusters = _clustered(spark, sf)
-    rows = clustering.cube(clusters.where("k = 1"), features, values.where("split = 'test'"))
-    return rows.groupBy("series_id", "label").agg(K.r6(F.sum("score")).alias("score"))
-
-
-def final_predict(spark, sf):
-    features, values, clusters = _clustered(spark, sf)
-    rows = clustering.cube(clusters.where("k = 1"), features, values.where("split = 'test'"))
-    return clustering.predicted(rows, [])
-
-
-def _searched(spark, sf):
-    features, values, clusters = _clustered(spark, sf)
-    clusters = stored(clusters.where("group_id like 'SAX%' or group_id like 'ACF%'"), "clusters")
+def _search(spark, sf, features, values, clusters):
+    """Votes of all numbers of clusters, and the number that the search chose for each group."""
     cubes = stored(clustering.cube(clusters, features, values), "cube")
     sizes = {r["group_id"]: r["n"] for r in clusters.where("k = 1").groupBy("group_id").agg(F.sum("size").alias("n")).collect()}
     k, _ = clustering.greedy_k(cubes, sizes, _split(spark, sf, "validate"))
     return cubes, spark.createDataFrame(sorted(k.items()), "group_id string, k int")
 
 
+def _searched(spark, sf):
+    return _search(spark, sf, *_clustered(spark, sf))
+
+
+def _test_votes(spark, sf, cubes, k):
+    return cubes.join(k, ["group_id", "k"]).join(_split(spark, sf, "test").select("series_id"), "series_id", "left_semi")
+
+
+def centroid_votes(spark, sf):
+    """Each class's score for the test series, with the clusters that the search chose."""
+    return _test_votes(spark, sf, *_searched(spark, sf)).groupBy("series_id", "label").agg(K.r6(F.sum("score")).alias("score"))
+
+
+def final_predict(spark, sf):
+    return clustering.predicted(_test_votes(spark, sf, *_searched(spark, sf)), [])
+
+
 def greedy_k(spark, sf):
     return _searched(spark, sf)[1]
 
 
+def _test_accuracy(spark, sf, cubes, k):
+    acc = clustering.accuracy(clustering.predicted(_test_votes(spark, sf, cubes, k), []), _split(spark, sf, "test"), [])
+    return acc.crossJoin(k.agg(F.sum("k").alias("n_features")))
+
+
 def pipeline_test_accuracy(spark, sf):
     """Accuracy on the test split of the clusters that the search chose, and how many features that takes."""
-    cubes, k = _searched(spark, sf)
-    votes = cubes.join(F.broadcast(k), ["group_id", "k"])
-    acc = clustering.accuracy(clustering.predicted(votes, []), _split(spark, sf, "test"), [])
-    return acc.crossJoin(k.agg(F.sum("k").alias("n_features")))
+    return _test_accuracy(spark, sf, *_searched(spark, sf))
 
 
-FOREST = forest.Settings(trees=2, depth=2)
+#: Two trees of at most four levels of splits: a registered query's time; Settings has no such bounds by default.
+FOREST = forest.Settings.pooled(64, words=6, intervals=6, tries=(1, 2), trees=2, depth=4)
 
 
 def _forest(spark, sf):
@@ -446,6 +443,28 @@ def forest_features(spark, sf):
     return forest.export(_forest(spark, sf))
 
 
+def _forest_features(spark, sf):
+    f = _forest(spark, sf)
+    features = stored(forest.export(f), "forest-features")
+    return features, stored(forest.export_values(f, features), "forest-values")
+
+
+def forest_feature_values(spark, sf):
+    """What each feature of the forest says of every series of every split."""
+    _, values = _forest_features(spark, sf)
+    return values.select("split", "type", "feature_id", "series_id", K.r6(F.col("value")).alias("value"))
+
+
+def forest_test_accuracy(spark, sf):
+    """The whole way: a forest's features, the best of them by their vote, clusters, search, test split."""
+    features, values = _forest_features(spark, sf)
+    acc = filtering.prefix_accuracy(features, values.where("split = 'validate'"), _split(spark, sf, "validate"))
+    n, _ = filtering.choose(stored(acc, "accuracies"), features.count())
+    some, theirs = stored(filtering.top_features(features, n), "best-features"), stored(filtering.top_values(features, values, n), "best-values")
+    clusters = _clusters(spark, sf, some.drop("rank"), theirs)
+    return _test_accuracy(spark, sf, *_search(spark, sf, some, theirs, clusters)).withColumn("n_filtered", F.lit(n))
+
+
 def forest_majority_vote(spark, sf):
     return forest.vote(forest.predict(_forest(spark, sf), "test"))
 
@@ -469,10 +488,11 @@ def streamed_daily_sums(spark, sf):
 
 
 def wide_value_rows(spark, sf):
-    """Number of values in each feature's exchange line."""
+    """Number and sum of the values in each feature's exchange lines."""
     _, values = _features(spark, sf)
-    rows = S.wide_values(values.where("split = 'validate'"))
-    return rows.select("feature_id", (F.size(F.split("line", ",")) - 1).alias("n_values"))
+    cells = F.slice(F.split("line", ","), 2, F.size(F.split("line", ",")) - 1)
+    rows = S.wide_values(values.where("split = 'validate'")).select("feature_id", F.size(cells).alias("n"), K.total(F.transform(cells, lambda c: c.cast("double"))).alias("s"))
+    return rows.groupBy("feature_id").agg(F.sum("n").cast("int").alias("n_values"), F.round(F.sum("s"), 4).alias("sum"))
 
 
 NAMES = """series_load_stats znorm_pop znorm_sample sliding_window_moments disjoint_windows paa paa_fractional sax_words sax_bag
@@ -481,6 +501,6 @@ tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_words sfa_packed
 weighted_gini_split entropy_ovr fixed_threshold_gain word_min_distance best_threshold side_validity best_word_per_class nary_route
 gini_binary_split best_candidate rise_candidate majority_class stratified_folds bootstrap bag_distance topn_rank vote_scores
 prefix_accuracy choose_topn topn_semi_join feature_distance_sax feature_distance_sfa feature_distance_rise cluster_features
-centroid_votes final_predict greedy_k pipeline_test_accuracy forest_features forest_majority_vote tree_shape daily_event_series
+centroid_votes final_predict greedy_k pipeline_test_accuracy forest_features forest_feature_values forest_test_accuracy forest_majority_vote tree_shape daily_event_series
 monthly_revenue_series streamed_daily_sums wide_value_rows""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

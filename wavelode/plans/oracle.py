@@ -119,7 +119,7 @@ scored AS (SELECT label, word, "offset", CASE WHEN gain > 0 THEN gain ELSE 0 END
   gain > 0 AND 2 * pf <= p AS valid FROM b),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gain DESC, "offset", word) AS k FROM scored WHERE valid))"""
 
-ATTRS = {"prefix": "ats AS (SELECT series_id, label, attribute, round(round(x[attribute + 1], 3), 6) AS value FROM (SELECT *, unnest(range(8)) AS attribute FROM s WHERE split = 'train'))"}
+ATTRS = {"all": "ats AS (SELECT series_id, label, attribute, round(x[attribute + 1], 6) AS value FROM (SELECT *, unnest(range(len(x))) AS attribute FROM s WHERE split = 'train'))"}
 GINI = """cnt AS (SELECT attribute, value, label, count(*) AS c FROM ats GROUP BY ALL),
 pts AS (SELECT attribute, value, lead(value) OVER (PARTITION BY attribute ORDER BY value) AS next FROM (SELECT DISTINCT attribute, value FROM cnt)),
 cls AS (SELECT attribute, label, sum(c) AS al FROM cnt GROUP BY ALL),
@@ -168,7 +168,18 @@ acc AS (SELECT n, avg((guess = truth AND len(list_filter(all_scores, lambda v: v
 tops AS (SELECT n FROM acc WHERE round(accuracy, 9) = (SELECT max(round(accuracy, 9)) FROM acc)),
 pick AS (SELECT coalesce(max(n) FILTER (n <= 0.2 * (SELECT total FROM total)), min(n)) AS n FROM tops)"""
 
+# Durbin's recursion: a row per order, phi the coefficients of that order.
+LEVINSON = f"""{lags(64, 12)}, rl AS (SELECT series_id, list(r ORDER BY lag) AS r FROM acf GROUP BY series_id),
+dl AS (SELECT series_id, r, 1 AS k, [r[1]] AS phi FROM rl UNION ALL
+  SELECT series_id, r, k + 1, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - last * phi[k + 1 - i]), [last]) FROM
+    (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i]))) AS last FROM dl WHERE k < 12))"""
+
 SQL = {
+    "pacf": f"WITH RECURSIVE {S}, {LEVINSON} SELECT series_id, k::INTEGER AS lag, {r6('phi[k]')} AS v FROM dl",
+    "ar_coefs": f"WITH RECURSIVE {S}, {LEVINSON} SELECT series_id, lag::INTEGER AS lag, {r6('phi[lag]')} AS v FROM (SELECT *, unnest(range(1, 13)) AS lag FROM dl WHERE k = 12)",
+    "ar_order": f"""WITH RECURSIVE {S}, {LEVINSON}, sc AS (SELECT series_id, k, 64 * sum(ln(1 - phi[k] * phi[k])) OVER (PARTITION BY series_id ORDER BY k) + 2 * k AS score FROM dl),
+up AS (SELECT series_id, k, lead(score) OVER (PARTITION BY series_id ORDER BY k) > score AS rises FROM sc)
+SELECT series_id, coalesce(min(k) FILTER (rises), 12)::INTEGER AS p FROM up GROUP BY series_id""",
     "series_load_stats": f"WITH {S} SELECT label, count(*) AS n, max(len(x))::INTEGER AS length, {r6('avg(list_avg(x))')} AS mean, {r6(f'avg({sd_pop("x")})')} AS sd_pop FROM s GROUP BY label",
     "znorm_pop": f"WITH {S}, m AS (SELECT *, list_avg(x) AS mu, {sd_pop('x')} AS sd, unnest(range(len(x))) AS pos FROM s) SELECT series_id, pos::INTEGER AS pos, {r6('(x[pos + 1] - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END')} AS z FROM m",
     "znorm_sample": f"WITH {S}, m AS (SELECT *, list_avg(x) AS mu, {sd_samp('x')} AS sd, unnest(range(len(x))) AS pos FROM s) SELECT series_id, pos::INTEGER AS pos, {r6('CASE WHEN sd < 0.001 THEN 0 ELSE (x[pos + 1] - mu) / sd END')} AS z FROM m",
@@ -204,7 +215,7 @@ SELECT series_id, (block * 16)::INTEGER AS start, {r6('mu')} AS mean, {r6('CASE
     "weighted_gini": f"WITH {S}, c AS (SELECT split, label, sum(abs(round(x[1], 4)) + 1) AS c FROM s GROUP BY ALL) SELECT split, {r6('sum(c)')} AS n, {r6('1 - sum(c * c) / pow(sum(c), 2)')} AS gini FROM c GROUP BY split",
     "weighted_gini_split": f"WITH {S}, c AS (SELECT split, x[1] >= 0 AS branch, label, count(*) AS c FROM s GROUP BY ALL), g AS (SELECT split, branch, sum(c) AS n, 1 - sum(c * c) / pow(sum(c), 2) AS g FROM c GROUP BY ALL) SELECT split, sum(n)::BIGINT AS n, count(*) AS branches, {r6('sum(n * g) / sum(n)')} AS wgini FROM g GROUP BY split",
     "entropy_ovr": f"WITH {S}, c AS (SELECT label, count(*) AS p, sum(count(*)) OVER () AS n FROM s WHERE split = 'train' GROUP BY label) SELECT label, {r6(entropy('p', 'n'))} AS h FROM c",
-    "fixed_threshold_gain": f"""WITH {S}, a AS (SELECT label, attribute, x[attribute + 1] AS v FROM (SELECT *, unnest(range(4)) AS attribute FROM s WHERE split = 'train')),
+    "fixed_threshold_gain": f"""WITH {S}, a AS (SELECT label, attribute, x[attribute + 1] AS v FROM (SELECT *, unnest(range(len(x))) AS attribute FROM s WHERE split = 'train')),
 c AS (SELECT attribute, label, count(*) FILTER (v >= 0) AS pf, count(*) AS p FROM a GROUP BY ALL), t AS (SELECT *, sum(pf) OVER w AS nf, sum(p) OVER w AS n FROM c WINDOW w AS (PARTITION BY attribute))
 SELECT attribute::INTEGER AS attribute, label, {r6(gain('pf', 'nf', 'p', 'n'))} AS gain, pf AS far, p - pf AS near FROM t""",
     "word_min_distance": f"WITH {QUERY} SELECT label, word, series_id, value::BIGINT AS d FROM d",
@@ -214,8 +225,8 @@ SELECT attribute::INTEGER AS attribute, label, {r6(gain('pf', 'nf', 'p', 'n'))}
     "nary_route": f"""WITH {SCORED}, o AS (SELECT d.series_id, best.label, d.value < best.threshold AS inside, best.gain, d.value - best.threshold AS over
   FROM d JOIN best ON best.k = 1 AND d.label = best.label AND d.word = best.word)
 SELECT series_id, label AS branch FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY inside DESC, CASE WHEN inside THEN -gain ELSE over END, label) AS k FROM o) WHERE k = 1""",
-    "gini_binary_split": f"WITH {S}, {ATTRS['prefix']}, {GINI} SELECT attribute::INTEGER AS attribute, {r6('threshold')} AS threshold, {r6('wgini')} AS wgini FROM bs",
-    "best_candidate": f"WITH {S}, {ATTRS['prefix']}, {GINI} SELECT 0 AS node_id, attribute::INTEGER AS attribute, {r6('threshold')} AS threshold, {r6('wgini')} AS wgini FROM bs ORDER BY bs.wgini, attribute LIMIT 1",
+    "gini_binary_split": f"WITH {S}, {ATTRS['all']}, {GINI} SELECT attribute::INTEGER AS attribute, {r6('threshold')} AS threshold, {r6('wgini')} AS wgini FROM bs",
+    "best_candidate": f"WITH {S}, {ATTRS['all']}, {GINI} SELECT 0 AS node_id, attribute::INTEGER AS attribute, {r6('threshold')} AS threshold, {r6('wgini')} AS wgini FROM bs ORDER BY bs.wgini, attribute LIMIT 1",
     "rise_candidate": f"WITH {S}, {RISE} SELECT attribute::INTEGER AS attribute, round(threshold, 7) + 0 AS threshold, label, {r6('gain')} AS gain, sign FROM rise",
     "majority_class": f"WITH {S}, c AS (SELECT split, label, count(*) AS c FROM s GROUP BY ALL) SELECT split, label FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY c DESC, label) AS k FROM c) WHERE k = 1",
     "stratified_folds": f"WITH {S} SELECT series_id, label, ((row_number() OVER (PARTITION BY label ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) - 1) % 5)::INTEGER AS fold FROM s",
@@ -223,27 +234,28 @@ SELECT series_id, label AS branch FROM (SELECT *, row_number() OVER (PARTITION B
 t AS (SELECT label, ((k * 1103515245 + 7) % 2147483648) % n AS k, count(*) AS times FROM k GROUP BY ALL) SELECT series_id, label, times FROM k JOIN t USING (label, k)""",
     "bag_distance": f"""WITH {S}, {SAX}, bag AS (SELECT series_id, word, count(*) AS n FROM words GROUP BY ALL),
 q AS (SELECT * FROM bag WHERE series_id % 20 = 0),
-pairs AS (SELECT DISTINCT q.series_id AS query_id, e.series_id AS example_id FROM q JOIN bag e USING (word))
+pairs AS (SELECT q.series_id AS query_id, e.series_id AS example_id FROM (SELECT DISTINCT series_id FROM q) q, (SELECT DISTINCT series_id FROM bag) e)
 SELECT query_id, example_id, sum(pow(q.n - coalesce(e.n, 0), 2))::BIGINT AS d FROM pairs p JOIN q ON q.series_id = query_id LEFT JOIN bag e ON e.series_id = example_id AND e.word = q.word GROUP BY ALL""",
     "topn_rank": f"WITH {FEATURES} SELECT rank, type, label, {r6('infogain')} AS infogain FROM ranked",
     "vote_scores": f"WITH {VALUES} SELECT series_id, label, {r6('sum(vote)')} AS score FROM ballots WHERE split = 'validate' GROUP BY ALL",
     "prefix_accuracy": f"WITH {PREFIX} SELECT n, {r6('accuracy')} AS accuracy FROM acc",
     "choose_topn": f"WITH {PREFIX} SELECT n, {r6('accuracy')} AS accuracy FROM acc JOIN pick USING (n)",
     "topn_semi_join": f"WITH {PREFIX} SELECT split, rank, series_id, {r6('value')} AS value FROM fv, pick WHERE rank <= n AND split <> 'train'",
-    "feature_distance_sax": f"""WITH {S}, {EXEMPLARS}, {win(16)}, c AS (SELECT w.* FROM w JOIN ex USING (series_id) WHERE "offset" % 4 = 0)
+    "feature_distance_sax": f"""WITH {S}, {EXEMPLARS}, a AS (WITH {win(16)} SELECT w.* FROM w JOIN ex USING (series_id)), b AS (WITH {win(12)} SELECT w.* FROM w JOIN ex USING (series_id))
 SELECT a.label, a."offset"::INTEGER AS f1, b."offset"::INTEGER AS f2, {r6('''sqrt(list_min(list_transform(range(5), lambda o: list_sum(list_transform(range(1, 13), lambda i: pow(b.w[i] - a.w[o + i], 2))))) / 12)''')} AS d
-FROM c a JOIN c b ON a.label = b.label AND a."offset" < b."offset" """,
+FROM a JOIN b ON a.label = b.label""",
     "feature_distance_sfa": f"""WITH {S}, {EXEMPLARS},
-a AS (WITH {sfa(16)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id) WHERE w."offset" % 8 = 0),
-b AS (WITH {sfa(24)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id) WHERE w."offset" % 8 = 0)
+a AS (WITH {sfa(16)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id)),
+b AS (WITH {sfa(24)} SELECT w.label, w."offset", w.word FROM swords w JOIN ex USING (series_id))
 SELECT q.label, q."offset"::INTEGER AS f1, t."offset"::INTEGER AS f2, {r6(f'({L1}) * ln(1.5)')} AS d FROM a q JOIN b t ON q.label = t.label""",
     "feature_distance_rise": f"WITH {FEATURES} SELECT a.attribute::INTEGER AS f1, b.attribute::INTEGER AS f2, 'ACF_' || a.label AS group_id, abs(a.attribute - b.attribute)::BIGINT AS d FROM features a JOIN features b ON a.label = b.label AND a.fid < b.fid WHERE a.type = 'RISE' AND b.type = 'RISE'",
-    "daily_event_series": f"""WITH u AS (SELECT DISTINCT user_id FROM events WHERE ts::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'),
-e AS (SELECT user_id, datediff('day', DATE '2024-01-01', ts::DATE) AS day, sum(coalesce(value, 0)) AS v FROM events GROUP BY ALL)
-SELECT u.user_id, d::INTEGER AS day, {r6('coalesce(v, 0)')} AS v FROM u, range(30) t(d) LEFT JOIN e ON e.user_id = u.user_id AND e.day = d""",
-    "monthly_revenue_series": """WITH i AS (SELECT l_suppkey, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS m, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY ALL),
-u AS (SELECT DISTINCT l_suppkey FROM i WHERE m BETWEEN 0 AND 82)
-SELECT u.l_suppkey, t.m::INTEGER AS month, round(coalesce(v, 0), 4) AS v FROM u, range(83) t(m) LEFT JOIN i ON i.l_suppkey = u.l_suppkey AND i.m = t.m""",
+    "daily_event_series": f"""WITH r AS (SELECT min(ts)::DATE AS lo, datediff('day', min(ts)::DATE, max(ts)::DATE) AS n FROM events), u AS (SELECT DISTINCT user_id FROM events),
+e AS (SELECT user_id, datediff('day', lo, ts::DATE) AS day, sum(coalesce(value, 0)) AS v FROM events, r GROUP BY ALL),
+d AS (SELECT unnest(range(n + 1)) AS d FROM r)
+SELECT u.user_id, d::INTEGER AS day, {r6('coalesce(v, 0)')} AS v FROM u CROSS JOIN d LEFT JOIN e ON e.user_id = u.user_id AND e.day = d""",
+    "monthly_revenue_series": """WITH i AS (SELECT l_suppkey, year(l_shipdate) * 12 + month(l_shipdate) AS m, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY ALL),
+r AS (SELECT min(m) AS lo, max(m) AS hi FROM i), u AS (SELECT DISTINCT l_suppkey FROM i), t AS (SELECT unnest(range(hi - lo + 1)) AS m, lo FROM r)
+SELECT u.l_suppkey, t.m::INTEGER AS month, round(coalesce(v, 0), 4) AS v FROM u CROSS JOIN t LEFT JOIN i ON i.l_suppkey = u.l_suppkey AND i.m = t.m + lo""",
     "streamed_daily_sums": "SELECT user_id, (ts::DATE)::VARCHAR AS day, round(sum(coalesce(value, 0)), 4) AS v, count(*) AS n FROM events GROUP BY ALL",
-    "wide_value_rows": f"WITH {VALUES} SELECT fid AS feature_id, count(*)::INTEGER AS n_values FROM fv JOIN ranked USING (rank) WHERE split = 'validate' GROUP BY fid",
+    "wide_value_rows": f"WITH {VALUES} SELECT fid AS feature_id, count(*)::INTEGER AS n_values, round(sum(value), 4) AS sum FROM fv JOIN ranked USING (rank) WHERE split = 'validate' GROUP BY fid",
 }

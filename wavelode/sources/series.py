@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPLITS = ("train", "validate", "test")
 
@@ -17,7 +18,7 @@ def _parsed(lines: DataFrame, sep: str, target_first: bool) -> DataFrame:
     label = F.element_at("cells", 1 if target_first else -1)
     values = F.slice("cells", 2 if target_first else 1, F.size("cells") - 1)
     return lines.where(F.trim("value") != "").withColumn("cells", cells).select(
-        "series_id", label.cast("double").cast("int").alias("label"), F.transform(values, lambda v: v.cast("double")).alias("x")
+        "series_id", label.try_cast("double").cast("int").alias("label"), F.transform(values, lambda v: F.trim(v).try_cast("double")).alias("x")
     )
 
 
@@ -36,10 +37,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", target_first
 
 
 def read_arff(spark: SparkSession, path: str, target_first: bool = False) -> DataFrame:
-    """Series from ARFF: header, comments and everything before @data are left out. Data lines are
-    those that start like a number, so files split over tasks need no state."""
-    lines = _numbered(spark.read.text(path)).where(F.regexp_like(F.trim("value"), F.lit(r"^[-+.0-9]")))
-    return _parsed(lines, ",", target_first)
+    """Series from ARFF: header, comments and everything before @data are left out. Header lines start with
+    @ and comments with %, so files split over tasks need no state; a value `?` is null, NaN stays NaN."""
+    lines = _numbered(spark.read.text(path)).where(~F.regexp_like(F.trim("value"), F.lit(r"^[@%]")))
+    return _parsed(lines.withColumn("value", F.regexp_replace("value", r"\?", "")), ",", target_first)
 
 
 def read_series(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -75,17 +76,21 @@ def bucketed(rows: DataFrame, key: str, bucket: Column, value: Column, buckets:
     return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
 
 
-def daily_events(spark: SparkSession, sf_dir: str, start: str = "2024-01-01", days: int = 30) -> DataFrame:
-    """Summed value per user and day."""
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed value per user and day, from the first day of the table to its last."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start, last = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    days = (last - start).days + 1 if start else 1
     return bucketed(events, "user_id", F.datediff(F.to_date("ts"), F.lit(start).cast("date")), F.coalesce("value", F.lit(0.0)), days)
 
 
-def monthly_revenue(spark: SparkSession, sf_dir: str, year: int = 1995, months: int = 83) -> DataFrame:
-    """Revenue per supplier and month."""
+def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue per supplier and month, from the first month of the table to its last."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    month = (F.year("l_shipdate") - year) * 12 + F.month("l_shipdate") - 1
-    return bucketed(items, "l_suppkey", month, F.col("l_extendedprice") * (1 - F.col("l_discount")), months)
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    first, last = items.agg(F.min(month), F.max(month)).first()
+    months = last - first + 1 if first else 1
+    return bucketed(items, "l_suppkey", month - (first or 0), F.col("l_extendedprice") * (1 - F.col("l_discount")), months)
 
 
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -93,17 +98,47 @@ def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> N
     features.write.mode(mode).partitionBy("type").csv(path)
 
 
+def read_features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_features() wrote, with the columns of schema; a folder without rows gives none."""
+    inside = T.StructType([f for f in schema.fields if f.name != "type"])
+    return spark.read.schema(T.StructType([*inside.fields, T.StructField("type", T.StringType())])).csv(path).select(*schema.names)
+
+
+def read_wide_values(spark: SparkSession, path: str, series: DataFrame) -> DataFrame:
+    """(feature_id, series_id, value) of a headerless file of one line per feature, id first, and a value
+    for each series in the order of series_id. Empty lines and files give no row."""
+    cells = F.split("value", ",")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.get(cells, F.lit(0)).cast("int").alias("feature_id"), F.slice(cells, 2, F.size(cells) - 1).alias("cells"))
+    rows = lines.select("feature_id", F.posexplode("cells").alias("place", "value"))
+    ids = series.select("series_id", F.row_number().over(Window.orderBy("series_id")).alias("place")).withColumn("place", F.col("place") - 1)
+    return rows.join(ids, "place").select("feature_id", "series_id", F.col("value").cast("double").alias("value"))
+
+
+def write_filtered(features: DataFrame, values: DataFrame, accuracies: DataFrame, path: str) -> None:
+    """The outcome of filtering: the chosen features by type, their values by split and type, and the
+    accuracy of every prefix, each in a folder of its own."""
+    write_features(features, f"{path}/features")
+    write_values(values, f"{path}/values")
+    accuracies.write.mode("overwrite").csv(f"{path}/accuracies")
+
+
+def write_clusters(clusters: DataFrame, result: DataFrame, path: str) -> None:
+    """The outcome of clustering: the clusters by group, and the accuracy that they reach."""
+    clusters.write.mode("overwrite").partitionBy("group_id").csv(f"{path}/clusters")
+    result.write.mode("overwrite").csv(f"{path}/accuracy")
+
+
 def write_values(values: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Feature values in long form (split, type, feature_id, series_id, value), partitioned for scans."""
     values.write.mode(mode).partitionBy("split", "type").parquet(path)
 
 
-def wide_values(values: DataFrame) -> DataFrame:
-    """feature_id and its values in series order as one line of text: the exchange form of the long table.
-    A line has as many values as the dataset has series."""
+def wide_values(values: DataFrame, most: int = 65_536) -> DataFrame:
+    """feature_id, chunk and the values of up to `most` successive series ids as a line of text: the exchange
+    form of the long table. A feature's lines in the order of chunks have the values of all series."""
     cells = F.array_sort(F.collect_list(F.struct("series_id", "value")))
-    return values.groupBy("feature_id").agg(cells.alias("c")).select(
-        "feature_id", F.concat_ws(",", F.col("feature_id").cast("string"), F.transform("c", lambda c: c["value"].cast("string"))).alias("line")
+    return values.groupBy("feature_id", F.floor(F.col("series_id") / most).alias("chunk")).agg(cells.alias("c")).select(
+        "feature_id", "chunk", F.concat_ws(",", F.col("feature_id").cast("string"), F.transform("c", lambda c: c["value"].cast("string"))).alias("line")
     )
 
 
