@@ -25,11 +25,11 @@ MARK = "▁"
 #: No merge crosses the front of a run of blanks or a line break (checked when a model is loaded).
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Longer units aren't remembered. When the remembered runs take so many bytes, all are forgotten.
-LONGEST, REMEMBERED = 24, 48 << 20
+LONGEST, REMEMBERED = 24, 64 << 20
 #: Longer units are worked on one by one. The place of a pair that is no piece.
 ABREAST, NEVER = 32, 1 << 30
 #: Characters of texts that are encoded together.
-STEP = 1 << 19
+STEP = 1 << 20
 GOLDEN, PLACE = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -52,6 +52,8 @@ class Vocabulary:
         self.order = {p: places[-self.scores[i]] for p, i in self.ids.items()}
         self.single = {p: i for p, i in self.ids.items() if len(p) == 1}
         self.letters = frozenset(self.single)
+        self.letter_ids = np.zeros(1 + max(map(ord, self.single), default=0), np.int32)
+        self.letter_ids[[ord(c) for c in self.single]] = list(self.single.values())
         pairs = sorted(
             ((self.ids[p[:k]] << 16) | self.ids[p[k:]], self.order[p], i)
             for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids
@@ -92,12 +94,9 @@ class Vocabulary:
         """segment() of many units. Short units of known characters go side by side as rows of arrays:
         each turn takes every row's next candidate from its agenda."""
         out: list[bytes] = [b""] * len(units)
-        rows: dict[int, list[int]] = {}
-        for k, unit in enumerate(units):
-            if len(unit) <= ABREAST and self.letters.issuperset(unit):
-                rows.setdefault(-(-len(unit) // 4) * 4, []).append(k)
-            else:
-                out[k] = self.segment(unit, dropout, keys[k])
+        rows, single = self._by_width(units)
+        for k in single:
+            out[k] = self.segment(units[k], dropout, keys[k])
         for width, which in rows.items():
             for at in range(0, len(which), 1 << 14):
                 part = which[at : at + (1 << 14)]
@@ -107,6 +106,15 @@ class Vocabulary:
                     out[k] = data[a:b]
         return out
 
+    def _by_width(self, units: list[str]) -> tuple[dict[int, list[int]], list[int]]:
+        """Numbers of the units that can go side by side, by row width, and of the others."""
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        fits = lens <= ABREAST
+        if not self.letters.issuperset("".join(units)):
+            fits &= np.fromiter(map(self.letters.issuperset, units), bool, len(units))
+        width = np.where(fits, -(-lens // 4) * 4, -1)
+        return {w: np.flatnonzero(width == w).tolist() for w in np.unique(width).tolist() if w >= 0}, np.flatnonzero(~fits).tolist()
+
     def _joined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Agenda places and ids of the pieces that pairs of pieces make; NEVER where they make none."""
         pair = (a.astype(np.int64) << 16) | b
@@ -114,20 +122,20 @@ class Vocabulary:
         hit = self.pairs[at] == pair
         return np.where(hit, self.pair_order[at], NEVER), self.pair_id[at]
 
-    def _abreast(self, units: list[str], width: int, limit: int, keys: np.ndarray, skips: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """skips: instead of by keys, the candidates of each row's set bits are skipped, counted from 0 as
-        they come up. seen gets (rows, their candidates) of every turn."""
-        n, single = len(units), self.single
-        lens = np.array([len(u) for u in units])
+    def _abreast(self, units: list[str], width: int, limit: int, keys: np.ndarray, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows one after another, and how many each row has. seen gets (rows, their candidates) of
+        every turn."""
+        n = len(units)
+        lens = np.fromiter(map(len, units), np.int64, n)
         inside = np.arange(width + 1)[None, :] < lens[:, None]
         ids = np.zeros((n, width + 1), np.int32)
-        ids[inside] = [single[c] for u in units for c in u]
+        ids[inside] = self.letter_ids[np.frombuffer("".join(units).encode("utf-32-le"), "<u4")]
         after = np.tile(np.arange(1, width + 2, dtype=np.int32), (n, 1))
         before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))
         order, makes = np.full((n, width + 1), NEVER, np.int32), np.zeros((n, width + 1), np.int32)
         r, j = np.nonzero(inside[:, 1:])
         order[r, j], makes[r, j] = self._joined(ids[r, j], ids[r, j + 1])
-        open_, turn = np.arange(n), 0
+        open_ = np.arange(n)
         while len(open_):
             left = order[open_].argmin(1)
             best = order[open_, left]
@@ -136,12 +144,7 @@ class Vocabulary:
             right = after[open_, left]
             if seen is not None:
                 seen.append((open_, _places(left, right, best)))
-            if skips is not None:
-                skip = ((skips[open_] >> np.uint64(turn)) & np.uint64(1)).astype(bool)
-                turn += 1
-                order[open_[skip], left[skip]] = NEVER
-                take = ~skip
-            elif limit:
+            if limit:
                 skip = _keyed_all(keys[open_], left, right, best) < limit
                 order[open_[skip], left[skip]] = NEVER
                 take = ~skip
@@ -163,7 +166,7 @@ class Vocabulary:
             order[x, y], makes[x, y] = self._joined(ids[x, y], ids[x, z])
         return ids[inside].astype(np.uint16), inside.sum(1)
 
-    def _heaped(self, unit: str, limit: int, key: int, skips: int | None = None, seen: list | None = None) -> list[str]:
+    def _heaped(self, unit: str, limit: int, key: int, seen: list | None = None) -> list[str]:
         of, symbols, n = self.order.get, list(unit), len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(order, i, i + 1, unit[i : i + 2]) for i in range(n - 1) if (order := of(unit[i : i + 2])) is not None]
@@ -175,9 +178,7 @@ class Vocabulary:
                 continue
             if seen is not None:
                 seen.append((left, right, order))
-                if skips >> (len(seen) - 1) & 1:
-                    continue
-            elif limit and _keyed_int(key, left, right, order) < limit:
+            if limit and _keyed_int(key, left, right, order) < limit:
                 continue
             symbols[left], symbols[right] = pair, ""
             after[left] = nxt = after[right]
@@ -199,8 +200,9 @@ class Vocabulary:
         an empty text.
 
         Every unit has a key of its own, from seed, the text's key and copy number, and the unit's number,
-        and is segmented as by segment() with that key. Remembered are only runs without a skip and with
-        one, with the candidates they bring up; a key that draws no other skip takes such a run as it is.
+        and is segmented as by segment() with that key. Remembered are only runs without a skip, with the
+        candidates they bring up; a key that skips none of these takes such a run as it is, all others are
+        worked out side by side.
         """
         limit = int(dropout * (1 << 32))
         if self.runs.size >= REMEMBERED:
@@ -219,7 +221,7 @@ class Vocabulary:
         at = list(map(runs.roots.get, units))
         absent = [k for k, node in enumerate(at) if node is None]
         short = list(dict.fromkeys(units[k] for k in absent if len(units[k]) <= LONGEST))
-        runs.add(self, short, [0] * len(short))
+        runs.add(self, short)
         for k in absent:
             at[k] = runs.roots.get(units[k], -1)
         node = np.array(at, np.int64)
@@ -228,13 +230,7 @@ class Vocabulary:
             key = np.concatenate(drawn)
             open_ = np.flatnonzero(node >= 0)
             first = runs.first_skip(node[open_], key[open_], limit)
-            open_, first = open_[first >= 0], first[first >= 0]
-            skips, back = np.unique(node[open_] * 64 + first, return_inverse=True)
-            new = [x for x in skips.tolist() if x not in runs.after_skip]
-            runs.add(self, [runs.units[x >> 6] for x in new], [1 << (x & 63) for x in new], new)
-            node[open_] = np.array([runs.after_skip[x] for x in skips.tolist()], np.int64)[back]
-            again = open_[runs.first_skip(node[open_], key[open_], limit) >= 0]
-            alone = np.concatenate((alone, again))
+            alone = np.concatenate((alone, open_[first >= 0]))
             keyed = key[alone].tolist()
         else:
             keyed = [0] * len(alone)
@@ -255,31 +251,24 @@ class Vocabulary:
 
 
 class _Runs:
-    """Remembered runs over units: their ids, and the candidates that came up after the last skip."""
+    """Remembered runs over units without a skip: their ids, and the candidates that came up."""
 
     def __init__(self):
         self.roots: dict[str, int] = {}
-        #: 64 * run + number of the candidate it skips next, to the run that follows.
-        self.after_skip: dict[int, int] = {}
-        self.units: list[str] = []
         self.ids: list[bytes] = []
         self.begin, self.ends, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         #: Bytes, about: texts and ids, their objects, entries of dictionaries and lists, places.
         self.size = 0
 
-    def add(self, words: Vocabulary, units: list[str], skips: list[int], of: list[int] | None = None) -> None:
-        """Runs over units that skip the candidates of the set bits of skips; of: which runs they follow."""
+    def add(self, words: Vocabulary, units: list[str]) -> None:
         if not units:
             return
         ids: list[bytes] = [b""] * len(units)
         places: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(units)
-        rows: dict[int, list[int]] = {}
-        for k, unit in enumerate(units):
-            if words.letters.issuperset(unit):
-                rows.setdefault(-(-len(unit) // 4) * 4, []).append(k)
-                continue
+        rows, single = words._by_width(units)
+        for k in single:
             out, seen = array("H"), []
-            for s in words._heaped(unit, 0, 0, skips[k], seen):
+            for s in words._heaped(units[k], 0, 0, seen):
                 one = words.ids.get(s)
                 out.extend([words.byte_ids[b] for b in s.encode()] if one is None else [one])
             ids[k] = out.tobytes()
@@ -287,27 +276,21 @@ class _Runs:
         for width, which in rows.items():
             for at in range(0, len(which), 1 << 14):
                 part, turns = which[at : at + (1 << 14)], []
-                found, lens = words._abreast([units[k] for k in part], width, 0, np.zeros(0), np.array([skips[k] for k in part], np.uint64), turns)
+                found, lens = words._abreast([units[k] for k in part], width, 0, np.zeros(0), turns)
                 data, ends = found.tobytes(), np.cumsum(lens) * 2
                 row = np.concatenate([r for r, _ in turns] or [np.zeros(0, np.int64)])
                 came = np.concatenate([x for _, x in turns] or [np.zeros(0, np.uint64)])[np.argsort(row, kind="stable")]
                 upto = np.cumsum(np.bincount(row, minlength=len(part)))
                 for k, a, b, c, d in zip(part, (ends - lens * 2).tolist(), ends.tolist(), [0, *upto.tolist()], upto.tolist(), strict=False):
                     ids[k], places[k] = data[a:b], came[c:d]
-        places = [x[s.bit_length() :] for x, s in zip(places, skips, strict=True)]
-        new = range(len(self.ids), len(self.ids) + len(units))
-        if of is None:
-            self.roots.update(zip(units, new, strict=True))
-        else:
-            self.after_skip.update(zip(of, new, strict=True))
-        self.units += units
+        self.roots.update(zip(units, range(len(self.ids), len(self.ids) + len(units)), strict=True))
         self.ids += ids
-        self.size += sum(len(u) + len(x) + 8 * len(p) for u, x, p in zip(units, ids, places, strict=True)) + 300 * len(units)
-        lens = np.array([len(x) for x in places], np.int64)
+        lens = np.fromiter(map(len, places), np.int64, len(places))
         ends = np.cumsum(lens) + len(self.places)
         self.begin = np.concatenate((self.begin, ends - lens))
         self.ends = np.concatenate((self.ends, ends))
         self.places = np.concatenate([self.places, *places])
+        self.size += sum(map(len, units)) + sum(map(len, ids)) + 8 * int(lens.sum()) + 200 * len(units)
 
     def first_skip(self, runs: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
         """Of each run, the number of the first candidate that its key skips, or -1."""
