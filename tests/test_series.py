@@ -2,6 +2,7 @@
 
 import math
 import os
+import shutil
 import subprocess
 import sys
 
@@ -117,7 +118,42 @@ def test_readers_and_writers(spark, tmp_path):
     S.write_values(values, str(tmp_path / "values"))
     assert spark.read.parquet(str(tmp_path / "values")).count() == 2
     assert S.wide_values(values).first().line == "1,0.25,0.5"
-    S.write_features(spark.createDataFrame([(1, "SAX", 2)], "feature_id int, type string, label int"), str(tmp_path / "features"))
+    features = spark.createDataFrame([(1, "SAX", 2), (2, "RISE", 1)], "feature_id int, type string, label int")
+    S.write_features(features, str(tmp_path / "features"))
+    back = S.read_features(spark, str(tmp_path / "features"), features.schema)
+    assert sorted(map(tuple, back.collect())) == [(1, "SAX", 2), (2, "RISE", 1)]
+
+
+def test_wide_values_are_read_as_they_were_written(spark, tmp_path):
+    values = spark.createDataFrame([(f, i, f + i / 7) for f in (3, 4) for i in range(10)], "feature_id int, series_id long, value double")
+    (tmp_path / "wide.csv").write_text("\n".join(r.line for r in S.wide_values(values).collect()) + "\n\n")
+    (tmp_path / "none.csv").write_text("")
+    series = values.select("series_id").distinct()
+    for name, n in (("wide.csv", 20), ("none.csv", 0)):
+        got = S.read_wide_values(spark, str(tmp_path / name), series).collect()
+        assert len(got) == n and all(r.value == pytest.approx(r.feature_id + r.series_id / 7) for r in got)
+    chunks = S.wide_values(values, 4).orderBy("feature_id", "chunk").collect()
+    assert [len(r.line.split(",")) - 1 for r in chunks] == [4, 4, 2] * 2
+
+
+def test_outcomes_are_written(spark, tmp_path):
+    features = spark.createDataFrame([(1, "SAX", 2)], "feature_id int, type string, label int")
+    values = spark.createDataFrame([("test", "SAX", 1, 2, 0.5)], "split string, type string, feature_id int, series_id long, value double")
+    S.write_filtered(features, values, spark.createDataFrame([(5, 0.5)], "n int, accuracy double"), str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f/values")).first().value == 0.5
+    assert spark.read.csv(str(tmp_path / "f/accuracies")).first()._c1 == "0.5"
+    clusters = spark.createDataFrame([("SAX_1", 1, 0, 1, 2, 3, 0.25)], "group_id string, k int, cluster_id int, centroid_feature_id int, label int, size int, weight double")
+    S.write_clusters(clusters, spark.createDataFrame([(0.75, 1)], "accuracy double, n int"), str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c/clusters")).first().group_id == "SAX_1" and spark.read.csv(str(tmp_path / "c/accuracy")).first()._c0 == "0.75"
+
+
+def test_archive_and_odd_arff_lines(spark, tmp_path):
+    (tmp_path / "Pipes").mkdir()
+    (tmp_path / "Pipes/Pipes_TRAIN.txt").write_text("1,2,3\n2,4,5\n")
+    assert sorted((r.label, r.x) for r in S.read_archive(spark, str(tmp_path), "Pipes").collect()) == [(1, [2, 3]), (2, [4, 5])]
+    (tmp_path / "odd.arff").write_text("% x\n@relation r\n@DATA\n?,2,1\nNaN,4,2\n")
+    rows = S.read_series(spark, str(tmp_path / "odd.arff")).orderBy("series_id").collect()
+    assert rows[0].x == [None, 2] and math.isnan(rows[1].x[0]) and [r.label for r in rows] == [1, 2]
 
 
 def test_linkage_and_sliding_distance(spark):
@@ -127,6 +163,99 @@ def test_linkage_and_sliding_distance(spark):
     assert row.d == 0
 
 
+def test_word_codes_give_letter_distances(spark):
+    rng = np.random.default_rng(3)
+    for alphabet, length in ((4, 8), (4, 18), (20, 5), (20, 18), (2, 7)):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, alphabet, length)) for _ in range(40)]
+        rows = spark.createDataFrame(list(zip(words, words[1:], strict=False)), "a string, b string")
+        d = symbols.word_l1(symbols.word_code(F.col("a"), length, alphabet), symbols.word_code(F.col("b"), length, alphabet), length, alphabet)
+        least = symbols.least_l1(symbols.word_code(F.col("a"), length, alphabet), F.array(*[symbols.word_code(F.lit(w), length, alphabet) for w in words[:5]]), length, alphabet)
+        far = lambda a, b: sum(abs(ord(x) - ord(y)) for x, y in zip(a, b, strict=True))
+        for a, b, got, nearest in rows.select("a", "b", d, least).collect():
+            assert got == far(a, b) and nearest == min(far(a, w) for w in words[:5])
+
+
+def test_random_intervals_and_pools():
+    some = candidates.random_intervals(64, 40, seed=3)
+    assert some == candidates.random_intervals(64, 40, seed=3) != candidates.random_intervals(64, 40, seed=4)
+    assert all(0 <= i.start < i.end < 64 and i.end - i.start >= 16 for i in some) and [i.kind for i in some[:4]] == ["ACF", "PS", "ACF", "PS"]
+    assert candidates.interval_count(100) == 4
+    with pytest.raises(ValueError):
+        candidates.random_intervals(16, 1)
+    pool = forest.Settings.pooled(64)
+    assert len(pool.word_params) == 54 * 13 and len(pool.intervals) == 100 and pool.word_tries == 200  # the whole grid, under 1000
+
+
+def clustered(spark):
+    """Features of two groups, with the distances worked out by hand in the test."""
+    base = dict(threshold=0.0, sign=0, origin=0, start=0, window_len=4)
+    rows = [
+        dict(base, feature_id=k, type="RISE", label=1, infogain=g, word="", attribute=a, interval_start=s, interval_end=s + 20, filter="PS", sub=None)
+        for k, (g, a, s) in enumerate([(0.9, 0, 0), (0.8, 1, 0), (0.7, 9, 30), (0.6, 8, 30), (0.5, 2, 1), (0.4, 9, 31)])
+    ]
+    rows += [dict(base, feature_id=10 + k, type="SAX", label=2, infogain=0.5 - k / 10, word="ab", attribute=-1, interval_start=-1, interval_end=-1, filter="", sub=s) for k, s in enumerate([[0.0, 1.0, 0.0], [0.1, 1.0], [5.0, 9.0]])]
+    names = list(rows[0])
+    kinds = "threshold double, sign int, origin long, start int, window_len int, feature_id int, type string, label int, infogain double, word string, attribute int, interval_start int, interval_end int, filter string, sub array<double>"
+    return clustering.groups(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kinds))
+
+
+def brute_clusters(rows, far, merit):
+    """Seed linkage with lists; clusters of every k up to 5."""
+    groups, out = [[i] for i in range(len(rows))], {}
+    while groups:
+        if len(groups) <= 5:
+            out[len(groups)] = [list(g) for g in groups]
+        if len(groups) == 1:
+            return out
+        _, i, j = min((far[groups[i][0]][groups[j][0]], i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        groups[i] += groups.pop(j)
+    return out
+
+
+def test_clusters_equal_brute_force(spark):
+    features = clustered(spark)
+    acc = spark.createDataFrame([(k, 0.5 + k % 3 / 10) for k in (0, 1, 2, 3, 4, 5, 10, 11, 12)], "feature_id int, accuracy double")
+    got = {(r.group_id, r.k, r.cluster_id): (r.centroid_feature_id, r.size, round(r.weight, 9)) for r in clustering.cluster(features, acc).collect()}
+    want = {}
+    for group in ("PS_1", "SAX_2"):
+        rows = sorted((r for r in features.collect() if r.group_id == group), key=lambda r: (-r.infogain, r.word, r.feature_id))
+
+        def far(a, b):
+            if a.type == "RISE":
+                return abs(a.attribute - b.attribute) + abs(a.interval_start - b.interval_start) + abs(a.interval_end - b.interval_end)
+            x, y = sorted((a["sub"], b["sub"]), key=len)
+            return min(math.sqrt(sum((p - q) ** 2 for p, q in zip(x, y[o:], strict=False)) / len(x)) for o in range(len(y) - len(x) + 1))
+
+        merit = [r.infogain * (0.5 + r.feature_id % 3 / 10) for r in rows]
+        for k, groups in brute_clusters(rows, [[far(a, b) for b in rows] for a in rows], merit).items():
+            for c, members in enumerate(groups):
+                top = max(members, key=lambda m: (merit[m], -members.index(m)))
+                want[group, k, c] = (rows[top].feature_id, len(members), round(rows[top].infogain * math.log(len(members) + 1), 9))
+    assert got == want
+
+
+def test_greedy_search_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    groups, labels = ["A_1", "A_2", "B_1"], {i: int(rng.integers(1, 3)) for i in range(30)}
+    cube = {(g, k, i, y): float(rng.normal()) for g in groups for k in range(1, 6) for i in labels for y in (1, 2)}
+    sizes = {"A_1": 7, "A_2": 2, "B_1": 5}
+
+    def accuracy(vector):
+        total = {(i, y): round(sum(cube[g, vector[g], i, y] for g in groups), 9) for i in labels for y in (1, 2)}
+        return sum((1 if total[i, 1] >= total[i, 2] else 2) == y for i, y in labels.items()) / len(labels)
+
+    k, best = dict.fromkeys(groups, 1), accuracy(dict.fromkeys(groups, 1))
+    while open_ := [g for g in groups if k[g] < min(5, sizes[g])]:
+        trials = [accuracy({**k, g: k[g] + 1}) for g in open_]
+        if max(trials) < best:
+            break
+        k[open_[trials.index(max(trials))]] += 1
+        best = max(trials)
+    table = spark.createDataFrame([(*key, v) for key, v in cube.items()], "group_id string, k int, series_id int, label int, score double")
+    got, reached = clustering.greedy_k(table, sizes, spark.createDataFrame(list(labels.items()), "series_id int, label int"))
+    assert got == k and reached == pytest.approx(best)
+
+
 def test_choice_of_prefix(spark):
     acc = spark.createDataFrame([(5, 0.8), (10, 0.9), (15, 0.7), (20, 0.9), (40, 0.9)], "n int, accuracy double")
     assert [filtering.choose(acc, 100, m)[0] for m in (1, 2, 3)] == [10, 40, 20]
@@ -134,17 +263,27 @@ def test_choice_of_prefix(spark):
 
 
 def test_forest_invariants(spark, small):
-    rows = catalogue.data(spark, small)
-    f = forest.grow(rows, forest.Settings(trees=1, depth=1, words_tried=3))
+    rows = catalogue.data(spark, small).where("series_id % 4 = 0 and label < 3")
+    rows = rows.withColumn("split", F.when(F.col("series_id") % 3 == 0, "test").when(F.col("series_id") % 3 == 1, "validate").otherwise("train"))
+    f = forest.grow(rows, forest.Settings.pooled(64, words=4, intervals=4, tries=(1, 2), trees=1))
     nodes = f.nodes.collect()
     root = [n for n in nodes if n.depth == 0]
     assert len(root) == 1 and root[0].n == rows.where("split = 'train'").count()
-    if not root[0].leaf:
-        assert sum(n.n for n in nodes if n.depth == 1) == root[0].n
+    inner = {n.node_id for n in nodes if not n.leaf}
+    for node in inner:  # a node's children share out its rows
+        children = [n for n in nodes if n.node_id.rpartition("/")[0] == node]
+        assert len(children) > 1 and sum(c.n for c in children) == next(n.n for n in nodes if n.node_id == node)
+    assert all(n.gini == 0 or n.n > 1 for n in nodes if n.leaf)
+    shape = forest.shapes(f.nodes).first()
+    assert (shape.nodes, shape.leaves) == (len(nodes), len(nodes) - len(inner)) and shape.depth == max(n.depth for n in nodes)
     p = forest.predict(f, "validate")
     assert p.count() == rows.where("split = 'validate'").count()
+    assert forest.predict(f, "train").where("label <> predicted").join(f.nodes.where("leaf and gini > 0"), "tree_id", "left_semi").count() == forest.predict(f, "train").where("label <> predicted").count()
     assert forest.exported_predictions(p, 1).columns[-1] == "correct"
-    assert forest.export(f).where("infogain < 0").count() == 0
+    features = forest.export(f)
+    assert features.where("infogain < 0").count() == 0
+    values = forest.export_values(f, features)
+    assert values.count() == features.count() * rows.count() and values.where("value is null").count() == 0
 
 
 def database(folder):
@@ -160,7 +299,7 @@ def canonical(rows, names):
 
 
 @pytest.mark.parametrize("name", ["series_load_stats", "znorm_sample", "paa_fractional", "sax_tfidf", "acf_interval", "sfa_bins_equi_depth", "sfa_packed", "gini",
-                                  "best_word_per_class", "gini_binary_split", "stratified_folds", "bootstrap", "bag_distance", "daily_event_series", "streamed_daily_sums"])
+                                  "best_word_per_class", "gini_binary_split", "stratified_folds", "bootstrap", "bag_distance", "daily_event_series", "streamed_daily_sums", "feature_distance_sax", "pacf", "ar_order"])
 def test_query_equals_its_twin(spark, small, name):
     got = catalogue.QUERIES[name](spark, small)
     want = database(small).sql(oracle.SQL[name])
@@ -168,6 +307,18 @@ def test_query_equals_its_twin(spark, small, name):
     assert canonical([tuple(r) for r in got.collect()], got.columns) == canonical(want.fetchall(), want.columns)
 
 
+def test_the_rest_works_with_the_corpus_folders_deleted(tmp_path):
+    for name in ("wavelode", "tests", "__spark_entry__.py", "bench.py"):
+        path = os.path.join(ROOT, name)
+        if os.path.isdir(path):
+            shutil.copytree(path, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        else:
+            shutil.copy(path, tmp_path / name)
+    chosen = "tests/test_series.py::test_paa tests/test_series.py::test_query_equals_its_twin[gini]".split()
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *chosen], cwd=tmp_path, check=True, timeout=300, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'acf' in e.queries() and 'pipeline' not in e.queries()"], cwd=tmp_path, check=True, timeout=120)
+
+
 def test_the_library_imports_without_the_corpus_operators(tmp_path):
     code = (
         "import sys\n"
