@@ -256,6 +256,15 @@ def test_greedy_search_equals_brute_force(spark):
     assert got == k and reached == pytest.approx(best)
 
 
+def test_medians_lags_and_parameter_files(spark, tmp_path):
+    rows = spark.createDataFrame([([3.0, 1.0, 2.0],), ([4.0, 1.0, 2.0, 9.0],), ([],)], "x array<double>")
+    assert [r.m for r in rows.select(K.median(F.col("x")).alias("m")).collect()] == [2, 3, None]
+    assert [spectra.series_lag(n) for n in (64, 30, 1000, 3)] == [16, 26, 100, 3]
+    (tmp_path / "p.csv").write_text("Pipes,TRUE,24,8\nName,Norm,Window,Letters\n\nLocks,false,10,16,0.9\n")
+    got = S.read_word_parameters(spark, str(tmp_path / "p.csv")).orderBy("dataset").collect()
+    assert list(map(tuple, got)) == [("Locks", False, 10, 16, 4), ("Pipes", True, 24, 8, 4)]
+
+
 def test_choice_of_prefix(spark):
     acc = spark.createDataFrame([(5, 0.8), (10, 0.9), (15, 0.7), (20, 0.9), (40, 0.9)], "n int, accuracy double")
     assert [filtering.choose(acc, 100, m)[0] for m in (1, 2, 3)] == [10, 40, 20]

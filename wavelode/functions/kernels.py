@@ -43,6 +43,13 @@ def sd_sample(x: Column) -> Column:
     return F.when(n < 2, 0.0).when(var > 0, F.sqrt(var)).otherwise(0.0)
 
 
+def median(x: Column) -> Column:
+    """The middle of the sorted values, the mean of two for an even number of them; null for none."""
+    n, at = F.size(x), F.array_sort(x)
+    middle = lambda k: F.get(at, k.cast("int"))
+    return F.when(n > 0, (middle((n - 1) / 2) + middle(n / 2)) / 2)
+
+
 def with_moments(df: DataFrame, x: str = "x", sample: bool = False) -> DataFrame:
     """mu and sigma as columns of their own, so that they are worked out once per row."""
     return df.withColumn("mu", mean(F.col(x))).withColumn("sigma", (sd_sample if sample else sd_pop)(F.col(x)))

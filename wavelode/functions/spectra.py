@@ -66,9 +66,26 @@ def autocorrelations(a: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def acf(df: DataFrame, most: int, x: str = "x") -> DataFrame:
-    """df with acf: array of autocorrelations at lags 1..most."""
-    return df.withColumn("acf", _array_udf(lambda a: autocorrelations(a, most))(x))
+def products(a: np.ndarray, most: int) -> np.ndarray:
+    """The variant for values that are normalised already: the sum of x_j x_j+lag over the length; 0 beyond 1."""
+    n, out = a.shape[1], np.zeros((len(a), most))
+    for lag in range(1, min(most, n - 1) + 1):
+        out[:, lag - 1] = (a[:, : n - lag] * a[:, lag:]).sum(1) / n
+    return np.where(np.abs(out) <= 1, out, 0)
+
+
+def acf(df: DataFrame, most: int, x: str = "x", normalized: bool = False) -> DataFrame:
+    """df with acf: array of autocorrelations at lags 1..most; normalized: of values that are."""
+    work = products if normalized else autocorrelations
+    return df.withColumn("acf", _array_udf(lambda a: work(a, most))(x))
+
+
+def series_lag(n: int, end_terms: int = 4) -> int:
+    """The largest lag for whole series: a quarter of the length, 100 at most; the whole length where that is
+    below 10; never into the last end_terms values."""
+    lag = min(n // 4, 100)
+    lag = min(n if lag < 10 else lag, n - end_terms)
+    return n if lag < 0 else lag
 
 
 def durbin_levinson(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

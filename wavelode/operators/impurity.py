@@ -109,3 +109,15 @@ def bootstrap(rows: DataFrame, seed: int) -> DataFrame:
     drawn = (F.col("k") * 1103515245 + seed) % 2147483648 % F.col("n")
     times = placed.groupBy("label", drawn.alias("k")).agg(F.count("*").alias("times"))
     return placed.join(times, ["label", "k"]).select("series_id", "label", "times")
+
+
+def stratified_sample(rows: DataFrame, per_class: int, order: Column) -> DataFrame:
+    """(series_id, label): of each class the first per_class rows in the given order, all if it has fewer.
+
+    The first of each of a class's hash ranges are found before the first of all, so that a frequent
+    class doesn't pass through one task's window.
+    """
+    ranged = rows.select("series_id", "label", order.alias("o")).withColumn("r", F.col("o") % 256)
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("o", "series_id"))
+    few = ranged.withColumn("k", nth("label", "r")).where(F.col("k") <= per_class)
+    return few.withColumn("k", nth("label")).where(F.col("k") <= per_class).select("series_id", "label")

@@ -110,6 +110,19 @@ def acf_interval(spark, sf):
     return rows.select("series_id", F.posexplode("acf").alias("i", "v")).select("series_id", (F.col("i") + 1).alias("lag"), K.r6(F.col("v")).alias("r"))
 
 
+def acf_normalized(spark, sf):
+    """Autocorrelations of normalised series, up to the largest lag for their length."""
+    rows = K.with_moments(data(spark, sf)).withColumn("x", K.znorm_pop())
+    rows = spectra.acf(rows, spectra.series_lag(64), normalized=True)
+    return rows.select("series_id", F.posexplode("acf").alias("i", "v")).select("series_id", (F.col("i") + 1).alias("lag"), K.r6(F.col("v")).alias("r"))
+
+
+def series_scalars(spark, sf):
+    """Sum, mean, deviation and median of every series."""
+    x = F.col("x")
+    return data(spark, sf).select("series_id", *[K.r6(v).alias(n) for n, v in (("total", K.total(x)), ("mean", K.mean(x)), ("sd_pop", K.sd_pop(x)), ("median", K.median(x)))])
+
+
 def power_spectrum(spark, sf):
     rows = data(spark, sf).select("series_id", F.posexplode(spectra.power_spectrum("x")).alias("k", "v"))
     return rows.select("series_id", "k", K.r6(F.col("v")).alias("p"))
@@ -173,6 +186,12 @@ def sfa_words(spark, sf):
     return _sfa(spark, sf).select("series_id", "offset", "word")
 
 
+def sfa_series_words(spark, sf):
+    """A word for the whole of every series."""
+    bins = symbols.equi_depth_bins(symbols.value_histogram(train(spark, sf), 64, 8))
+    return symbols.sfa_words(data(spark, sf), bins, 64, 8).select("series_id", "word")
+
+
 def sfa_packed(spark, sf):
     return _sfa(spark, sf).select("series_id", "offset", "code")
 
@@ -284,6 +303,10 @@ def stratified_folds(spark, sf):
     return impurity.stratified_folds(data(spark, sf), 5, words.pick(F.col("series_id"), SEED))
 
 
+def stratified_sample(spark, sf):
+    return impurity.stratified_sample(data(spark, sf), 20, words.pick(F.col("series_id"), SEED))
+
+
 def bootstrap(spark, sf):
     return impurity.bootstrap(data(spark, sf), SEED)
 
@@ -496,10 +519,10 @@ def wide_value_rows(spark, sf):
 
 
 NAMES = """series_load_stats znorm_pop znorm_sample sliding_window_moments disjoint_windows paa paa_fractional sax_words sax_bag
-sax_first_position sax_tfidf sax_mindist acf acf_interval power_spectrum power_spectrum_packed dft_window_coeffs pacf ar_coefs ar_order
-tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_words sfa_packed param_grid class_histogram gini weighted_gini
+sax_first_position sax_tfidf sax_mindist acf acf_interval acf_normalized series_scalars power_spectrum power_spectrum_packed dft_window_coeffs pacf ar_coefs ar_order
+tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_words sfa_series_words sfa_packed param_grid class_histogram gini weighted_gini
 weighted_gini_split entropy_ovr fixed_threshold_gain word_min_distance best_threshold side_validity best_word_per_class nary_route
-gini_binary_split best_candidate rise_candidate majority_class stratified_folds bootstrap bag_distance topn_rank vote_scores
+gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap bag_distance topn_rank vote_scores
 prefix_accuracy choose_topn topn_semi_join feature_distance_sax feature_distance_sfa feature_distance_rise cluster_features
 centroid_votes final_predict greedy_k pipeline_test_accuracy forest_features forest_feature_values forest_test_accuracy forest_majority_vote tree_shape daily_event_series
 monthly_revenue_series streamed_daily_sums wide_value_rows""".split()

@@ -196,6 +196,12 @@ g AS (SELECT series_id, ascii(substr(a, i + 1, 1)) - 97 AS p, ascii(substr(b, i
 SELECT series_id, {r6('sqrt(sum(CASE WHEN abs(p - q) <= 1 THEN 0 ELSE pow(' + str(CUTS) + '[greatest(p, q)] - ' + str(CUTS) + '[least(p, q) + 1], 2) END) * 2)')} AS d FROM g GROUP BY 1""",
     "acf": f"WITH {S}, {lags(64, 16)} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
     "acf_interval": f"WITH {S}, si AS (SELECT * REPLACE (x[9:40] AS x) FROM s), {lags(32, 8, 'si')} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
+    "acf_normalized": f"""WITH {S}, z AS (SELECT series_id, list_transform(x, lambda v: (v - list_avg(x)) / {sd_pop('x')}) AS x FROM s), l AS (SELECT *, unnest(range(1, 17)) AS lag FROM z),
+p AS (SELECT series_id, lag, list_sum(list_transform(range(1, 65 - lag), lambda i: x[i] * x[i + lag])) / 64 AS r FROM l)
+SELECT series_id, lag::INTEGER AS lag, {r6('CASE WHEN abs(r) <= 1 THEN r ELSE 0 END')} AS r FROM p""",
+    "series_scalars": f"WITH {S} SELECT series_id, {r6('list_sum(x)')} AS total, {r6('list_avg(x)')} AS mean, {r6(sd_pop('x'))} AS sd_pop, {r6('list_median(x)')} AS median FROM s",
+    "sfa_series_words": f"WITH {S}, {sfa(64)} SELECT series_id, word FROM swords",
+    "stratified_sample": f"WITH {S} SELECT series_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) AS k FROM s) WHERE k <= 20",
     "power_spectrum": f"""WITH {S}, k AS (SELECT *, unnest(range(33)) AS k FROM s) SELECT series_id, k::INTEGER AS k, {r6('''
   pow(list_sum(list_transform(range(64), lambda j: x[j + 1] * cos(2 * pi() * k * j / 64))), 2) + pow(list_sum(list_transform(range(64), lambda j: x[j + 1] * sin(2 * pi() * k * j / 64))), 2)''')} AS p FROM k""",
     "power_spectrum_packed": f"""WITH {S}, k AS (SELECT *, unnest(range(64)) AS k FROM s) SELECT series_id, k::INTEGER AS k, {r6('''

@@ -55,6 +55,15 @@ def read_archive(spark: SparkSession, folder: str, name: str, split: str = "TRAI
     return read_series(spark, f"{folder}/{name}/{name}_{split}.{suffix}", sep=sep)
 
 
+def read_word_parameters(spark: SparkSession, path: str, alphabet: int = 4) -> DataFrame:
+    """(dataset, norm_mean, window_len, word_len, alphabet) of a file with a line per dataset: name, whether
+    windows lose their mean, window and letters. Lines that don't hold these are left out."""
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
+    rows = spark.read.text(path).select(*[F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(("dataset", "norm_mean", "window_len", "word_len"))])
+    rows = rows.select("dataset", F.lower("norm_mean").try_cast("boolean").alias("norm_mean"), *[F.col(c).try_cast("int").alias(c) for c in ("window_len", "word_len")])
+    return rows.where("norm_mean is not null and window_len > 0 and word_len > 0").withColumn("alphabet", F.lit(alphabet))
+
+
 def shape(series: DataFrame) -> DataFrame:
     """rows and length of a dataset."""
     return series.agg(F.count("*").alias("n_rows"), F.max(F.size("x")).alias("length"))
