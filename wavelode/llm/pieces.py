@@ -12,6 +12,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -218,13 +219,8 @@ class Vocabulary:
                 h = np.arange(len(some), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
                 h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
                 drawn.append(h ^ (h >> np.uint64(29)))
-        at = list(map(runs.roots.get, units))
-        absent = [k for k, node in enumerate(at) if node is None]
-        short = list(dict.fromkeys(units[k] for k in absent if len(units[k]) <= LONGEST))
-        runs.add(self, short)
-        for k in absent:
-            at[k] = runs.roots.get(units[k], -1)
-        node = np.array(at, np.int64)
+        runs.add(self, [u for u in dict.fromkeys(units) if u not in runs.roots and len(u) <= LONGEST])
+        node = np.fromiter(map(runs.roots.get, units, repeat(-1)), np.int64, len(units))
         alone = np.flatnonzero(node < 0)
         if limit and units:
             key = np.concatenate(drawn)
@@ -234,8 +230,8 @@ class Vocabulary:
             keyed = key[alone].tolist()
         else:
             keyed = [0] * len(alone)
-        ids = runs.ids
-        found = [ids[k] if k >= 0 else b"" for k in node.tolist()]
+        ids = runs.ids or [b""]
+        found = list(map(ids.__getitem__, node.tolist()))  # -1: anything, replaced below
         for k, one in zip(alone.tolist(), self.segment_all([units[k] for k in alone.tolist()], dropout, keyed), strict=True):
             found[k] = one
         return [np.frombuffer(b"".join(found[a:b]), np.uint16) for a, b in zip(ends[:-1], ends[1:], strict=True)]
