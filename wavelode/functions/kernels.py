@@ -2,7 +2,8 @@
 
 Windows, segments and coefficients have lengths that are known when a plan is built, so their sums
 become plain arithmetic on array elements, which whole-stage code generation compiles; only the
-kernels over whole series use higher-order functions.
+kernels over whole series and windows wider than WIDE use higher-order functions, as code for so many
+terms would neither plan nor compile well.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WIDE = 32
+
+
 def zero() -> Column:
     return F.lit(0.0)
 
@@ -85,7 +89,9 @@ def added(terms: list[Column]) -> Column:
 
 
 def window_moments(w: Column, width: int, sample: bool = False) -> tuple[Column, Column]:
-    """Mean and deviation of a window of known width, unrolled."""
+    """Mean and deviation of a window of known width, unrolled unless it is wide."""
+    if width > WIDE:
+        return mean(w), (sd_sample if sample else sd_pop)(w)
     items = [w[i] for i in range(width)]
     mu, squares = added(items) / width, added([v * v for v in items])
     if sample:
@@ -129,10 +135,11 @@ def dft_values(w: Column, width: int, length: int, sigma: Column, skip: int = 0)
             out.append(zero())
             continue
         angles = [2 * math.pi * ((f * j) % width) / width for j in range(width)]
-        if k % 2 == 0:
-            s = added([w[j] * math.cos(a) for j, a in enumerate(angles)])
+        factors = [math.cos(a) if k % 2 == 0 else -math.sin(a) for a in angles]
+        if width > WIDE:
+            s = total(F.zip_with(w, F.array(*map(F.lit, factors)), lambda v, c: v * c))
         else:
-            s = added([w[j] * -math.sin(a) for j, a in enumerate(angles)])
+            s = added([w[j] * c for j, c in enumerate(factors)])
         sign = -1.0 if (k - skip) % 2 else 1.0
         out.append(s * (sign / by) / scale)
     return out

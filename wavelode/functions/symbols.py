@@ -36,10 +36,14 @@ def sax_words(series: DataFrame, width: int, parts: int, alphabet: int = 4, flat
     rows = K.windows(series, width)
     mu, sigma = K.window_moments(F.col("w"), width, sample=True)
     rows = rows.withColumn("mu", mu).withColumn("sigma", sigma)
-    z = [F.when(F.col("sigma") < flat, 0.0).otherwise((F.col("w")[i] - F.col("mu")) / F.col("sigma")) for i in range(width)]
+    if width > K.WIDE:
+        rows = rows.withColumn("z", K.znorm_sample("w", flat))
+        z = [F.col("z")[i] for i in range(width)]
+    else:
+        z = [F.when(F.col("sigma") < flat, 0.0).otherwise((F.col("w")[i] - F.col("mu")) / F.col("sigma")) for i in range(width)]
     means = rows.withColumn("p", F.array(*K.paa(z, parts)))
     letters = [letter(F.col("p")[i], gaussian_cuts(alphabet)) for i in range(min(parts, width))]
-    return means.withColumn("word", F.concat(*letters)).drop("w", "mu", "sigma", "p")
+    return means.withColumn("word", F.concat(*letters)).drop("w", "z", "mu", "sigma", "p")
 
 
 def word_code(word: Column, longest: int, alphabet: int = 20) -> Column:
