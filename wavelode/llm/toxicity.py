@@ -56,8 +56,9 @@ class Block:
         lens = starts[rows + 1] - starts[rows]
         self.rows, self.first = rows, np.cumsum(lens) - lens
         at = ids[np.repeat(starts[rows] - self.first, lens) + np.arange(lens.sum())]
-        self.terms, self.place = np.unique(at, return_inverse=True)
-        self.row = np.repeat(np.arange(len(rows)), lens)
+        self.terms, place = np.unique(at, return_inverse=True)
+        # Half-size numbers: all blocks of a sample are held at once.
+        self.place, self.row = place.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), lens)
         order = np.argsort(self.place, kind="stable")
         self.row_by_term, self.term_first = self.row[order], np.searchsorted(self.place[order], np.arange(len(self.terms)))
 
