@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, simhash, toxicity
+from . import conversations, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,75 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest repair and the repaired text's hash; see conversations.repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit_digests(conversations.damaged(rows), rows)
+
+
+def _least(*options: str) -> str:
+    return f"least({', '.join(options)})"
+
+
+def _op13_sql() -> str:
+    """A row's values by state, from the last row back: twelve digits of cost, the audit, a mark, the repaired lines.
+    The least such text is the least cost and, of that, the ASCII-least audit. g: no insertion before the row;
+    h: up to one; v: up to two."""
+    edge = lambda cost, letter, to, line="''": f"(printf('%012d', {cost} + {to}[:12]::BIGINT) || '{letter}' || split_part({to}[13:], chr(1), 1) || chr(1) || {line} || substr({to}, strpos({to}, chr(1)) + 1))"
+    said = lambda role: f"'{role}:' || text || chr(10)"
+    nexts, roles = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    kept = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    g = []
+    for s in range(4):
+        keeps = [f"CASE WHEN free AND initial = '{i}' THEN {edge('short', 'K', f'n{t}', 'role || chr(58) || text || chr(10)')} END" for i, t in kept[s]]
+        rerole = f"CASE WHEN free THEN {edge('2 + short', 'R', f'n{nexts[s]}', said(roles[s]))} END"
+        g.append(_least(edge("3", "D", f"n{s}"), rerole, *keeps) + f" AS g{s}")
+    insert = lambda s, layer: edge("2", "I", f"{layer}{nexts[s]}", f"'{roles[s]}:' || chr(10)")
+    h = [_least(f"g{s}", insert(s, "g")) + f" AS h{s}" for s in range(4)]
+    v = [_least(f"g{s}", insert(s, "h")) + f" AS v{s}" for s in range(4)]
+    return rf"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t FROM range(256) r(n)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations),
+crc AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS d FROM keyed k, bytes),
+harm AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crc WHERE d <> 0),
+line AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS initial,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM harm),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, count(*) OVER (PARTITION BY conv_id) AS total,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM line),
+faults AS (
+  SELECT *, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM seen),
+rows AS (SELECT *, NOT (blank OR duplicate) AS free, truncated::BIGINT AS short FROM faults),
+back AS (
+  SELECT DISTINCT conv_id, total + 1 AS i, '000000000000' || chr(1) AS v0, '000000000004II' || chr(1) || 'user:' || chr(10) || 'assistant:' || chr(10) AS v1,
+    '000000000002I' || chr(1) || 'assistant:' || chr(10) AS v2, '000000000000' || chr(1) AS v3 FROM rows
+  UNION ALL
+  SELECT conv_id, i, {", ".join(v)} FROM (SELECT *, {", ".join(h)} FROM (SELECT *, {", ".join(g)} FROM (
+    SELECT r.*, b.v0 AS n0, b.v1 AS n1, b.v2 AS n2, b.v3 AS n3 FROM back b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)))),
+best AS (SELECT conv_id, v0 FROM back WHERE i = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0[:12]::BIGINT, 0) AS cost,
+  coalesce(split_part(v0[13:], chr(1), 1), '') AS audit, sha256(coalesce(regexp_replace(substr(v0, strpos(v0, chr(1)) + 1), '\n\z', ''), '')) AS repaired_sha256
+FROM every e LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -143,5 +212,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op13_conversations": op13_conversations,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op13_conversations": OP13_SQL}
