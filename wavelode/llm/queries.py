@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, simhash, toxicity
+from . import conversations, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,48 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets and the weak parts that complete one another; see secrets.find."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Positions are summed lengths of what stands between matches and of the matches themselves."""
+    patterns = dict(zip(secrets.KINDS, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.IDENT, secrets.OPAQUE, secrets.ENDPOINT), strict=True))
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    keep = {
+        "assign": f"length(regexp_extract(hit, {quoted(patterns['assign'])}, 1)) >= 6", "ident": f"length(regexp_extract(hit, {quoted(patterns['ident'])}, 1)) >= 4",
+        "opaque": "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')",
+    }
+    spans = lambda p: f"SELECT r, unnest(range(1, len(hits) + 1)) AS i, hits, gaps FROM (SELECT r, regexp_extract_all(text, {quoted(p)}) AS hits, string_split_regex(text, {quoted(p)}) AS gaps FROM docs)"
+    placed = lambda p: f"(SELECT r, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS s FROM ({spans(p)}))"
+    all_ = " UNION ALL ".join(f"SELECT r, {i} AS k, s, s + length(hit) AS e FROM {placed(p)} WHERE {keep.get(k, 'true')}" for i, (k, p) in enumerate(patterns.items()))
+    near = lambda kinds: f"EXISTS (SELECT 1 FROM parts o WHERE o.r = p.r AND o.scope = p.scope AND o.k IN ({kinds}) AND o.s <= p.e + {secrets.REACH} AND o.e >= p.s - {secrets.REACH})"
+    names = f"{list(secrets.KINDS)}[k + 1]"
+    joined = f"coalesce(string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k, e), '')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({all_}),
+apart AS (
+  SELECT * FROM found f WHERE k IN (0, 1, 2, 5)
+    OR (k = 3 AND NOT EXISTS (SELECT 1 FROM found o WHERE o.r = f.r AND o.k < 3 AND o.s < f.e AND o.e > f.s))),
+clear AS (
+  SELECT * FROM apart UNION ALL
+  SELECT * FROM found f WHERE k = 4 AND NOT EXISTS (SELECT 1 FROM apart o WHERE o.r = f.r AND o.s < f.e AND o.e > f.s)),
+breaks AS (SELECT r, s FROM {placed(secrets.BREAK)}),
+parts AS MATERIALIZED (SELECT c.*, (SELECT count(*) FROM breaks b WHERE b.r = c.r AND b.s < c.s) AS scope FROM clear c),
+said AS (
+  SELECT * FROM parts p WHERE k < 3 OR (k = 4 AND ({near("1")} OR ({near("3")} AND {near("5")})))
+    OR (k = 3 AND ({near("0, 2")} OR ({near("4")} AND {near("5")}))) OR (k = 5 AND {near("1, 3")} AND {near("0, 2, 4")}))
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3), '')) AS base_sha256, {joined} AS spans
+FROM docs d LEFT JOIN said q ON q.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, its cheapest repair and the repaired text's hash; see conversations.repair."""
     rows = table(spark, sf_dir, "conversations")
@@ -212,6 +254,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op12_secrets": op12_secrets,
     "op13_conversations": op13_conversations,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op13_conversations": OP13_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_secrets": OP12_SQL, "op13_conversations": OP13_SQL}
