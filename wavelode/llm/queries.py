@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, toxicity
+from . import conversations, divergence, embedding_dedup, exact_dedup, html_extraction, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,42 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, as pairs and by terms; see divergence.audit."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS lang_n
+  FROM groups LEFT JOIN (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL) USING (lang, source) LEFT JOIN vocabulary USING (lang)),
+dense AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+  FROM totals JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+whole AS (SELECT lang, term, sum(c) AS c FROM counts GROUP BY ALL),
+terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM (
+    SELECT d.lang, d.source, d.term, d.p, 1 + (1000000000::HUGEINT * (w.c + 1)) // (t.lang_n + t.v) AS q
+    FROM dense d JOIN whole w USING (lang, term) JOIN totals t USING (lang, source) WHERE d.c > 0) WHERE p > q),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM every LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM terms)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets and the weak parts that complete one another; see secrets.find."""
     return secrets.digests(table(spark, sf_dir, "documents"))
@@ -254,7 +290,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op11_divergence": op11_divergence,
     "op12_secrets": op12_secrets,
     "op13_conversations": op13_conversations,
 }
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op12_secrets": OP12_SQL, "op13_conversations": OP13_SQL}
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op11_divergence": OP11_SQL, "op12_secrets": OP12_SQL, "op13_conversations": OP13_SQL}
