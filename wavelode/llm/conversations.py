@@ -210,34 +210,40 @@ PART = (
 )
 
 
+PART_COLUMNS = ["conv_id", *[c.split()[0] for c in PART.split(", ")]]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def part_tables(rows: DataFrame) -> DataFrame:
     """A row for each (conv_id, part): counts, ends, and the least cost and audit from each state to each."""
 
     def work(batches):
-        def out(key, p: _Part):
+        def row(key, p: _Part) -> tuple:
             least = sorted(p.whole().least.items())
             b = p.counts
-            row = [key[0], key[1], p.first, p.last, p.turn0, p.turn1, p.turns, b[BLANK], b[DUPLICATE], b[TRUNCATED], p.illegal]
-            row += [[4 * s + e for (s, e), _ in least], [c for _, (c, _, _) in least], [spelled(k, v) for _, (_, k, v) in least]]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
+            table = [4 * s + e for (s, e), _ in least], [c for _, (c, _, _) in least], [spelled(k, v) for _, (_, k, v) in least]
+            return (*key, p.first, p.last, p.turn0, p.turn1, p.turns, b[BLANK], b[DUPLICATE], b[TRUNCATED], p.illegal, *table)
 
-        schema, now, part = None, None, None
+        names, schema, now, part, done = PART_COLUMNS, None, None, None, []
         for batch in batches:
             if schema is None:
-                kind = batch.schema.field("conv_id").type
                 longs, text = pa.int64(), pa.string()
-                schema = pa.schema(
-                    list(zip(["conv_id", "part", "first", "last", "turn0", "turn1", "turns", "blank", "duplicate", "truncated", "illegal", "ends", "costs", "audits"],
-                             [kind, longs, text, text, *[longs] * 7, pa.list_(pa.int32()), pa.list_(longs), pa.list_(text)], strict=True))
-                )
+                kinds = [batch.schema.field("conv_id").type, longs, text, text, *[longs] * 7, pa.list_(pa.int32()), pa.list_(longs), pa.list_(text)]
+                schema = pa.schema(list(zip(names, kinds, strict=True)))
             for key, (turn, initial, fault, n) in _runs(iter([batch]), ("conv_id", "part"), ("turn", "initial", "fault", "n")):
                 if part is None or key != now:
                     if part is not None:
-                        yield out(now, part)
+                        done.append(row(now, part))
                     now, part = key, _Part()
                 part.add(turn, initial, fault, n)
+            if done:
+                yield _batch(done, schema)
+                done = []
         if part is not None:
-            yield out(now, part)
+            yield _batch([row(now, part)], schema)
 
     narrow = rows.select("conv_id", "part", "place", F.col("turn").cast("long").alias("turn"), F.substring("role", 1, 1).alias("initial"), "fault", "n")
     sorted_ = narrow.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place")
@@ -252,8 +258,7 @@ def audited(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows as it has parts, with its audit's letters for each pair of states.
     """
 
-    def work(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    def conversation(rows: list[dict]) -> tuple:
         tables = [Parts({(e // 4, e % 4): (c, len(a), numbered(a)) for e, c, a in zip(r["ends"], r["costs"], r["audits"], strict=True)}) for r in rows]
         whole, through = tables[0], []
         for t in tables[1:]:
@@ -273,16 +278,32 @@ def audited(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         turns = sum(r["turns"] for r in known) - sum(a["turn1"] == b["turn0"] for a, b in zip(known, known[1:], strict=False))
         gaps = known[-1]["turn1"] - known[0]["turn0"] + 1 - turns if known else 0
         counts = [sum(r[c] for r in rows) for c in ("blank", "duplicate", "truncated")]
-        out = [rows[0]["conv_id"], gaps, *counts, illegal, cost, spelled(count, letters), [r["part"] for r in rows], starts, pieces]
-        names = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "parts", "states", "pieces"]
-        types = [table.schema.field("conv_id").type, *[pa.int64()] * 6, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        return pa.table([pa.array([v], t) for v, t in zip(out, types, strict=True)], names=names)
+        return (rows[0]["conv_id"], gaps, *counts, illegal, cost, spelled(count, letters), [r["part"] for r in rows], starts, pieces)
+
+    def work(batches):
+        schema, rows = None, []
+        for batch in batches:
+            if schema is None:
+                longs, text = pa.int64(), pa.string()
+                kinds = [batch.schema.field("conv_id").type, *[longs] * 6, text, pa.list_(longs), pa.list_(pa.int32()), pa.list_(text)]
+                schema = pa.schema(list(zip(["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "parts", "states", "pieces"], kinds, strict=True)))
+            done = []
+            for r in batch.to_pylist():
+                if rows and rows[0]["conv_id"] != r["conv_id"]:
+                    done.append(conversation(rows))
+                    rows = []
+                rows.append(r)
+            if done:
+                yield _batch(done, schema)
+        if rows:
+            yield _batch([conversation(rows)], schema)
 
     schema = (
         f"conv_id {kind_of(rows, 'conv_id')}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, "
         "parts array<long>, states array<int>, pieces array<string>"
     )
-    found = stored(part_tables(rows).groupBy("conv_id").applyInArrow(work, schema), "conversation-audits")
+    parts = part_tables(rows).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    found = stored(parts.mapInArrow(work, schema), "conversation-audits")
     pieces = found.select("conv_id", F.explode(F.arrays_zip("parts", "states", "pieces")).alias("p"))
     return found.drop("parts", "states", "pieces"), pieces.select("conv_id", F.col("p.parts").alias("part"), F.col("p.states").alias("state"), F.col("p.pieces").alias("piece"))
 
@@ -326,15 +347,12 @@ def repaired(rows: DataFrame, pieces: DataFrame) -> DataFrame:
                     out.append((*key, seq, edit, turn, role if edit == "K" else ROLE[state], text))
                     seq += 1
             if len(out) > 10_000:
-                yield made(out, schema)
+                yield _batch(out, schema)
                 out = []
         if key0 is not None:
             inserts()
         if out:
-            yield made(out, schema)
-
-    def made(out, schema):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            yield _batch(out, schema)
 
     heads = pieces.select("conv_id", "part", F.lit(-1).cast("long").alias("place"), F.lit(None).cast(kinds["turn"]).alias("turn"), F.lit(None).cast("string").alias("role"),
                           F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n"), "state", "piece")
@@ -378,10 +396,10 @@ def text_hashes(conversations: DataFrame) -> DataFrame:
                 else:
                     state.update(b"\n" + line)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), schema.types, strict=True)], schema=schema)
+                yield _batch(done, schema)
                 done = []
         if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]], schema.types[0]), pa.array([state.hexdigest()])], schema=schema)
+            yield _batch([(*now, state.hexdigest())], schema)
 
     line = conversations.select("conv_id", "part", "seq", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
     return line.mapInArrow(work, f"conv_id {kind_of(conversations, 'conv_id')}, sha256 string")
