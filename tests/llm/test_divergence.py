@@ -74,7 +74,7 @@ def made(seed, n):
 
 
 def test_small_blocks_tiles_and_salts_against_plain_counting(spark, monkeypatch):
-    for name, value in (("BLOCK", 3), ("TILE_TERMS", 2), ("TILE_SOURCES", 2), ("DOCS_A_SALT", 20), ("MOST_COUNTED", 5)):
+    for name, value in (("BLOCK", 3), ("TILE_TERMS", 2), ("TILE_SOURCES", 2), ("DOCS_A_SALT", 20), ("MOST_COUNTED", 5), ("MOST_TOKENS", 60)):
         monkeypatch.setattr(D, name, value)
     rows = made(1, 90) + [("einzig", "fr", "s1"), (None, "fr", "s2")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)

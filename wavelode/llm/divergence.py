@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from .transducer import Transducer
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Terms of a transducer. What the driver knows of the vocabulary is the first term of each.
 BLOCK = 16_384
-#: Counters of a task are handed on when they hold this many terms.
-MOST_COUNTED = 500_000
+#: A task hands its counts on when it holds so many different terms or tokens.
+MOST_COUNTED, MOST_TOKENS = 400_000, 6_000_000
 #: Documents to a salt: the terms of so many meet in one stream of a transducer.
 DOCS_A_SALT = 500_000
 #: Terms and sources of a tile in which distributions are compared as one block of numbers.
@@ -50,23 +49,56 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
+class _Ids(dict):
+    """Numbers for terms, from 0 in the order in which they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+    def of(self, text: bytes) -> np.ndarray:
+        terms = terms_of(text)
+        return np.fromiter(map(self.__getitem__, terms), np.int32, len(terms))
+
+
+def _tallied(tokens: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below size that occur, and how often."""
+    ids = np.concatenate(tokens)
+    if 8 * len(ids) < size:
+        return np.unique(ids, return_counts=True)
+    n = np.bincount(ids, minlength=size)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
+def _full(known: dict[str, _Ids], tokens: int) -> bool:
+    return tokens > MOST_TOKENS or sum(map(len, known.values())) > MOST_COUNTED
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(lang, term, df): documents of a language that have a term; a task counts many before it hands them on."""
 
     def work(batches):
-        names = ["lang", "term", "df"]
-
         def handed():
-            for lang, terms in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), _strings(list(terms)), pa.array(list(terms.values()), pa.int64())], names=names)
-
-        counts: dict[str, Counter] = {}
+            for lang, ids in known.items():
+                if ids:
+                    at, n = _tallied(seen[lang], len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), _strings(list(ids)).take(pa.array(at)), pa.array(n, pa.int64())], names=["lang", "term", "df"])
+
+        known: dict[str, _Ids] = {}
+        seen: dict[str, list[np.ndarray]] = {}
+        tokens = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.setdefault(lang, Counter()).update(set(terms_of(text.as_py())))
-            if sum(map(len, counts.values())) > MOST_COUNTED:
+                once = np.unique(known.setdefault(lang, _Ids()).of(text.as_py()))
+                seen.setdefault(lang, []).append(once)
+                tokens += len(once)
+                if tokens > MOST_TOKENS:
+                    yield from handed()
+                    known, seen, tokens = {}, {}, 0
+            if _full(known, tokens):
                 yield from handed()
-                counts = {}
+                known, seen, tokens = {}, {}, 0
         yield from handed()
 
     partial = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(work, "lang string, term string, df long")
@@ -115,26 +147,36 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
         flushes = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def handed():
-            blocks: dict[str, dict[bytes, int]] = {}
-            for (lang, source), terms in counts.items():
-                starts, at = firsts[lang], blocks.setdefault(lang, {})
-                for t in terms.keys() - at.keys():
-                    at[t] = bisect_right(starts, t) - 1
-                rows = [(at[t], t, n) for t, n in terms.items() if at[t] >= 0]
-                if rows:
-                    block, term, n = zip(*rows, strict=True)
-                    k = len(rows)
-                    columns = [pa.array([lang] * k, pa.string()), pa.array(block, pa.int64()), pa.array([flushes % salts] * k, pa.int32()), pa.array([source] * k, pa.string())]
-                    yield pa.RecordBatch.from_arrays([*columns, _strings(list(term)), pa.array(n, pa.int64())], names=names)
-
-        counts: dict[tuple[str, str], Counter] = {}
+            for lang, ids in known.items():
+                if not ids:
+                    continue
+                terms = list(ids)
+                blocks = np.fromiter((bisect_right(firsts[lang], t) for t in terms), np.int64, len(terms)) - 1
+                strings = _strings(terms)
+                for source, arrays in spoken[lang].items():
+                    at, n = _tallied(arrays, len(ids))
+                    some = blocks[at] >= 0  # below the first kept term there is none
+                    at, n = at[some], n[some]
+                    k = len(at)
+                    columns = [pa.repeat(lang, k), pa.array(blocks[at]), pa.repeat(pa.scalar(flushes % salts, pa.int32()), k), pa.repeat(source, k)]
+                    yield pa.RecordBatch.from_arrays([*columns, strings.take(pa.array(at)), pa.array(n, pa.int64())], names=names)
+
+        known: dict[str, _Ids] = {}
+        spoken: dict[str, dict[str, list[np.ndarray]]] = {}
+        tokens = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if lang in firsts:
-                    counts.setdefault((lang, source), Counter()).update(terms_of(text.as_py()))
-            if sum(map(len, counts.values())) > MOST_COUNTED:
+                if lang not in firsts:
+                    continue
+                ids = known.setdefault(lang, _Ids()).of(text.as_py())
+                spoken.setdefault(lang, {}).setdefault(source, []).append(ids)
+                tokens += len(ids)
+                if tokens > MOST_TOKENS:
+                    yield from handed()
+                    known, spoken, tokens, flushes = {}, {}, 0, flushes + 1
+            if _full(known, tokens):
                 yield from handed()
-                counts, flushes = {}, flushes + 1
+                known, spoken, tokens, flushes = {}, {}, 0, flushes + 1
         yield from handed()
 
     def walk(batches):
