@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import stored
 from . import kernels as K
+from . import sliding
+from .sliding import Words
 
 LETTERS = "abcdefghijklmnopqrst"
 UNFILLED = 1.7976931348623157e308
@@ -83,42 +91,90 @@ def mindist(a: Column, b: Column, length: int, width: int, alphabet: int = 4) ->
     return F.sqrt(K.added(terms) * (width / length))
 
 
+def per_window(series: DataFrame, fields: list[tuple[str, str]], work: Callable[[np.ndarray], Iterable[dict]], x: str = "x") -> DataFrame:
+    """A row per window: series' columns but x, and fields (name, type). work takes a stack of equally long series
+    and gives dicts of arrays (rows, windows, ...), several for several kinds of window. Null series have none."""
+    kept = [c for c in series.columns if c != x]
+    schema = T.StructType([*[series.schema[c] for c in kept], *T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in fields)).fields])
+
+    def column(values: np.ndarray) -> pa.Array:
+        if values.ndim == 3:
+            rows, n, k = values.shape
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * n * k + 1, k), pa.int32()), pa.array(values.reshape(-1)))
+        flat = pa.array(values.reshape(-1), pa.binary()) if values.dtype.kind == "S" else pa.array(values.reshape(-1))
+        return flat.cast(pa.string()) if values.dtype.kind == "S" else flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.names.index(x))
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            starts, values = np.cumsum(lens) - lens, lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            rest = batch.select(kept)
+            for n in np.unique(lens[lens > 0]):
+                at = np.flatnonzero(lens == n)
+                for made in work(values[starts[at][:, None] + np.arange(n)]):
+                    per = next(iter(made.values())).shape[1]
+                    own = rest.take(pa.array(np.repeat(at, per)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *[column(made[f]) for f, _ in fields]], names=[*kept, *[f for f, _ in fields]])
+
+    return series.select(*kept, x).mapInArrow(run, schema)
+
+
+def _offsets(rows: int, windows: int) -> np.ndarray:
+    return np.broadcast_to(np.arange(windows, dtype=np.int32), (rows, windows))
+
+
 def fourier_windows(series: DataFrame, width: int, length: int, norm_mean: bool = False, disjoint: bool = False) -> DataFrame:
-    """Fourier values c of all windows, or of whole blocks, each divided by its deviation. With
-    norm_mean the constant part is skipped."""
-    rows = K.disjoint(series, width) if disjoint else K.windows(series, width)
-    _, sigma = K.window_moments(F.col("w"), width)
-    rows = rows.withColumn("sigma", sigma)
-    values = K.dft_values(F.col("w"), width, length, F.col("sigma"), 2 if norm_mean else 0)
-    return rows.withColumn("c", F.array(*values)).drop("w", "sigma")
+    """Fourier values c of all windows, or of whole blocks (then `block` numbers them), each divided by its deviation.
+    With norm_mean the constant part is skipped. The values come from running sums."""
+    name, step = ("block", width) if disjoint else ("offset", 1)
+
+    def work(a):
+        if a.shape[1] >= width:
+            c = sliding.fourier(a, width, length, norm_mean)[:, ::step]
+            yield {name: _offsets(*c.shape[:2]), "c": np.ascontiguousarray(c)}
+
+    return per_window(series, [(name, "int"), ("c", "array<double>")], work)
+
+
+def value_histograms(train: DataFrame, params: list[Words], *keys: str) -> DataFrame:
+    """(param_id, keys, coef, value, n): training blocks' Fourier values to two decimals under every parameter, from
+    one scan and one aggregation. As many rows as there are different values: cuts need no list of all."""
+
+    def work(a):
+        for k, p in enumerate(params):
+            if a.shape[1] >= p.width:
+                c = sliding.rounded(sliding.fourier(a, p.width, p.length, p.norm_mean)[:, :: p.width])
+                yield {"param_id": np.full(c.shape[:2], k, np.int32), "c": np.ascontiguousarray(c)}
+
+    blocks = per_window(train, [("param_id", "int"), ("c", "array<double>")], work)
+    return blocks.select("param_id", *keys, F.posexplode("c").alias("coef", "value")).groupBy("param_id", *keys, "coef", "value").agg(F.count("*").alias("n"))
 
 
 def value_histogram(train: DataFrame, width: int, length: int, norm_mean: bool = False) -> DataFrame:
-    """(coef, value, n): training blocks' Fourier values to two decimals. As many rows as there are
-    distinct values, so that cuts need no list of all of them."""
-    blocks = fourier_windows(train, width, length, norm_mean, disjoint=True)
-    return blocks.select(F.posexplode("c").alias("coef", "v")).groupBy("coef", (F.round("v", 2) + 0.0).alias("value")).agg(F.count("*").alias("n"))
+    """(coef, value, n) under one parameter."""
+    return value_histograms(train, [Words("SFA", width, length, norm_mean=norm_mean)]).drop("param_id")
 
 
 def _beyond(need: Column, last: Column | None):
     return lambda t: (t["upto"] > need) if last is None else (t["upto"] > need) & (t["value"] > last)
 
 
-def equi_depth_bins(histogram: DataFrame, alphabet: int = 4) -> DataFrame:
-    """(coef, cuts): each cut is the smallest value above the last cut that has more than
+def equi_depth_bins(histogram: DataFrame, alphabet: int = 4, keys: tuple[str, ...] = ("coef",)) -> DataFrame:
+    """(keys, cuts): each cut is the smallest value above the last cut that has more than
     ceil(depth * its number) values up to it; cuts that no value reaches are the largest double."""
     histogram = stored(histogram, "histogram")
-    upto = F.sum("n").over(Window.partitionBy("coef").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("n").over(Window.partitionBy("coef"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("n").over(Window.partitionBy(*keys))
     runs = histogram.withColumn("upto", upto).withColumn("total", whole)
-    lists = runs.groupBy("coef").agg(F.array_sort(F.collect_list(F.struct("value", "upto"))).alias("r"), F.first("total").alias("total"))
+    lists = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", "upto"))).alias("r"), F.first("total").alias("total"))
     cuts: list[Column] = []
     for k in range(1, alphabet):
         need = F.ceil(F.col("total") / alphabet * k)
         fits = F.filter("r", _beyond(need, cuts[-1] if cuts else None))
         lists = lists.withColumn(f"b{k}", F.coalesce(F.try_element_at(fits, F.lit(1))["value"], F.lit(UNFILLED)))
         cuts.append(F.col(f"b{k}"))
-    return lists.select("coef", F.array(*cuts).alias("cuts"))
+    return lists.select(*keys, F.array(*cuts).alias("cuts"))
 
 
 def equi_width_bins(histogram: DataFrame, alphabet: int = 4) -> DataFrame:
@@ -128,17 +184,88 @@ def equi_width_bins(histogram: DataFrame, alphabet: int = 4) -> DataFrame:
     return ends.select("coef", F.array(*[step * k + F.col("lo") for k in range(1, alphabet)]).alias("cuts"))
 
 
+def gain_bins(histogram: DataFrame, alphabet: int = 4, keys: tuple[str, ...] = ("coef",), least: int = 3) -> DataFrame:
+    """(keys, cuts): each coefficient's values parted where that tells most of the classes, and each part again,
+    until there are parts for the largest power of two of letters that the alphabet has.
+
+    histogram: keys, value, label, n. A part is cut at the value with the largest gain of entropy (of equal gains,
+    to nine decimals, the largest value), the value itself above the cut; parts with under 2 * least values, one class
+    or no gain stay whole. Cuts that aren't made are the largest double. All parts of all coefficients are cut in
+    one step a level. Entropy comes from running sums of c log2 c over the classes' counts, of which a value changes
+    only those of its own classes, so there is no grid of values and classes.
+    """
+    by = [*keys, "part"]
+    rows = stored(histogram, "class-histogram").withColumn("part", F.lit(0))
+    term = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    levels = []
+    for level in range(alphabet.bit_length() - 1):
+        own = Window.partitionBy(*by, "label")
+        line = own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        marked = rows.withColumn("l", F.sum("n").over(line)).withColumn("all", F.sum("n").over(own))
+        at = marked.groupBy(*by, "value").agg(
+            F.sum("n").alias("n"), F.sum(term(F.col("l")) - term(F.col("l") - F.col("n"))).alias("left"),
+            F.sum(term(F.col("all") - F.col("l")) - term(F.col("all") - F.col("l") + F.col("n"))).alias("right"),
+            F.sum(F.when(F.col("l") == F.col("n"), term(F.col("all"))).otherwise(0.0)).alias("whole"),
+        )
+        part, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        sums = at.select(
+            *by, F.lead("value").over(Window.partitionBy(*by).orderBy("value")).alias("cut"), F.sum("n").over(upto).alias("nl"), F.sum("n").over(part).alias("total"),
+            F.sum("left").over(upto).alias("left"), F.sum("whole").over(part).alias("whole"), F.sum("right").over(upto).alias("right"),
+        )
+        nr = F.col("total") - F.col("nl")
+        inside = term(F.col("nl")) - F.col("left") + term(nr) - F.col("whole") - F.col("right")
+        gain = F.round((term(F.col("total")) - F.col("whole") - inside) / F.col("total"), 9)
+        fit = sums.where((F.col("nl") >= least) & (nr >= least) & F.col("cut").isNotNull()).withColumn("gain", gain).where("gain > 0")
+        best = stored(fit.groupBy(*by).agg(F.max(F.struct("gain", "cut")).alias("b")).select(*by, F.col("b.cut").alias("cut")), "gain-cuts")
+        levels.append(best.select(*keys, "cut"))
+        side = F.when(F.col("cut").isNotNull() & (F.col("value") >= F.col("cut")), 1).otherwise(0)
+        rows = rows.join(best, by, "left").withColumn("part", F.col("part") * 2 + side).drop("cut")
+    cuts = reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("c"))
+    every = histogram.select(*keys).distinct().join(cuts, list(keys), "left")
+    padded = F.slice(F.concat(F.coalesce("c", F.array().cast("array<double>")), F.array(*[F.lit(UNFILLED)] * (alphabet - 1))), 1, alphabet - 1)
+    return every.select(*keys, padded.alias("cuts"))
+
+
 def sfa_words(series: DataFrame, bins: DataFrame, width: int, length: int, alphabet: int = 4, norm_mean: bool = False) -> DataFrame:
-    """A word per window: offset, word and code (the letters packed, the first one lowest). bins has
-    `length` rows, so its one-row form goes by broadcast."""
-    row = bins.agg(F.array_sort(F.collect_list(F.struct("coef", "cuts"))).alias("bins"))
-    rows = fourier_windows(series, width, length, norm_mean).crossJoin(F.broadcast(row))
+    """A word per window: offset, word and code (the letters packed, the first one lowest). bins has `length`
+    rows, which tasks get as they are."""
+    p = Words("SFA", width, length, alphabet, norm_mean)
+    cuts = np.array([r["cuts"] for r in bins.orderBy("coef").collect()], float).reshape(-1, alphabet - 1)
     bits = max(1, (alphabet - 1).bit_length())
-    numbers = [symbol(F.col("c")[i], [F.col("bins")[i]["cuts"][k] for k in range(alphabet - 1)]) for i in range(length)]
-    rows = rows.withColumn("s", F.array(*numbers))
-    letters = [F.substring(F.lit(LETTERS), F.col("s")[i] + 1, F.lit(1)) for i in range(length)]
-    code = K.added([F.shiftleft(F.col("s")[i].cast("long"), bits * i) for i in range(length)])
-    return rows.withColumn("word", F.concat(*letters)).withColumn("code", code).drop("c", "bins", "s")
+
+    def work(a):
+        if a.shape[1] >= width and len(cuts):
+            numbers = sliding.sfa(a, p, cuts)
+            code = sum(numbers[..., i].astype(np.int64) << bits * i for i in range(length))
+            yield {"offset": _offsets(*numbers.shape[:2]), "word": sliding.spelled(numbers), "code": code}
+
+    return per_window(series, [("offset", "int"), ("word", "string"), ("code", "long")], work)
+
+
+def learned_cuts(train: DataFrame, params: list[Words]) -> dict[int, np.ndarray]:
+    """The cuts of every parameter by its place in the list: Gaussian ones for SAX, equi-depth bins of the training
+    series for SFA, all of them from one scan. As many numbers as the parameters have letters and symbols."""
+    cuts = {k: np.array(gaussian_cuts(p.alphabet)) for k, p in enumerate(params) if p.kind == "SAX"}
+    for alphabet in sorted({p.alphabet for p in params if p.kind == "SFA"}):
+        places = [k for k, p in enumerate(params) if p.kind == "SFA" and p.alphabet == alphabet]
+        found = equi_depth_bins(value_histograms(train, [params[k] for k in places]), alphabet, ("param_id", "coef"))
+        for k in places:
+            cuts[k] = np.full((params[k].length, alphabet - 1), UNFILLED)
+        for r in found.collect():
+            cuts[places[r["param_id"]]][r["coef"]] = r["cuts"]
+    return cuts
+
+
+def parameter_words(series: DataFrame, params: list[Words], cuts: dict[int, np.ndarray]) -> DataFrame:
+    """A word per parameter and window, from one scan of the series: param_id (place in the list), offset, word."""
+
+    def work(a):
+        for k, p in enumerate(params):
+            if a.shape[1] >= p.width:
+                numbers = sliding.letters(a, p, cuts[k])
+                yield {"param_id": np.full(numbers.shape[:2], k, np.int32), "offset": _offsets(*numbers.shape[:2]), "word": sliding.spelled(numbers)}
+
+    return per_window(series, [("param_id", "int"), ("offset", "int"), ("word", "string")], work)
 
 
 def bag(words: DataFrame) -> DataFrame:

@@ -11,21 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectra, symbols
+from ..functions.sliding import Words
 from ..sources.storage import stored
 from . import splits, words
 
 
-@dataclass(frozen=True)
-class Words:
-    """SAX or SFA words: window, letters, alphabet."""
-
-    kind: str
-    width: int
-    length: int
-    alphabet: int = 4
-    norm_mean: bool = False
-
-
 @dataclass(frozen=True)
 class Interval:
     """A [start, end) interval under a filter."""
@@ -74,16 +64,11 @@ def seeded(items: list, seed: int, most: int) -> list:
 
 
 def make_words(series: DataFrame, params: list[Words]) -> DataFrame:
-    """(param_id, series_id, label, split, offset, word) of all series; SFA bins come from the training split."""
-    parts = []
-    for k, p in enumerate(params):
-        if p.kind == "SAX":
-            rows = symbols.sax_words(series, p.width, p.length, p.alphabet)
-        else:
-            hist = symbols.value_histogram(series.where("split = 'train'"), p.width, p.length, p.norm_mean)
-            rows = symbols.sfa_words(series, symbols.equi_depth_bins(hist, p.alphabet), p.width, p.length, p.alphabet, p.norm_mean)
-        parts.append(rows.select(F.lit(k).alias("param_id"), "series_id", "label", "split", "offset", "word"))
-    return reduce(DataFrame.unionByName, parts)
+    """(param_id, series_id, label, split, offset, word) of all series under all parameters, in one scan; SFA
+    bins come from the training split, in one more."""
+    cuts = symbols.learned_cuts(series.where("split = 'train'"), params)
+    words_ = symbols.parameter_words(series.select("series_id", "label", "split", "x"), params, cuts)
+    return words_.select("param_id", "series_id", "label", "split", "offset", "word")
 
 
 def make_attributes(series: DataFrame, intervals: list[Interval]) -> DataFrame:

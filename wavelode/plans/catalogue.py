@@ -178,6 +178,31 @@ def sfa_bins_equi_width(spark, sf):
     return _cuts(symbols.equi_width_bins(_histogram(spark, sf))).select("coef", "bin", K.r6(F.col("cut")).alias("cut"))
 
 
+def sfa_bins_gain(spark, sf):
+    """Bins that tell classes apart: entropy splits of each coefficient's training values."""
+    found = symbols.value_histograms(train(spark, sf), [candidates.Words("SFA", WIDTH, 8)], "label").drop("param_id")
+    return _cuts(symbols.gain_bins(found))
+
+
+def _parameter_summary(spark, sf, kind):
+    params = candidates.word_grid(64, kind)
+    made = candidates.make_words(data(spark, sf), params)
+    named = F.element_at(F.array(*[F.struct(F.lit(p.width).alias("width"), F.lit(p.length).alias("length")) for p in params]), F.col("param_id") + 1)
+    distinct = made.groupBy("param_id", "word").agg(F.count("*").alias("n"))
+    rows = distinct.groupBy("param_id").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+    return rows.select(named.alias("p"), "*").select("p.width", "p.length", "n_words", "n_distinct", "first_word", "last_word")
+
+
+def sax_parameters(spark, sf):
+    """The SAX words of every parameter of the whole grid, in one scan: how many, how many different, the least and the greatest."""
+    return _parameter_summary(spark, sf, "SAX")
+
+
+def sfa_parameters(spark, sf):
+    """The same of SFA words; the bins of all parameters come from one scan before."""
+    return _parameter_summary(spark, sf, "SFA")
+
+
 def _sfa(spark, sf):
     return symbols.sfa_words(data(spark, sf), symbols.equi_depth_bins(_histogram(spark, sf)), WIDTH, 8)
 
@@ -520,7 +545,7 @@ def wide_value_rows(spark, sf):
 
 NAMES = """series_load_stats znorm_pop znorm_sample sliding_window_moments disjoint_windows paa paa_fractional sax_words sax_bag
 sax_first_position sax_tfidf sax_mindist acf acf_interval acf_normalized series_scalars power_spectrum power_spectrum_packed dft_window_coeffs pacf ar_coefs ar_order
-tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_words sfa_series_words sfa_packed param_grid class_histogram gini weighted_gini
+tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_bins_gain sax_parameters sfa_parameters sfa_words sfa_series_words sfa_packed param_grid class_histogram gini weighted_gini
 weighted_gini_split entropy_ovr fixed_threshold_gain word_min_distance best_threshold side_validity best_word_per_class nary_route
 gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap bag_distance topn_rank vote_scores
 prefix_accuracy choose_topn topn_semi_join feature_distance_sax feature_distance_sfa feature_distance_rise cluster_features

@@ -86,6 +86,22 @@ c2 AS (SELECT coef, b1, coalesce(min(value) FILTER (upto > ceil(total / 4 * 2) A
 c3 AS (SELECT coef, b1, b2, coalesce(min(value) FILTER (upto > ceil(total / 4 * 3) AND value > b2), {MAX}) AS b3 FROM runs JOIN c2 USING (coef) GROUP BY coef, b1, b2)"""
 
 
+def gain_level(level: int) -> str:
+    """One more cut of every part of every coefficient: k<level>(coef, part, cut) and the rows of the parts after it."""
+    t = lambda c: f"CASE WHEN {c} > 0 THEN {c} * log2({c}) ELSE 0 END"
+    here = f"h{level}"
+    return f"""g{level} AS (SELECT a.coef, a.part, a.value, sum(b.n) FILTER (b.value <= a.value) AS l, sum(b.n) AS w, b.label
+  FROM (SELECT DISTINCT coef, part, value FROM {here}) a JOIN {here} b ON a.coef = b.coef AND a.part = b.part GROUP BY a.coef, a.part, a.value, b.label),
+e{level} AS (SELECT coef, part, value, sum(coalesce(l, 0)) AS nl, sum(w) AS total, sum({t("coalesce(l, 0)")}) AS sl, sum({t("(w - coalesce(l, 0))")}) AS sr, sum({t("w")}) AS sw
+  FROM g{level} GROUP BY coef, part, value),
+f{level} AS (SELECT *, lead(value) OVER (PARTITION BY coef, part ORDER BY value) AS cut,
+  round(({t("total")} - sw - ({t("nl")} - sl) - ({t("(total - nl)")} - sr)) / total, 9) AS gain FROM e{level}),
+k{level} AS (SELECT coef, part, cut FROM (SELECT *, row_number() OVER (PARTITION BY coef, part ORDER BY gain DESC, cut DESC) AS nth FROM f{level}
+  WHERE cut IS NOT NULL AND nl >= 3 AND total - nl >= 3 AND gain > 0) WHERE nth = 1),
+h{level + 1} AS (SELECT h.coef, h.part * 2 + CASE WHEN k.cut IS NOT NULL AND h.value >= k.cut THEN 1 ELSE 0 END AS part, h.value, h.label, h.n
+  FROM {here} h LEFT JOIN k{level} k ON h.coef = k.coef AND h.part = k.part)"""
+
+
 def sfa(width: int) -> str:
     return f"""{depth_bins(width)}, {win(width)},
 f AS ({fourier("w", width, 'series_id, label, split, "offset"')}),
@@ -213,6 +229,20 @@ SELECT series_id, lag::INTEGER AS lag, {r6('CASE WHEN abs(r) <= 1 THEN r ELSE 0
 SELECT series_id, (block * 16)::INTEGER AS start, {r6('mu')} AS mean, {r6('CASE WHEN abs(slope) < 1e-12 THEN 0 ELSE greatest(var, 0) END')} AS var, {r6('CASE WHEN abs(slope) < 1e-12 THEN 0 ELSE slope END')} AS slope FROM t""",
     "sfa_bins_equi_depth": f"WITH {S}, {depth_bins(16)} SELECT coef::INTEGER AS coef, bin, cut FROM (SELECT coef, unnest([0, 1, 2]) AS bin, unnest([b1, b2, b3]) AS cut FROM c3)",
     "sfa_bins_equi_width": f"WITH {S}, {depth_bins(16)}, e AS (SELECT coef, min(value) AS lo, max(value) AS hi, unnest([0, 1, 2]) AS bin FROM hist GROUP BY coef) SELECT coef::INTEGER AS coef, bin, {r6('(hi - lo) / 4 * (bin + 1) + lo')} AS cut FROM e",
+    "sax_parameters": f"""WITH {S}, c AS (SELECT series_id, x, len(x) AS n, list_concat([0::DOUBLE], list_transform(range(1, len(x) + 1), lambda i: list_sum(x[1:i]))) AS c,
+  list_concat([0::DOUBLE], list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(x[1:i], lambda v: v * v)))) AS q FROM s),
+o AS (SELECT *, unnest(range(n - w + 1)) AS o FROM c, range(10, 64) t(w) WHERE w < n),
+m AS (SELECT w, o, x, c, (c[o + w + 1] - c[o + 1]) / w AS mu, sqrt(greatest((w * (q[o + w + 1] - q[o + 1]) - pow(c[o + w + 1] - c[o + 1], 2)) / (w * (w - 1)), 0)) AS sd FROM o),
+e AS (SELECT w, p, mu, sd, CASE WHEN w <= p THEN x[o + 1 : o + w] ELSE list_transform(range(p + 1), lambda k: c[o + k * w // p + 1] + (k * w % p) / p::DOUBLE * coalesce(x[o + k * w // p + 1], 0)) END AS e
+  FROM m, range(6, 20, 2) u(p)),
+z AS (SELECT w, p, mu, sd, CASE WHEN w <= p THEN e ELSE list_transform(range(1, p + 1), lambda k: (e[k + 1] - e[k]) * p / w) END AS z FROM e),
+words AS (SELECT w, p, {letters("list_transform(z, lambda v: CASE WHEN sd < 0.001 THEN 0 ELSE (v - mu) / sd END)", GAUSS)} AS word FROM z)
+SELECT w::INTEGER AS width, p::INTEGER AS length, count(*) AS n_words, count(DISTINCT word) AS n_distinct, min(word) AS first_word, max(word) AS last_word FROM words GROUP BY ALL""",
+    "sfa_bins_gain": f"""WITH {S}, tr AS (SELECT * FROM s WHERE split = 'train'), {blocks(16, "tr")},
+h0 AS (SELECT k AS coef, 0 AS part, round(v, 2) + 0 AS value, label, count(*) AS n FROM ({fourier("b", 16, "series_id, label")}) GROUP BY ALL),
+{gain_level(0)}, {gain_level(1)},
+cuts AS (SELECT coef, list_sort(list(cut)) AS c FROM (SELECT coef, cut FROM k0 UNION ALL SELECT coef, cut FROM k1) GROUP BY coef)
+SELECT coef::INTEGER AS coef, bin::INTEGER AS bin, coalesce(c[bin + 1], {MAX}) AS cut FROM (SELECT DISTINCT h0.coef, c FROM h0 LEFT JOIN cuts ON h0.coef = cuts.coef), range(3) r(bin)""",
     "sfa_words": f'WITH {S}, {sfa(16)} SELECT series_id, "offset"::INTEGER AS "offset", word FROM swords',
     "sfa_packed": f'WITH {S}, {sfa(16)} SELECT series_id, "offset"::INTEGER AS "offset", code FROM swords',
     "param_grid": f"WITH {S}, z AS (SELECT len(x) AS l, count(*) AS n FROM s GROUP BY 1) SELECT w::INTEGER AS window_len, p::INTEGER AS word_len, sum(n * (l - w + 1))::BIGINT AS n_words FROM z, range(10, 10000) t(w), range(6, 20, 2) u(p) WHERE w < l GROUP BY ALL",
