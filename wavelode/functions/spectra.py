@@ -148,3 +148,14 @@ def filtered(series: DataFrame, n: int, kind: str) -> DataFrame:
     }
     whole = F.concat(*[made[p] for p in parts]) if len(parts) > 1 else made[parts[0]]
     return rows.withColumn("f", whole).drop("x", "acf")
+
+
+def filter_values(a: np.ndarray, kind: str) -> np.ndarray:
+    """The filter's parts of rows of values, one after another: filtered() inside a task."""
+    parts = FILTERS[kind]
+    r = autocorrelations(a, max_lag(a.shape[1])) if {"acf", "pacf", "ar"} & set(parts) else None
+    made = {
+        "acf": lambda: r, "pacf": lambda: durbin_levinson(r)[0], "ar": lambda: durbin_levinson(r)[1], "ps": lambda: np.abs(_packed(a)) ** 2,
+        "plain": lambda: np.abs(np.fft.rfft(a)) ** 2, "dft": lambda: np.stack([_packed(a).real, _packed(a).imag], 2).reshape(len(a), -1),
+    }
+    return np.concatenate([made[p]() for p in parts], 1)

@@ -18,10 +18,10 @@ def gini(rows: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
     return out.select(*keys, "n", (1 - F.col("sq") / (F.col("n") * F.col("n"))).alias("gini"))
 
 
-def split_gini(rows: DataFrame, keys: list[str], branch: str) -> DataFrame:
+def split_gini(rows: DataFrame, keys: list[str], branch: str, weight: str | None = None) -> DataFrame:
     """(keys, n, branches, wgini): the branches' gini weighted by their share of the node. An empty
-    branch has share 0, so that only the number of branches tells of it."""
-    per = gini(rows, *keys, branch)
+    branch has share 0, so that only the number of branches tells of it. weight: how much a row counts."""
+    per = gini(rows, *keys, branch, weight=weight)
     out = per.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count("*").alias("branches"), F.sum(F.col("n") * F.col("gini")).alias("s")
     )
@@ -40,15 +40,16 @@ def gain(p_right: Column, n_right: Column, p: Column, n: Column) -> Column:
     return entropy(p, n) - n_right / n * entropy(p_right, n_right) - left_n / n * entropy(left_p, left_n)
 
 
-def best_thresholds(values: DataFrame, keys: list[str], own: Column, decimals: int = 9) -> DataFrame:
+def best_thresholds(values: DataFrame, keys: list[str], own: Column, decimals: int = 9, count: str | None = None) -> DataFrame:
     """(keys, gain, threshold, n_class, n_class_far): the threshold that tells most of a class.
 
     values: keys and value; own says whether a row is of the class. Every distinct value is a candidate;
     value >= threshold is the far side. The smallest threshold of those with the largest gain (to
     `decimals`) wins; without any gain the threshold is 0. Rows are counted per distinct value before
-    the window, which so holds no more of a key than it has values.
+    the window, which so holds no more of a key than it has values. count: a column of how often a row stands.
     """
-    at = values.groupBy(*keys, "value").agg(F.count("*").alias("here"), F.count_if(own).alias("c"))
+    n = F.col(count) if count else F.lit(1)
+    at = values.groupBy(*keys, "value").agg(F.sum(n).alias("here"), F.sum(F.when(own, n).otherwise(0)).alias("c"))
     whole = Window.partitionBy(*keys)
     line = whole.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rows = at.select(

@@ -1,0 +1,28 @@
+"""Order and running sums over data of any size: rows are sorted by range, and only a row per range meets in a window."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.storage import stored
+
+
+def in_ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows, written, with part, the number of the range they lie in, and place, which grows in the given order.
+
+    Ranges come from a sample of the sort columns, so each holds about as many rows whatever their values are,
+    unless rows are equal in all of them.
+    """
+    line = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    return stored(line.withColumn("part", F.shiftright("place", 33).cast("int")), "ranges")
+
+
+def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """rows with column `name`, 0, 1, ... in the given order. A part starts where the parts before it end."""
+    line = in_ranges(rows, *order)
+    parts = line.groupBy("part").agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    found = line.join(F.broadcast(parts), "part").withColumn(name, F.col("_base") + F.col("place") - F.col("_first"))
+    return found.drop("part", "place", "_base", "_first")

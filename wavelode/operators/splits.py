@@ -9,6 +9,7 @@ from ..functions import kernels as K
 from ..functions import spectra
 from ..sources.storage import stored
 from . import impurity
+from .ranges import in_ranges
 
 
 def attributes(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
@@ -18,29 +19,79 @@ def attributes(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     )
 
 
-def gini_splits(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, attribute, threshold, wgini): each attribute's best binary split, values below the
-    threshold against the rest; thresholds halfway between neighbouring values, the smallest of equally
-    good ones. An attribute with one value has no row."""
-    by = [*keys, "attribute"]
-    counts = stored(values.groupBy(*by, "value", "label").agg(F.count("*").alias("c")), "value-counts")
-    points = counts.groupBy(*by, "value").agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("m"))
-    nxt = F.lead("value").over(Window.partitionBy(*by).orderBy("value"))
-    classes = counts.groupBy(*by, "label").agg(F.sum("c").alias("all"))
-    rows = points.withColumn("next", nxt).join(classes, by)
-    left = F.sum(F.coalesce(F.try_element_at("m", "label"), F.lit(0))).over(
-        Window.partitionBy(*by, "label").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = rows.withColumn("l", left).withColumn("r", F.col("all") - F.col("l")).where("next is not null")
-    sides = rows.groupBy(*by, "value", "next").agg(
-        F.sum("l").alias("nl"), F.sum("r").alias("nr"), F.sum(F.col("l") * F.col("l")).alias("ql"), F.sum(F.col("r") * F.col("r")).alias("qr")
-    )
+def _best_sides(sides: DataFrame, by: list[str]) -> DataFrame:
+    """Of each attribute's splits (value, next, nl, nr and the squared class counts ql, qr of both sides) the best."""
     wgini = (F.col("nl") * (1 - F.col("ql") / (F.col("nl") * F.col("nl"))) + F.col("nr") * (1 - F.col("qr") / (F.col("nr") * F.col("nr")))) / (F.col("nl") + F.col("nr"))
-    sides = sides.withColumn("wgini", F.round(wgini, 9)).withColumn("threshold", (F.col("value") + F.col("next")) / 2)
+    sides = sides.where("next is not null").withColumn("wgini", F.round(wgini, 9)).withColumn("threshold", (F.col("value") + F.col("next")) / 2)
     best = sides.groupBy(*by).agg(F.min(F.struct("wgini", "threshold")).alias("b"))
     return best.select(*by, F.col("b.threshold").alias("threshold"), F.col("b.wgini").alias("wgini"))
 
 
+def small_gini_splits(values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """gini_splits() where it is known that an attribute's values fit one window: no ranges, one plan."""
+    by = [*keys, "attribute"]
+    counts = values.groupBy(*by, "value", "label").agg(F.sum(count).alias("c"))
+    own = Window.partitionBy(*by, "label")
+    rows = counts.withColumn("l", F.sum("c").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(own))
+    lower, after = F.col("l") - F.col("c"), lambda upto: (F.col("all") - upto) * (F.col("all") - upto)
+    points = rows.groupBy(*by, "value").agg(
+        F.sum("c").alias("n"), F.sum(F.col("l") * F.col("l") - lower * lower).alias("ql"), F.sum(after(F.col("l")) - after(lower)).alias("qr"),
+        F.sum(F.when(lower == 0, F.col("all") * F.col("all")).otherwise(0)).alias("squares"),
+    )
+    whole, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    nl = F.sum("n").over(run)
+    sides = points.select(
+        *by, "value", F.lead("value").over(order).alias("next"), nl.alias("nl"), (F.sum("n").over(whole) - nl).alias("nr"), F.sum("ql").over(run).alias("ql"),
+        (F.sum("squares").over(whole) + F.sum("qr").over(run)).alias("qr"),
+    )
+    return _best_sides(sides, by)
+
+
+def gini_splits(values: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """(keys, attribute, threshold, wgini): each attribute's best binary split, values below the
+    threshold against the rest; thresholds halfway between neighbouring values, the smallest of equally
+    good ones. An attribute with one value has no row. count: a column of how often a row stands.
+
+    Counts per value and class are sorted by range; windows run inside the parts of an attribute, and from part
+    to part go the sums of whole parts, so no task holds an attribute's values. Squared class counts on either
+    side are running sums too: a value changes only those of its own classes.
+    """
+    by = [*keys, "attribute"]
+    counts = values.groupBy(*by, "value", "label").agg((F.sum(count) if count else F.count("*")).alias("c"))
+    line = in_ranges(counts, *by, "value").drop("place")
+    after = lambda upto: (F.col("all") - upto) * (F.col("all") - upto)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+
+    classes = Window.partitionBy(*by, "label")
+    parts = line.groupBy(*by, "part", "label").agg(F.sum("c").alias("here"), F.min("value").alias("lowest"))
+    parts = parts.withColumn("all", F.sum("here").over(classes)).withColumn("before", F.coalesce(F.sum("here").over(earlier(classes.orderBy("part"))), F.lit(0)))
+    parts = stored(parts, "part-counts")
+    upto = F.col("before") + F.col("here")
+    steps = parts.groupBy(*by, "part").agg(
+        F.sum("here").alias("n"), F.sum(upto * upto - F.col("before") * F.col("before")).alias("ql"), F.sum(after(upto) - after(F.col("before"))).alias("qr"),
+        F.min("lowest").alias("lowest"), F.sum(F.when(F.col("before") == 0, F.col("all") * F.col("all")).otherwise(0)).alias("squares"),
+    )
+    whole = Window.partitionBy(*by)
+    runs = earlier(whole.orderBy("part"))
+    starts = steps.select(
+        *by, "part", *[F.coalesce(F.sum(c).over(runs), F.lit(0)).alias(f"{c}0") for c in ("n", "ql")], (F.sum("squares").over(whole) + F.coalesce(F.sum("qr").over(runs), F.lit(0))).alias("qr0"),
+        F.sum("n").over(whole).alias("total"), F.lead("lowest").over(whole.orderBy("part")).alias("following"),
+    )
+
+    inside = Window.partitionBy(*by, "part", "label").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = line.join(parts.select(*by, "part", "label", "all", "before"), [*by, "part", "label"]).withColumn("l", F.col("before") + F.sum("c").over(inside))
+    lower = F.col("l") - F.col("c")
+    points = rows.groupBy(*by, "part", "value").agg(F.sum("c").alias("n"), F.sum(F.col("l") * F.col("l") - lower * lower).alias("ql"), F.sum(after(F.col("l")) - after(lower)).alias("qr"))
+    run, order = Window.partitionBy(*by, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by, "part").orderBy("value")
+    sums = points.select(*by, "part", "value", *[F.sum(c).over(run).alias(c) for c in ("n", "ql", "qr")], F.lead("value").over(order).alias("next")).join(starts, [*by, "part"])
+    sides = sums.select(
+        *by, "value", F.coalesce("next", "following").alias("next"), (F.col("n0") + F.col("n")).alias("nl"), (F.col("total") - F.col("n0") - F.col("n")).alias("nr"),
+        (F.col("ql0") + F.col("ql")).alias("ql"), (F.col("qr0") + F.col("qr")).alias("qr"),
+    )
+    return _best_sides(sides, by)
+
+
 def attribute_budget(length: int, rule: str | int) -> int:
     """How many attributes a split may try: sqrt, loge, log2 or a number; 0 or too many means all."""
     import math

@@ -479,8 +479,8 @@ def pipeline_test_accuracy(spark, sf):
     return _test_accuracy(spark, sf, *_searched(spark, sf))
 
 
-#: Two trees of at most four levels of splits: a registered query's time; Settings has no such bounds by default.
-FOREST = forest.Settings.pooled(64, words=6, intervals=6, tries=(1, 2), trees=2, depth=4)
+#: Two trees grown to the end over the whole grids of words.
+FOREST = forest.Settings.pooled(64, tries=(4, 4), trees=2)
 
 
 def _forest(spark, sf):
