@@ -5,6 +5,7 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 
 import duckdb
 import numpy as np
@@ -26,10 +27,9 @@ def one(spark, x, **more):
 
 
 def test_dft_of_a_known_vector(spark):
-    x = [30, -1, 2, 3, 3, 2, -1, -4]
+    x = [5, 1, -2, 0.5, 7, 3, -1, 4]
     got = np.array(one(spark, x).select(spectra.power_spectrum("x").alias("p")).first().p)
-    want = np.abs([34, 19.9289 - 5.8284j, 32, 34.0711 + 0.1716j, 34]) ** 2
-    assert got[[0, 1, 3, 4]] == pytest.approx(want[[0, 1, 3, 4]], rel=1e-4)
+    assert got == pytest.approx(np.abs(np.fft.rfft(x)) ** 2)
     packed = np.array(one(spark, x).select(spectra.power_spectrum_packed("x").alias("p")).first().p)
     z = np.array(x[::2]) + 1j * np.array(x[1::2])
     assert packed == pytest.approx(np.abs(np.fft.fft(z, 8)) ** 2)
@@ -234,6 +234,34 @@ def test_clusters_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("linkage", ["seed", "complete"])
+def test_merging_by_nearest_neighbours_equals_lists(linkage):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 9, 30):
+        d = rng.integers(0, 6, (n, n)).astype(float)
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        groups, want = [[i] for i in range(n)], {}
+        while groups:
+            if len(groups) <= 5:
+                want[len(groups)] = [list(g) for g in groups]
+            if len(groups) == 1:
+                break
+            far = lambda a, b: d[a[0], b[0]] if linkage == "seed" else d[np.ix_(a, b)].max()  # noqa: B023, E731
+            _, i, j = min((far(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+            groups[i] += groups.pop(j)
+        assert clustering.agglomerated(d, linkage) == want
+
+
+def test_clusters_of_five_thousand_features(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "SAX", 1, float(rng.random()), "abcd", -1, -1, -1, 12, [float(v) for v in rng.normal(size=12)], "SAX_1") for i in range(5000)]
+    kinds = "feature_id int, type string, label int, infogain double, word string, attribute int, interval_start int, interval_end int, window_len int, sub array<double>, group_id string"
+    features = spark.createDataFrame(rows, kinds)
+    began = time.time()
+    got = clustering.cluster(features, features.select("feature_id", F.lit(0.5).alias("accuracy"))).collect()
+    assert time.time() - began < 60 and sum(r.size for r in got) == 5 * 5000
+
+
 def test_greedy_search_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     groups, labels = ["A_1", "A_2", "B_1"], {i: int(rng.integers(1, 3)) for i in range(30)}
@@ -323,9 +351,11 @@ def test_the_rest_works_with_the_corpus_folders_deleted(tmp_path):
             shutil.copytree(path, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(path, tmp_path / name)
-    chosen = "tests/test_series.py::test_paa tests/test_series.py::test_query_equals_its_twin[gini]".split()
-    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *chosen], cwd=tmp_path, check=True, timeout=300, env={**os.environ, "PYTHONPATH": str(tmp_path)})
-    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'acf' in e.queries() and 'pipeline' not in e.queries()"], cwd=tmp_path, check=True, timeout=120)
+    chosen = ["test_dft_of_a_known_vector", "test_paa", "test_equi_depth_bins", "test_readers_and_writers", "test_choice_of_prefix", "test_query_equals_its_twin[gini]", "test_query_equals_its_twin[sfa_packed]"]
+    tests = [*[f"tests/test_series.py::{t}" for t in chosen], "tests/test_sliding.py"]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(tmp_path), *filter(None, sys.path)])}
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=tmp_path, check=True, timeout=600, env=env)
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'acf' in e.queries() and 'pipeline' not in e.queries()"], cwd=tmp_path, check=True, timeout=120, env=env)
 
 
 def test_the_library_imports_without_the_corpus_operators(tmp_path):

@@ -7,11 +7,12 @@ import random
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectra, symbols
 from ..functions.sliding import Words
+from ..sources import ranges
 from ..sources.storage import stored
 from . import splits, words
 
@@ -133,8 +134,7 @@ def one_level(series: DataFrame, word_params: list[Words], intervals: list[Inter
         "attribute", starts.alias("interval_start"), ends.alias("interval_end"), filters.alias("filter"),
     )
     rows = word_rows.unionByName(rise_rows)
-    # Features are as many as classes times `top`, and attributes: bounded by the parameters.
-    line = Window.orderBy("type", "param_id", "label", "attribute", "start", "word")
-    features = stored(rows.withColumn("feature_id", F.row_number().over(line) - 1), "features")
+    rows = ranges.numbered(rows, "feature_id", "type", "param_id", "label", "attribute", "start", "word")
+    features = stored(rows.withColumn("feature_id", F.col("feature_id").cast("int")), "features")
     values = feature_values(features, all_words, attrs, series, longest, alphabet)
     return features.drop("param_id"), values

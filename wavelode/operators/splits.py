@@ -9,7 +9,7 @@ from ..functions import kernels as K
 from ..functions import spectra
 from ..sources.storage import stored
 from . import impurity
-from .ranges import in_ranges
+from ..sources.ranges import in_ranges
 
 
 def attributes(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:

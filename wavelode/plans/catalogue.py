@@ -343,7 +343,7 @@ def bag_distance(spark, sf):
 
 def _features(spark, sf, params=None, intervals=None):
     features, values = candidates.one_level(data(spark, sf), SAX if params is None else params, intervals or INTERVALS, top=3, seed=SEED)
-    features = stored(features, "features")
+    features = stored(filtering.ranked(features), "features")
     return features, stored(values, "values")
 
 
@@ -493,7 +493,7 @@ def forest_features(spark, sf):
 
 def _forest_features(spark, sf):
     f = _forest(spark, sf)
-    features = stored(forest.export(f), "forest-features")
+    features = stored(filtering.ranked(forest.export(f)), "forest-features")
     return features, stored(forest.export_values(f, features), "forest-values")
 
 

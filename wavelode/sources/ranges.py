@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from .storage import stored
 
 
 def in_ranges(rows: DataFrame, *order: str | Column) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
+
 SPLITS = ("train", "validate", "test")
 
 
@@ -119,7 +121,7 @@ def read_wide_values(spark: SparkSession, path: str, series: DataFrame) -> DataF
     cells = F.split("value", ",")
     lines = spark.read.text(path).where("trim(value) <> ''").select(F.get(cells, F.lit(0)).cast("int").alias("feature_id"), F.slice(cells, 2, F.size(cells) - 1).alias("cells"))
     rows = lines.select("feature_id", F.posexplode("cells").alias("place", "value"))
-    ids = series.select("series_id", F.row_number().over(Window.orderBy("series_id")).alias("place")).withColumn("place", F.col("place") - 1)
+    ids = ranges.numbered(series.select("series_id"), "nth", "series_id").select("series_id", F.col("nth").cast("int").alias("place"))
     return rows.join(ids, "place").select("feature_id", "series_id", F.col("value").cast("double").alias("value"))
 
 
