@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import spectra, symbols
-from ..operators import candidates, clustering, filtering, forest, impurity, splits, words
+from ..operators import candidates, clustering, filtering, forest, impurity, sampling, splits, words
 from ..sources import series as S
 from ..sources.storage import stored
 from ..streaming import series as streams
@@ -336,6 +336,49 @@ def bootstrap(spark, sf):
     return impurity.bootstrap(data(spark, sf), SEED)
 
 
+def uniform_sample(spark, sf):
+    """100 of all series."""
+    return sampling.uniform(data(spark, sf).select("series_id", "label"), 100, words.pick(F.col("series_id"), SEED))
+
+
+def shuffled_series(spark, sf):
+    """Every series' place in a random order."""
+    return sampling.shuffled(data(spark, sf).select("series_id"), words.pick(F.col("series_id"), SEED))
+
+
+def _weight():
+    """A weight for every series from its values: they have none of their own."""
+    return K.total(F.col("x"), lambda v: F.round(F.abs(v), 4))
+
+
+def weighted_bootstrap(spark, sf):
+    """As many draws as there are series, by weight."""
+    rows = data(spark, sf)
+    return sampling.weighted_bootstrap(rows, _weight(), rows.count(), SEED)
+
+
+def boost_round(spark, sf):
+    """One round of boosting with the best binary split as learner: predictions of both sides' majorities, weights after."""
+    best = splits.best_of(splits.gini_splits(_attributes(spark, sf), []).withColumn("node_id", F.lit(0)), ["node_id"], [F.col("attribute")])
+    value = F.round(F.element_at("x", F.col("attribute") + 1), 6) + 0.0
+    sides = train(spark, sf).crossJoin(F.broadcast(best)).select("series_id", "label", (value >= F.col("threshold")).alias("far"), _weight().alias("weight"))  # one row
+    said = stored(sides.join(impurity.majority(sides, "far").withColumnRenamed("label", "predicted"), "far"), "stump")
+    after, error, vote = sampling.reweighted(said, said.select("label").distinct().count())
+    return after.select("series_id", "predicted", K.r6(F.lit(error)).alias("error"), K.r6(F.lit(vote)).alias("vote"), K.r6(F.col("weight")).alias("weight"))
+
+
+def boosted_trees(spark, sf):
+    """Error and vote of three trees of four levels, each drawn by what the ones before got wrong."""
+    f = forest.Settings.pooled(64, tries=(2, 4), depth=4)
+    return sampling.boosted(data(spark, sf), f, 3)[0]
+
+
+def sampled_split(spark, sf):
+    """The best split of each split of the table by 25 series of each class, and its worth on all series."""
+    rows = sampling.sampled_splits(data(spark, sf), ["split"], 25, words.pick(F.col("series_id"), SEED))
+    return rows.select("split", "attribute", *[K.r6(F.col(c)).alias(c) for c in ("threshold", "sample_wgini", "wgini")])
+
+
 def bag_distance(spark, sf):
     bags = stored(symbols.bag(_sax(spark, sf)), "bags")
     return symbols.bag_distance(bags, bags.where("series_id % 20 = 0"))
@@ -547,7 +590,7 @@ NAMES = """series_load_stats znorm_pop znorm_sample sliding_window_moments disjo
 sax_first_position sax_tfidf sax_mindist acf acf_interval acf_normalized series_scalars power_spectrum power_spectrum_packed dft_window_coeffs pacf ar_coefs ar_order
 tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_bins_gain sax_parameters sfa_parameters sfa_words sfa_series_words sfa_packed param_grid class_histogram gini weighted_gini
 weighted_gini_split entropy_ovr fixed_threshold_gain word_min_distance best_threshold side_validity best_word_per_class nary_route
-gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap bag_distance topn_rank vote_scores
+gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap uniform_sample shuffled_series weighted_bootstrap boost_round boosted_trees sampled_split bag_distance topn_rank vote_scores
 prefix_accuracy choose_topn topn_semi_join feature_distance_sax feature_distance_sfa feature_distance_rise cluster_features
 centroid_votes final_predict greedy_k pipeline_test_accuracy forest_features forest_feature_values forest_test_accuracy forest_majority_vote tree_shape daily_event_series
 monthly_revenue_series streamed_daily_sums wide_value_rows""".split()

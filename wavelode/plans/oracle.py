@@ -118,6 +118,7 @@ def gain(pf: str, nf: str, p: str, n: str) -> str:
     return f"({entropy(p, n)} - {nf} / {n}::DOUBLE * {entropy(pf, nf)} - ({n} - {nf}) / {n}::DOUBLE * {entropy(f'({p} - {pf})', f'({n} - {nf})')})"
 
 
+WEIGHT = "list_sum(list_transform(x, lambda v: round(abs(v), 4)))"
 EXEMPLARS = """ex AS (SELECT label, series_id FROM (SELECT label, series_id, row_number() OVER (PARTITION BY label
   ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) AS k FROM s WHERE split = 'train') WHERE k = 1)"""
 L1 = " + ".join(f"abs(ascii(substr(q.word, {i}, 1)) - ascii(substr(t.word, {i}, 1)))" for i in range(1, 9))
@@ -268,6 +269,27 @@ SELECT series_id, label AS branch FROM (SELECT *, row_number() OVER (PARTITION B
     "stratified_folds": f"WITH {S} SELECT series_id, label, ((row_number() OVER (PARTITION BY label ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) - 1) % 5)::INTEGER AS fold FROM s",
     "bootstrap": f"""WITH {S}, k AS (SELECT series_id, label, row_number() OVER (PARTITION BY label ORDER BY series_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM s),
 t AS (SELECT label, ((k * 1103515245 + 7) % 2147483648) % n AS k, count(*) AS times FROM k GROUP BY ALL) SELECT series_id, label, times FROM k JOIN t USING (label, k)""",
+    "uniform_sample": f"WITH {S} SELECT series_id, label FROM s ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id LIMIT 100",
+    "shuffled_series": f"WITH {S} SELECT series_id, row_number() OVER (ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) - 1 AS position FROM s",
+    "weighted_bootstrap": f"""WITH {S}, w AS (SELECT series_id, round({WEIGHT} * 1000000)::BIGINT AS w FROM s),
+l AS (SELECT series_id, w, (sum(w) OVER (ORDER BY series_id) - w)::BIGINT AS at FROM w WHERE w > 0),
+d AS (SELECT floor((k * 1103515245 + 7) % 2147483648 / 2147483648.0::DOUBLE * (SELECT sum(w) FROM l)::DOUBLE)::BIGINT AS at FROM range((SELECT count(*) FROM s)) r(k))
+SELECT l.series_id, count(*) AS times FROM d JOIN l ON d.at >= l.at AND d.at < l.at + l.w GROUP BY 1""",
+    "boost_round": f"""WITH {S}, {ATTRS['all']}, {GINI}, stump AS (SELECT attribute, threshold FROM bs ORDER BY wgini, attribute LIMIT 1),
+two AS (SELECT series_id, label, round(x[attribute + 1], 6) >= threshold AS far, {WEIGHT} AS weight FROM s, stump WHERE split = 'train'),
+major AS (SELECT far, label AS predicted FROM (SELECT far, label, row_number() OVER (PARTITION BY far ORDER BY count(*) DESC, label) AS k FROM two GROUP BY far, label) WHERE k = 1),
+said AS (SELECT *, predicted <> label AS wrong FROM two JOIN major USING (far)),
+e AS (SELECT sum(weight) FILTER (wrong) / sum(weight) AS error, sum(weight) AS total, count(DISTINCT label) AS k, count(*) AS n FROM said),
+v AS (SELECT *, CASE WHEN error >= 1 - 1 / k THEN 0 ELSE ln((1 - error) / error) + ln(k - 1) END AS vote FROM e)
+SELECT series_id, predicted, {r6('error')} AS error, {r6('vote')} AS vote, {r6('weight * CASE WHEN wrong THEN exp(vote) ELSE 1 END * n / (total * (1 + error * (exp(vote) - 1)))')} AS weight FROM said, v""",
+    "sampled_split": f"""WITH {S}, few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY (series_id * 1103515245 + 7) % 2147483648, series_id) AS k FROM s) WHERE k <= 25),
+""" + ", ".join(
+        f"""b{i} AS (WITH ats AS (SELECT series_id, label, attribute, round(x[attribute + 1], 6) AS value FROM (SELECT *, unnest(range(len(x))) AS attribute FROM few WHERE split = '{name}')), {GINI}
+  SELECT '{name}' AS split, attribute, threshold, wgini FROM bs ORDER BY wgini, attribute LIMIT 1)""" for i, name in enumerate(("train", "validate", "test"))
+    ) + f""", best AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2),
+c AS (SELECT split, attribute, threshold, wgini, round(x[attribute + 1], 6) >= threshold AS far, label, count(*) AS c FROM s JOIN best USING (split) GROUP BY ALL),
+q AS (SELECT split, attribute, threshold, wgini, far, sum(c) AS n, sum(c * c) / sum(c)::DOUBLE AS q FROM c GROUP BY ALL)
+SELECT split, attribute::INTEGER AS attribute, {r6('threshold')} AS threshold, {r6('wgini')} AS sample_wgini, {r6('sum(n - q) / sum(n)')} AS wgini FROM q GROUP BY split, attribute, threshold, q.wgini""",
     "bag_distance": f"""WITH {S}, {SAX}, bag AS (SELECT series_id, word, count(*) AS n FROM words GROUP BY ALL),
 q AS (SELECT * FROM bag WHERE series_id % 20 = 0),
 pairs AS (SELECT q.series_id AS query_id, e.series_id AS example_id FROM (SELECT DISTINCT series_id FROM q) q, (SELECT DISTINCT series_id FROM bag) e)
