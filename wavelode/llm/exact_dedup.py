@@ -38,6 +38,14 @@ def located(docs: DataFrame) -> DataFrame:
     return stored(rows, "dedup-texts").select("doc_id", "text", place)
 
 
+def fingerprints(texts: DataFrame) -> tuple[DataFrame, str]:
+    """(doc_id, digest, locator) of texts, written, and where."""
+    path = shared_folder(texts.sparkSession, "dedup-prints")
+    prints = texts.select("doc_id", "digest", "locator")
+    prints.write.parquet(path)
+    return texts.sparkSession.read.schema(prints.schema).parquet(path), path
+
+
 def stream_state(prints: DataFrame, path: str, files_per_batch: int) -> DataFrame:
     """What the keyed state holds after the stream has read all of path: a row per digest.
 
@@ -108,7 +116,7 @@ def exact_dedup(
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty, and empty
     texts are equal to each other. Of equal texts the row with the largest doc_id stays, a null id
     being the smallest; of rows repeated with that id, the one with the largest locator, so exactly
-    one row of a group is kept. docs needs doc_id and text; other columns are ignored. An empty table
+    one row of a group is kept, also where docs repeats rows of a file by a join or an explode. docs needs doc_id and text; other columns are ignored. An empty table
     gives an empty result.
 
     A fingerprint table (doc_id, digest, locator) is written once; the stream reads it in about
@@ -117,12 +125,13 @@ def exact_dedup(
     texts share a digest, their groups are formed on the bytes themselves.
     """
     spark = docs.sparkSession
-    texts = located(docs).withColumn("norm", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("digest", digest(F.col("norm")))
-    texts = texts.select("doc_id", "norm", "digest", "locator")
-    path = shared_folder(spark, "dedup-prints")
-    prints = texts.select("doc_id", "digest", "locator")
-    prints.write.parquet(path)
-    prints = spark.read.schema(prints.schema).parquet(path)
+    norm = ascii_lower(F.coalesce("text", F.lit("")))
+    hashed = lambda rows: rows.withColumn("norm", norm).withColumn("digest", digest(F.col("norm"))).select("doc_id", "norm", "digest", "locator")
+    texts = hashed(located(docs))
+    prints, path = fingerprints(texts)
+    if prints.select("locator").distinct().count() < prints.count():  # rows that share a file's row, as after a join or an explode
+        texts = hashed(located(stored(docs.select("doc_id", "text"), "dedup-texts")))
+        prints, path = fingerprints(texts)
     if len(prints.inputFiles()) < batches:  # a table of a few files
         path = shared_folder(spark, "dedup-prints")
         prints.repartition(batches).write.parquet(path)
