@@ -10,6 +10,7 @@ terms are numbers, whose order is that of the terms.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -56,8 +57,7 @@ class _Ids(dict):
         self[term] = n = len(self)
         return n
 
-    def of(self, text: bytes) -> np.ndarray:
-        terms = terms_of(text)
+    def of(self, terms: list[bytes] | set[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, terms), np.int32, len(terms))
 
 
@@ -90,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         tokens = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                once = np.unique(known.setdefault(lang, _Ids()).of(text.as_py()))
+                once = known.setdefault(lang, _Ids()).of(set(terms_of(text.as_py())))
                 seen.setdefault(lang, []).append(once)
                 tokens += len(once)
                 if tokens > MOST_TOKENS:
@@ -132,18 +132,26 @@ def transducers(vocabulary: DataFrame) -> DataFrame:
     return stored(vocabulary.groupBy("lang", "block").applyInArrow(work, "lang string, block long, first string, machine binary"), "transducers")
 
 
+#: Bits of a source's hash in a row's sort key, and of the mark that comes before it.
+SOURCE_BITS = 29
+
+
 def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
-    """(lang, source, ordinal, n): occurrences of the kept terms, from a pass of all texts through the transducers.
+    """(lang, source, ordinal, place, n): occurrences of the kept terms, from a pass of all texts through the transducers.
 
     A task counts its texts' terms by language and source and sends each to its block; there the transducer
-    comes first in a sorted stream of terms, so a task holds one transducer and one source's counts.
+    comes first in a sorted stream of terms, so a task holds one transducer and one source's counts. Rows are sorted
+    by one number: block, salt, then a hash of the source. place numbers the terms of all languages.
     """
     firsts: dict[str, list[bytes]] = {}
-    for row in machines.select("lang", "block", "first").orderBy("lang", "block").toLocalIterator():  # a row for BLOCK terms
+    base: dict[str, int] = {}
+    for k, row in enumerate(machines.select("lang", "block", "first").orderBy("lang", "block").toLocalIterator()):  # a row for BLOCK terms
         firsts.setdefault(row["lang"], []).append(row["first"].encode())
+        base.setdefault(row["lang"], k)
+    starts = docs.sparkSession.createDataFrame(sorted(base.items()), "lang string, base long")  # a row for each language
 
     def count(batches):
-        names = ["lang", "block", "salt", "source", "term", "n"]
+        names = ["spot", "line", "source", "term", "n"]
         flushes = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def handed():
@@ -157,9 +165,9 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
                     at, n = _tallied(arrays, len(ids))
                     some = blocks[at] >= 0  # below the first kept term there is none
                     at, n = at[some], n[some]
-                    k = len(at)
-                    columns = [pa.repeat(lang, k), pa.array(blocks[at]), pa.repeat(pa.scalar(flushes % salts, pa.int32()), k), pa.repeat(source, k)]
-                    yield pa.RecordBatch.from_arrays([*columns, strings.take(pa.array(at)), pa.array(n, pa.int64())], names=names)
+                    spot = (blocks[at] + base[lang]) * salts + flushes % salts
+                    line = (spot << SOURCE_BITS + 1) + (1 << SOURCE_BITS) + zlib.crc32(source.encode()) % (1 << SOURCE_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(line), pa.repeat(source, len(at)), strings.take(pa.array(at)), pa.array(n, pa.int64())], names=names)
 
         known: dict[str, _Ids] = {}
         spoken: dict[str, dict[str, list[np.ndarray]]] = {}
@@ -168,7 +176,7 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if lang not in firsts:
                     continue
-                ids = known.setdefault(lang, _Ids()).of(text.as_py())
+                ids = known.setdefault(lang, _Ids()).of(terms_of(text.as_py()))
                 spoken.setdefault(lang, {}).setdefault(source, []).append(ids)
                 tokens += len(ids)
                 if tokens > MOST_TOKENS:
@@ -180,29 +188,31 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
         yield from handed()
 
     def walk(batches):
-        machine = sums = key = None
-        names = ["lang", "source", "ordinal", "n"]
+        machine = sums = key = lang = None
+        block = place = 0
+        names = ["lang", "source", "ordinal", "place", "n"]
 
         def made():
             at = np.flatnonzero(sums)
-            lang, block, _, source = key
             k = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(at + block * BLOCK), pa.array(sums[at])], names=names)
+            return pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.repeat(key[1], k), pa.array(at + block * BLOCK), pa.array(at + place * BLOCK), pa.array(sums[at])], names=names)
 
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            changes = np.zeros(max(batch.num_rows - 1, 0), bool)
-            for c in ("lang", "block", "salt", "source", "head"):
-                changes |= pc.not_equal(column[c][1:], column[c][:-1]).to_numpy(zero_copy_only=False)
+            changes = pc.not_equal(column["line"][1:], column["line"][:-1]).to_numpy(zero_copy_only=False)
+            changes = changes | pc.not_equal(column["source"][1:], column["source"][:-1]).to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
-                now = tuple(column[c][a].as_py() for c in ("lang", "block", "salt", "source"))
-                if column["head"][a].as_py() == 0:
+                now = (column["spot"][a].as_py(), column["source"][a].as_py())
+                packed = column["machine"][a].as_py()
+                if packed is not None:
                     if sums is not None:
                         yield made()
-                    machine, sums, key = Transducer.unpacked(column["machine"][a].as_py()), None, None
+                    machine, sums, key = Transducer.unpacked(packed), None, None
+                    place, lang = now[0] // salts, now[1]
+                    block = place - base[lang]
                     continue
                 if now != key:
                     if sums is not None:
@@ -217,14 +227,13 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
             yield made()
 
     text = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    counted = text.mapInArrow(count, "lang string, block long, salt int, source string, term string, n long")
-    rows = counted.select("lang", "block", "salt", F.lit(1).alias("head"), "source", "term", "n", F.lit(None).cast("binary").alias("machine"))
-    heads = machines.select("lang", "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("head"),
-                            F.lit("").alias("source"), F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "machine")
-    keys = ["lang", "block", "salt"]
-    line = heads.unionByName(rows).repartition(*keys).sortWithinPartitions(*keys, "head", "source")
-    sums = line.mapInArrow(walk, "lang string, source string, ordinal long, n long")
-    return sums.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
+    rows = text.mapInArrow(count, "spot long, line long, source string, term string, n long").withColumn("machine", F.lit(None).cast("binary"))
+    heads = machines.join(starts, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spot = (F.col("base") + F.col("block")) * salts + F.col("salt")
+    heads = heads.select(spot.alias("spot"), F.shiftleft(spot, SOURCE_BITS + 1).alias("line"), F.col("lang").alias("source"), F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "machine")
+    line = heads.unionByName(rows).repartition("spot").sortWithinPartitions("line")
+    sums = line.mapInArrow(walk, "lang string, source string, ordinal long, place long, n long")
+    return sums.groupBy("place", "source", "lang", "ordinal").agg(F.sum("n").alias("n"))
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -302,7 +311,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200) -> DataFrame:
     whole = Window.partitionBy("lang")
     known = stored(known.withColumn("none", none).withColumn("lang_total", F.sum("total").over(whole)), "source-totals")
 
-    at_all = F.sum("n").over(Window.partitionBy("lang", "ordinal"))  # a row for each source that has the term
+    at_all = F.sum("n").over(Window.partitionBy("place"))  # a row for each source that has the term
     rows = counts.withColumn("at_all", at_all).join(known.drop("none"), ["lang", "source"])
     p, q = probability(F.col("n"), F.col("total"), F.col("terms")), probability(F.col("at_all"), F.col("lang_total"), F.col("terms"))
     weights = stored(rows.select("lang", "source", "nth", "ordinal", p.alias("p"), q.alias("q")), "term-weights")
