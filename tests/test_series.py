@@ -158,7 +158,7 @@ def test_archive_and_odd_arff_lines(spark, tmp_path):
 
 def test_linkage_and_sliding_distance(spark):
     d = np.array([[0, 1, 9], [1, 0, 2], [9, 2, 0]], float)
-    assert clustering.agglomerated(d, np.ones(3))[2] == [[0, 1], [2]]
+    assert clustering.agglomerated(d)[2] == [[0, 1], [2]]
     row = spark.range(1).select(clustering.sliding_distance(F.array(F.lit(1.0), F.lit(2.0)), F.array(*map(F.lit, (9.0, 1.0, 2.0, 7.0)))).alias("d")).first()
     assert row.d == 0
 
