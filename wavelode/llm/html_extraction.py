@@ -47,7 +47,9 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot body html div section artic
 NAMED = ("class", "id", "role", "itemprop", "aria-label")
 #: Shortens a page's article to about its first paragraph: short articles are rare in a sample.
 BRIEF = re.compile(r"(<article\b.*?<p[ >].{0,300}?)<p[ >].*(?=</article>)", re.S | re.I)
-NUMBERS, TRUTH = 18, "data-truth"
+NUMBERS, TRUTH = 19, "data-truth"
+# Fixed values of HTML: elements that a reader fills in or presses.
+CONTROLS = frozenset("input button select textarea label".split())
 
 
 class Page:
@@ -57,13 +59,15 @@ class Page:
     node children gets a node of its own, so that it can be told apart from them.
     """
 
-    __slots__ = ("depth", "parent", "pieces", "tokens", "truth")
+    __slots__ = ("controls", "depth", "parent", "pieces", "tokens", "truth")
 
     def __init__(self, source: str):
         self.parent, self.depth, self.tokens, self.truth = [-1], [0], [["t:page"]], [None]
+        self.controls: Counter[int] = Counter()  # of a node, those of nodes below not counted
         self.pieces: list[list] = []
         self._read(source)
         self._split()
+        self._neighbours()
 
     def _read(self, source: str) -> None:
         # Open elements: tag, node, links around, hidden.
@@ -95,9 +99,11 @@ class Page:
                 self._close(open_, {"p"}, SCOPES)
             if name in CLOSES:
                 self._close(open_, CLOSES[name], SCOPES - {"tbody"})
+            _, node, links, hidden = open_[-1]
+            if name in CONTROLS and not hidden:
+                self.controls[node] += 1
             if name in VOID:
                 continue
-            _, node, links, hidden = open_[-1]
             named = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
             hidden = hidden or name in HIDDEN
             mine = node
@@ -142,6 +148,18 @@ class Page:
                     self.truth.append(self.truth[node])
                 piece[0] = own[node]
 
+    def _neighbours(self) -> None:
+        """Elements before and after a node below its parent, and the tokens of its parent's parent."""
+        own, last = [list(t) for t in self.tokens], {}
+        for i in range(1, len(own)):
+            p = self.parent[i]
+            if p in last:
+                self.tokens[i].append("before:" + own[last[p]][0])
+                self.tokens[last[p]].append("after:" + own[i][0])
+            last[p] = i
+            if p:
+                self.tokens[i] += ["above:" + t for t in own[self.parent[p]]]
+
     def features(self) -> np.ndarray:
         """A row of NUMBERS per node; the rest of a node's features are its and its parent's tokens."""
         n = len(self.parent)
@@ -158,11 +176,13 @@ class Page:
             words[node] += text.count(" ") + 1
             first[node] = min(first[node], k)
         nodes, leaves, paragraphs = np.ones(n), np.zeros(n), np.array([float(t[0] == "t:p") for t in self.tokens])
+        controls = np.zeros(n)
+        controls[list(self.controls)] = list(self.controls.values())
         parent, children = self.parent, np.zeros(n)
         for i in sorted(range(1, n), key=self.depth.__getitem__, reverse=True):
             p = parent[i]
             children[p] += 1
-            for x in (chars, linked, marks, words, nodes, paragraphs):
+            for x in (chars, linked, marks, words, nodes, paragraphs, controls):
                 x[p] += x[i]
             leaves[p] += leaves[i] or 1
             first[p] = min(first[p], first[i])
@@ -184,7 +204,7 @@ class Page:
         size = np.maximum(chars, 1)
         out = [np.array(self.depth, float), order, np.log1p(chars), np.log1p(own), linked / size, np.log1p(chars / nodes), marks / size * 100,
                size / np.maximum(words, 1), children, children[up], same, place, np.log1p(before), np.log1p(after), chars / total,
-               np.log1p(paragraphs), chars / np.maximum(chars[up], 1), np.log1p(linked[up])]
+               np.log1p(paragraphs), chars / np.maximum(chars[up], 1), np.log1p(linked[up]), np.log1p(controls)]
         return np.stack(out, 1)
 
     def text(self, keep: np.ndarray) -> str:
@@ -246,27 +266,38 @@ class Trees:
             out += values[node - len(splits)]
         return out
 
-    def grow(self, bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int, rate: float, ridge: float = 1.0) -> None:
+    def grow(self, bins: np.ndarray, ones: tuple, gradient: np.ndarray, hessian: np.ndarray, depth: int, rate: float, ridge: float = 1.0) -> None:
+        """One more tree. ones: (row, column) of the tokens that are there, columns counted from the first
+        token; sums over them are sums over few rows, as most tokens are absent from most nodes."""
         node, splits = np.zeros(len(bins), np.int64), np.zeros((2**depth - 1, 2), np.int64)
         splits[:, 1] = 255
-        wide = 1 + bins.max(0).astype(np.int64)
+        wide, width = 1 + bins[:, :NUMBERS].max(0).astype(np.int64), bins.shape[1] - NUMBERS
+        rows, columns = ones
         for level in range(depth):
             base = 2**level - 1
             local, count = node - base, 2**level
-            best = np.full(count, 1e-6)
-            g_all, h_all = np.bincount(local, gradient, count), np.bincount(local, hessian, count)
-            for f in range(bins.shape[1]):
-                if wide[f] < 2:
-                    continue
-                key = local * wide[f] + bins[:, f]
-                g = np.cumsum(np.bincount(key, gradient, count * wide[f]).reshape(count, -1), 1)[:, :-1]
-                h = np.cumsum(np.bincount(key, hessian, count * wide[f]).reshape(count, -1), 1)[:, :-1]
-                other_g, other_h = g_all[:, None] - g, h_all[:, None] - h
-                gain = g * g / (h + ridge) + other_g * other_g / (other_h + ridge) - (g_all * g_all / (h_all + ridge))[:, None]
+            best, each = np.full(count, 1e-6), np.arange(count)
+            g_all, h_all = (np.bincount(local, x, count)[:, None] for x in (gradient, hessian))
+
+            def gains(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+                return g * g / (h + ridge) + (g_all - g) ** 2 / (h_all - h + ridge) - g_all * g_all / (h_all + ridge)  # noqa: B023
+
+            def taken(gain: np.ndarray, feature: np.ndarray | int, at: np.ndarray | int, column: np.ndarray) -> None:
+                better = np.flatnonzero(gain[each, column] > best)  # noqa: B023
+                best[better] = gain[each, column][better]  # noqa: B023
+                splits[base + better] = np.stack(np.broadcast_arrays(feature, at + 0 * each), 1)[better]  # noqa: B023
+
+            for f in np.flatnonzero(wide > 1):
+                key, cells = local * wide[f] + bins[:, f], count * wide[f]
+                g, h = (np.cumsum(np.bincount(key, x, cells).reshape(count, -1), 1)[:, :-1] for x in (gradient, hessian))
+                gain = gains(g, h)
                 at = gain.argmax(1)
-                better = gain[np.arange(count), at] > best
-                best[better] = gain[np.arange(count), at][better]
-                splits[base + np.flatnonzero(better)] = np.stack([np.full(better.sum(), f), at[better]], 1)
+                taken(gain, f, at, at)
+            if width:
+                key = local[rows] * width + columns
+                gain = gains(*(np.bincount(key, x[rows], count * width).reshape(count, -1) for x in (gradient, hessian)))
+                at = gain.argmax(1)
+                taken(gain, NUMBERS + at, 0, at)
             node = 2 * node + 1 + (bins[np.arange(len(bins)), splits[node, 0]] > splits[node, 1])
         leaf = node - len(splits)
         values = -rate * np.bincount(leaf, gradient, 2**depth) / (np.bincount(leaf, hessian, 2**depth) + ridge)
@@ -322,13 +353,23 @@ def relaid(page: Page, rng: random.Random, others: list[str]) -> str:
     advert = lambda: box(rng.choice(ADVERT), rng.choice([short(), prose()[:120], f"<p>{prose()[:160]}</p>", f"<a href=/x>{prose()[:60]}</a>"]))
     form = lambda: box(rng.choice(["form", "form class=search", "form id=subscribe"]), fields())
     notice = lambda: box(rng.choice(NOTICE), rng.choice([prose()[:200], f"<p>{prose()[:160]}</p><button>{short()[:8]}</button>"]))
+    letter = lambda: f"<div{attribute()}>" + rng.choice([f"<p>{prose()[:120]}</p>", prose()[:90], f"<h4>{short()[:24]}</h4><p>{prose()[:90]}</p>"]) + f"<input>{rng.choice(['', '<input type=checkbox>'])}<button>{short()[:12]}</button></div>"
     related = lambda: box(rng.choice(SIDE), rng.choice(["", f"<h3>{short()[:20]}</h3>"]) + links())
 
+    # Some pages put all their paragraphs in one kind of element.
+    same = rng.choice(["<p>{}</p>", "<div>{}</div>", "<div>{}</div>", "<section>{}</section>", "{}<br><br>"]) if rng.random() < 0.2 else None
+
     def stretch(text: str) -> str:
         """Some of the article's own text in some element."""
+        if same and rng.random() < 0.9:
+            return same.format(esc(text))
         parts = [esc(x) for x in re.split(r"(?<=[.!?]) ", text) if x.strip()]
         whole, kind = esc(text), rng.random()
-        if kind < 0.1:
+        if kind < 0.06:  # links that belong to the text: works, sources, parts
+            cuts = [x if rng.random() < 0.5 else " ".join(x.split()[: rng.randint(2, 8)]) for x in parts]
+            tag, rest = rng.choice(["ul", "ol"]), "" if rng.random() < 0.7 else ", " + prose()[:40]
+            return f"<{tag}>" + "".join(f'<li><a href="/{k}">{x}</a>{rest}</li>' for k, x in enumerate(cuts)) + f"</{tag}>"
+        if kind < 0.12:
             tag = rng.choice(["ul", "ol"])
             return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in parts) + f"</{tag}>"
         if kind < 0.16:
@@ -358,6 +399,8 @@ def relaid(page: Page, rng: random.Random, others: list[str]) -> str:
         if k == 0 and len(text) < 160 and rng.random() < 0.8:
             title = rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]).format(esc(text))
             body.append(title)
+            if rng.random() < 0.25:
+                body.append(rng.choice([letter, letter, advert, form, notice])())
         else:
             body.append(stretch(text))
         if rng.random() < 0.08:
@@ -387,6 +430,9 @@ def relaid(page: Page, rng: random.Random, others: list[str]) -> str:
         side = f'<td {TRUTH}="0">{links()}</td>'
         middle = "".join(before[:1]) + f'<td {TRUTH}="1">' + "".join(body) + "</td>"
         parts = "<table><tr>" + rng.choice([side + middle, middle + side, side + middle + side]) + f'</tr></table><table><tr><td {TRUTH}="0">{short()}</td></tr></table>'
+    if rng.random() < 0.12:  # a page that holds little or nothing else
+        alone = [f'<body {TRUTH}="1">' + "".join(body) + "</body>", f'<body {TRUTH}="0">{content}</body>']
+        return f"<html><head><title>{short()}</title></head>{rng.choice([*alone, alone[0]])}</html>"
     return f'<html><head><title>{short()}</title></head><body {TRUTH}="0">{parts}</body></html>'
 
 
@@ -416,7 +462,7 @@ def targets(page: Page) -> np.ndarray:
     return keep
 
 
-def fit(sources: list[str], layouts: int = 4, trees: int = 60, depth: int = 4, rate: float = 0.3, tokens: int = 100) -> Trees:
+def fit(sources: list[str], layouts: int = 6, trees: int = 110, depth: int = 4, rate: float = 0.3, tokens: int = 200) -> Trees:
     """Trees from a list of pages. Pages without an article teach nothing; without any page that has
     one, the trees learn from layouts of a built-in line, so that every table has a result."""
     rng = random.Random(17)
@@ -432,11 +478,12 @@ def fit(sources: list[str], layouts: int = 4, trees: int = 60, depth: int = 4, r
     share = min(max(y.mean(), 0.01), 0.99)
     model = Trees([t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:tokens]], edges, float(np.log(share / (1 - share))))
     bins = model.bins(pages)
+    ones = np.nonzero(bins[:, NUMBERS:])
     margin = np.full(len(y), model.bias)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         done = len(model.values)
-        model.grow(bins, (p - y) * weight, np.maximum(p * (1 - p), 1e-6) * weight, depth, rate)
+        model.grow(bins, ones, (p - y) * weight, np.maximum(p * (1 - p), 1e-6) * weight, depth, rate)
         new = Trees([], [], 0.0)
         new.splits, new.values = model.splits[done:], model.values[done:]
         margin += new.margin(bins)
