@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import spectra, symbols
-from ..operators import candidates, clustering, filtering, forest, impurity, sampling, splits, words
+from ..operators import candidates, clustering, ensemble, filtering, forest, impurity, sampling, splits, words
 from ..sources import series as S
 from ..sources.storage import stored
 from ..streaming import series as streams
@@ -390,6 +390,29 @@ def _features(spark, sf, params=None, intervals=None):
     return features, stored(values, "values")
 
 
+ENSEMBLE = [candidates.Words("SAX", width, PARTS) for width in (8, 16, 24, 32, 40, 48)]
+
+
+def _ensemble(spark, sf):
+    """Predictions of the models of ENSEMBLE, which learn from the training split, and their results on validation."""
+    every = stored(candidates.make_words(data(spark, sf), ENSEMBLE), "ensemble-words")
+    vectors = ensemble.class_vectors(every.where("split = 'train'"))
+    rows = stored(ensemble.predictions(every.where("split <> 'train'"), vectors), "predictions")
+    return rows, ensemble.results(rows, _split(spark, sf, "validate"), len(ENSEMBLE))
+
+
+def ensemble_models(spark, sf):
+    """Models in the ensemble, and their correct answers."""
+    return ensemble.by_factor(_ensemble(spark, sf)[1])
+
+
+def ensemble_vote(spark, sf):
+    """The ensemble's weighted vote on the test split."""
+    rows, models = _ensemble(spark, sf)
+    theirs = rows.join(_split(spark, sf, "test").select("series_id"), "series_id", "left_semi")
+    return ensemble.vote(theirs, ensemble.by_factor(models))
+
+
 def topn_rank(spark, sf):
     features, _ = _features(spark, sf)
     return filtering.ranked(features).select("rank", "type", "label", K.r6(F.col("infogain")).alias("infogain"))
@@ -590,7 +613,7 @@ NAMES = """series_load_stats znorm_pop znorm_sample sliding_window_moments disjo
 sax_first_position sax_tfidf sax_mindist acf acf_interval acf_normalized series_scalars power_spectrum power_spectrum_packed dft_window_coeffs pacf ar_coefs ar_order
 tsf_interval_stats sfa_bins_equi_depth sfa_bins_equi_width sfa_bins_gain sax_parameters sfa_parameters sfa_words sfa_series_words sfa_packed param_grid class_histogram gini weighted_gini
 weighted_gini_split entropy_ovr fixed_threshold_gain word_min_distance best_threshold side_validity best_word_per_class nary_route
-gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap uniform_sample shuffled_series weighted_bootstrap boost_round boosted_trees sampled_split bag_distance topn_rank vote_scores
+gini_binary_split best_candidate rise_candidate majority_class stratified_folds stratified_sample bootstrap uniform_sample shuffled_series weighted_bootstrap boost_round boosted_trees sampled_split bag_distance ensemble_models ensemble_vote topn_rank vote_scores
 prefix_accuracy choose_topn topn_semi_join feature_distance_sax feature_distance_sfa feature_distance_rise cluster_features
 centroid_votes final_predict greedy_k pipeline_test_accuracy forest_features forest_feature_values forest_test_accuracy forest_majority_vote tree_shape daily_event_series
 monthly_revenue_series streamed_daily_sums wide_value_rows""".split()

@@ -58,6 +58,19 @@ SAX = f"""{win(16)}, {Z},
 words AS (SELECT series_id, label, split, "offset", {letters("list_transform(range(8), lambda i: (z[2 * i + 1] + z[2 * i + 2]) / 2)", GAUSS)} AS word FROM z)"""
 
 
+# Models of word bags by class, their predictions and correct answers.
+ENSEMBLE = f"""ww AS (SELECT width, series_id, label, split, x[o + 1 : o + width] AS w FROM (SELECT *, unnest(range(len(x) - width + 1)) AS o FROM s, unnest([8, 16, 24, 32, 40, 48]) t(width))),
+wz AS (SELECT * EXCLUDE (w), CASE WHEN sd < 0.001 THEN list_transform(w, lambda v: 0::DOUBLE) ELSE list_transform(w, lambda v: (v - mu) / sd) END AS z FROM (SELECT *, list_avg(w) AS mu, {sd_samp("w")} AS sd FROM ww)),
+words AS (SELECT (width // 8 - 1)::INTEGER AS param_id, series_id, label, split, {letters("list_transform(range(8), lambda i: list_avg(z[i * width // 8 + 1 : (i + 1) * width // 8]))", GAUSS)} AS word FROM wz),
+tf AS (SELECT param_id, label, word, count(*) AS tf FROM words WHERE split = 'train' GROUP BY ALL),
+cw AS (SELECT *, (1 + ln(tf)) * ln(1 + (SELECT count(DISTINCT label) FROM tf) / (count(*) OVER (PARTITION BY param_id, word))::DOUBLE) AS weight FROM tf),
+cv AS (SELECT param_id, label, word, weight / sqrt(sum(weight * weight) OVER (PARTITION BY param_id, label)) AS weight FROM cw),
+sc AS (SELECT param_id, w.series_id, w.split, w.label AS truth, v.label, round(sum(weight), 9) AS score FROM words w JOIN cv v USING (param_id, word) WHERE split <> 'train' GROUP BY ALL),
+pr AS (SELECT param_id, series_id, split, truth, max(struct_pack(score := score, label := label)).label AS predicted FROM sc GROUP BY ALL),
+models AS (SELECT param_id, count(*) FILTER (predicted = truth) AS correct FROM pr WHERE split = 'validate' GROUP BY 1),
+best AS (SELECT * FROM models WHERE correct >= (SELECT max(correct) FROM models) * 0.92)"""
+
+
 def lags(n: int, most: int, source: str = "s") -> str:
     """acf(series_id, label, split, lag, r)."""
     a, b = f"x[1 : {n} - lag]", f"x[lag + 1 : {n}]"
@@ -211,6 +224,10 @@ SELECT series_id, coalesce(min(k) FILTER (rises), 12)::INTEGER AS p FROM up GROU
     "sax_mindist": f"""WITH {S}, {SAX}, e AS (SELECT series_id, min_by(word, "offset") AS a, max_by(word, "offset") AS b FROM words GROUP BY 1),
 g AS (SELECT series_id, ascii(substr(a, i + 1, 1)) - 97 AS p, ascii(substr(b, i + 1, 1)) - 97 AS q FROM (SELECT *, unnest(range(8)) AS i FROM e))
 SELECT series_id, {r6('sqrt(sum(CASE WHEN abs(p - q) <= 1 THEN 0 ELSE pow(' + str(CUTS) + '[greatest(p, q)] - ' + str(CUTS) + '[least(p, q) + 1], 2) END) * 2)')} AS d FROM g GROUP BY 1""",
+    "ensemble_models": f"WITH {S}, {ENSEMBLE} SELECT param_id, correct FROM best",
+    "ensemble_vote": f"""WITH {S}, {ENSEMBLE}, v AS (SELECT series_id, predicted AS label, sum(correct) AS weight, count(*) AS n FROM pr JOIN best USING (param_id) WHERE split = 'test' GROUP BY ALL),
+m AS (SELECT series_id, max(struct_pack(weight := weight, label := label)) AS b, sum(n) AS n FROM v GROUP BY 1)
+SELECT series_id, b.label AS predicted, b.weight::BIGINT AS weight, n::BIGINT AS n_models FROM m""",
     "acf": f"WITH {S}, {lags(64, 16)} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
     "acf_interval": f"WITH {S}, si AS (SELECT * REPLACE (x[9:40] AS x) FROM s), {lags(32, 8, 'si')} SELECT series_id, lag::INTEGER AS lag, {r6('r')} AS r FROM acf",
     "acf_normalized": f"""WITH {S}, z AS (SELECT series_id, list_transform(x, lambda v: (v - list_avg(x)) / {sd_pop('x')}) AS x FROM s), l AS (SELECT *, unnest(range(1, 17)) AS lag FROM z),
