@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What stored() has written since distilled() began; None outside it.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as Parquet below spark.checkpoint.dir, read again: computed once, with its lineage cut.
@@ -16,6 +21,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
+    if (written := WRITTEN.get()) is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -28,3 +35,30 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="wavelode-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def distilled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s rows, stored; the tables that stored() wrote meanwhile are then deleted.
+
+    Until the result is written whole they stay, so tasks of a lost executor can run again. Nothing
+    that make() leaves behind but its rows may read them.
+    """
+    token = WRITTEN.set([])
+    try:
+        rows = make()
+        between = list(WRITTEN.get())
+        result = stored(rows, label)
+        kept = WRITTEN.get()[len(between) :]
+    finally:
+        WRITTEN.reset(token)
+    if (outer := WRITTEN.get()) is not None:
+        outer.extend(kept)
+    delete(result.sparkSession, between)
+    return result
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders of the shared file system, whatever kind it is."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
