@@ -1,14 +1,14 @@
-"""Helpers shared by the corpus operators: shared storage, skew-proof lookups, sampling."""
+"""Helpers shared by the corpus operators: skew-proof lookups, sampling; storage is the library's."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelode.sources.storage import distilled, shared_folder, stored
+
+__all__ = ["distilled", "shared_folder", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words are runs of anything but these six characters, in Java's and RE2's notation.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,31 +19,6 @@ HOT = 1000
 FILTER_BITS = 1 << 22
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent and all tasks run in this process does a local folder take its
-    place; on a cluster without the setting there is no folder that all can reach, which is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="wavelode-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: the lineage ends here.
-
-    Unlike checkpoint() it computes df once and keeps sizes for the planner.
-    """
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def packed(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """Column `row`, a struct of all of docs' columns, beside copies of those named. So an operator's own
     columns can't clash with docs'; select("row.*") gives docs' rows back."""

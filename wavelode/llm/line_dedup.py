@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, kind_of, maybe_in, stored
+from .common import HOT, distilled, kind_of, maybe_in, stored
 from .components import components
+from .exact_dedup import located
 
 MOST_EDITS, MIN_BYTES = 2, 20
 #: members() and deduplicated() allow a line an edit for every so many bytes, MOST_EDITS at most.
@@ -32,6 +33,8 @@ CLASSES, PAIR_CLASSES = 31, 62
 #: Keys of more lines than HOT_ROWS are split by sketches, but at most HOT_KEYS of them, the fullest
 #: ones: so many rows of 9 bytes are broadcast, however large the input is.
 HOT_ROWS, HOT_KEYS = 8, 1 << 18
+#: A row's Parquet file and its number there.
+PLACE = ["file", "at"]
 #: Columns after which the verification looks whether a pair can still be within bounds.
 BLOCK = 16
 
@@ -222,40 +225,46 @@ def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_bytes: int = MIN_B
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text), written: a number tells rows apart, as ids may repeat or be null."""
-    rows = docs.select("doc_id", "text")
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
+    """(file, at, doc_id, text): a Parquet file and the row in it tell rows apart, as ids may repeat or be
+    null. Rows that don't come straight from files, or share a file's row, are written first."""
+    rows = located(docs)
+    if rows.select("locator").distinct().count() < rows.count():
+        rows = located(stored(docs.select("doc_id", "text"), "line-docs"))
+    return rows.select(F.col("locator.file").alias("file"), F.col("locator.row").alias("at"), "doc_id", "text")
 
 
-def occurrences(base: DataFrame, most: int, per_edit: int) -> DataFrame:
-    """(row, doc_id, pos, line_md5, class_id, kept), written: every line of numbered rows. Lines are told
-    apart by their MD5, as in line_classes."""
-    classes = stored(line_classes(base, most, per_edit * most, per_edit).select("line_md5", "n", "n_links", "class_id", "class_doc"), "line-classes")
-    several = classes.where("n > 1 or n_links > 0").select(
-        F.unhex("line_md5").alias("digest"), "n", F.unhex("class_id").alias("class"), "class_doc"
-    )
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    split = base.select("row", "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def placed_lines(base: DataFrame) -> DataFrame:
+    """(file, at, doc_id, pos, h, digest): every line of numbered rows; h is a hash of its text, digest the line's MD5."""
+    split = base.select(*PLACE, "doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     split = split.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
-    # Of a class, the first place in the smallest id stays; of rows with that id, by the hash of their texts.
-    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("h").bitwiseAND((1 << 32) - 1))
-    rows = split.select("row", "doc_id", "pos", place.alias("place"), F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
-    found = stored(attach(rows, several, "digest", total, "left"), "line-occurrences")
-    firsts = found.where(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_doc"))).groupBy("class").agg(
-        F.min_by("row", "place").alias("row"), F.shiftright(F.min("place"), 32).cast("int").alias("pos")
-    )
-    # By place, not by class: one class may hold a large part of all lines.
-    joined = found.where(F.col("class").isNotNull()).join(firsts.select("row", "pos", F.lit(True).alias("kept")), ["row", "pos"], "left")
-    columns = ["row", "doc_id", "pos", "digest", "class", "kept"]
-    every = joined.select(*columns).unionByName(found.where(F.col("class").isNull()).withColumn("kept", F.lit(True)).select(*columns))
-    hexed = lambda c: F.lower(F.hex(c))
-    return stored(
-        every.select(
-            "row", "doc_id", "pos", hexed("digest").alias("line_md5"), hexed(F.coalesce("class", "digest")).alias("class_id"),
-            F.coalesce("kept", F.lit(False)).alias("kept"),
-        ),
-        "line-kept",
-    )
+    return split.select(*PLACE, "doc_id", "pos", "h", F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest"))
+
+
+def occurrences(base: DataFrame, most: int, per_edit: int) -> DataFrame:
+    """(file, at, pos, class, h, leads), written: the lines of numbered rows that repeat or have links; leads:
+    the row has the smallest id of the class. Lines are told apart by their MD5, as in line_classes."""
+
+    def several() -> DataFrame:
+        rows = line_classes(base, most, per_edit * most, per_edit).where("n > 1 or n_links > 0")
+        return rows.select(F.unhex("line_md5").alias("digest"), "n", F.unhex("class_id").alias("class"), "class_doc")
+
+    # What the search for links wrote, all lines among it, isn't needed after this.
+    known = distilled(several, "line-several")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Lines with over 1 / HOT of these places, HOT at most, are dealt over salts.
+    hot = F.broadcast(known.where(F.col("n") > total / HOT).select("digest", F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    keys = known.join(hot, "digest", "left").select("digest", "class", "class_doc", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    rows = placed_lines(base).join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64(*PLACE, "pos"), salts).cast("int"))
+    found = rows.join(keys, ["digest", "salt"])
+    return stored(found.select(*PLACE, "pos", "class", "h", F.col("doc_id").eqNullSafe(F.col("class_doc")).alias("leads")), "line-places")
+
+
+def firsts(found: DataFrame) -> DataFrame:
+    """(file, at, pos) of the line that stays of each class: the first place in the smallest id; of rows with
+    that id, by the hash of their texts."""
+    first = F.min(F.struct("pos", "h", *PLACE)).alias("first")
+    return found.where("leads").groupBy("class").agg(first).select("first.file", "first.at", "first.pos")
 
 
 def members(docs: DataFrame, most: int = MOST_EDITS, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
@@ -265,20 +274,34 @@ def members(docs: DataFrame, most: int = MOST_EDITS, per_edit: int = BYTES_PER_E
     its shorter line, up to `most`. Of each class one line is kept: the first one in the smallest doc_id
     (null ids come last). Repeated rows give repeated rows, of which one at most is kept.
     """
-    return occurrences(numbered(docs), most, per_edit).drop("row")
+    base, at = numbered(docs), [*PLACE, "pos"]
+    found = occurrences(base, most, per_edit)
+    # By place, not by class: one class may hold a large part of all lines.
+    marked = found.select(*at, "class").join(firsts(found).withColumn("first", F.lit(True)), at, "left")
+    every = placed_lines(base).join(marked, at, "left")
+    hexed = lambda c: F.lower(F.hex(c))
+    return every.select(
+        "doc_id", "pos", hexed("digest").alias("line_md5"), hexed(F.coalesce("class", "digest")).alias("class_id"),
+        F.coalesce("first", F.col("class").isNull()).alias("kept"),
+    )
 
 
 def deduplicated(docs: DataFrame, most: int = MOST_EDITS, per_edit: int = BYTES_PER_EDIT) -> DataFrame:
     """Per row of docs: doc_id, text without the lines that members() doesn't keep, n_lines and n_kept.
 
-    Other lines, empty ones too, stay as they are and in order. A null text stays null.
+    Other lines, empty ones too, stay as they are and in order. A null text stays null. Texts are
+    shuffled once, to the places of the lines that go.
     """
     base = numbered(docs)
-    sums = occurrences(base, most, per_edit).groupBy("row").agg(
-        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("dropped")
-    )
-    rest = let("p", "split(text, '\\n', -1)", "array_join(transform(array_except(sequence(0, size(p) - 1), dropped), i -> get(p, i)), '\n')")
-    text = F.when(F.size("dropped") > 0, F.expr(rest)).otherwise(F.col("text"))
-    return base.join(sums, "row", "left").select(
-        "doc_id", text.alias("text"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_kept", F.lit(0)).alias("n_kept")
-    )
+    found = occurrences(base, most, per_edit)
+    places = found.groupBy(*PLACE).agg(F.collect_list("pos").alias("places"))
+    stay = firsts(found).groupBy(*PLACE).agg(F.collect_list("pos").alias("stay"))
+    gone = F.when(F.col("stay").isNull(), F.col("places")).otherwise(F.array_except("places", "stay"))
+    marks = places.join(stay, PLACE, "left").select(*PLACE, gone.alias("gone"))
+    n_lines = F.coalesce(F.expr("cast(size(filter(split(text, '\n', -1), x -> btrim(x, ' \t\r\f\u000B') <> '')) as long)"), F.lit(0).cast("long"))
+    rest = let("p", "split(text, '\n', -1)", "array_join(transform(array_except(sequence(0, size(p) - 1), gone), i -> get(p, i)), '\n')")
+    rows = base.join(marks.hint("shuffle_hash"), PLACE, "left").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines))
+    return rows.select(
+        "doc_id", F.when(F.size("gone") > 0, F.expr(rest)).otherwise(F.col("text")).alias("text"),
+        "n_lines", (F.col("n_lines") - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))).alias("n_kept"),
+    )
