@@ -205,3 +205,14 @@ def test_texts_of_repeated_rows_and_null_ids(spark):
     assert sum(r.n_kept for r in got) == 3 and sum(r.n_lines for r in got) == 7
     assert sorted((r.text for r in got if r.doc_id == 4), key=len) == ["", "one\ntwo"]
     assert line_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_of_rows_that_share_a_files_row_and_of_a_hot_line(spark, tmp_path):
+    rows = [(i, f"the same line in every text\nan own line, {hashlib.md5(bytes([i])).hexdigest()}") for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    plain = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    assert plain[0].text == rows[0][1] and all(plain[i].text == rows[i][1].split("\n")[1] for i in range(1, 40))
+    twice = line_dedup.deduplicated(docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))).collect()
+    assert len(twice) == 80 and sum(r.n_lines for r in twice) == 160 and sum(r.n_kept for r in twice) == 41
+    assert sorted(line for r in twice for line in r.text.split("\n") if line) == sorted({line for _, text in rows for line in text.split("\n")})
