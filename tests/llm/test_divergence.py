@@ -6,6 +6,8 @@ from collections import Counter
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -104,3 +106,45 @@ def test_ordinals_follow_utf8_order(spark):
 def test_exact_arithmetic_beyond_longs(spark):
     df = spark.createDataFrame([(40_000_000_000_000, 90_000_000_000_000, 7)], "c long, n long, v long")
     assert df.select(D.probability(F.col("c"), F.col("n"), F.col("v"))).first()[0] == 1 + 1_000_000_000 * 40_000_000_000_001 // 90_000_000_000_007
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aAzZ[@`{ 1-éſ日İ😀", max_size=8), max_size=8), st.integers(0, 2), st.integers(1, 12))
+def test_terms_of_texts_side_by_side(texts, skipped, part):
+    column = pa.array([t.encode() for t in texts], pa.binary())[skipped:]
+    got = [[] for _ in column]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(D, "PART", part)
+        for k, some in D._parts(column) if len(column) else ():
+            terms, at, text = D.terms_of(some)
+            for a, t in zip(at.tolist(), text.tolist(), strict=True):
+                got[k + t].append(terms[a].as_py())
+    assert got == [[x.lower() for x in re.findall(rb"[A-Za-z\x80-\xff]+", t.as_py())] for t in column]
+
+
+@pytest.mark.parametrize("counted", [1, 8, 1000])
+def test_small_parts_merged_counts_and_cut_rows_against_plain_counting(spark, monkeypatch, counted):
+    for name, value in (("BLOCK", 4), ("PART", 24), ("ROW_BYTES", 30), ("SIDE_BY_SIDE", 3), ("MOST_COUNTED", counted), ("DOCS_A_SALT", 40)):
+        monkeypatch.setattr(D, name, value)
+    rows = made(3, 100)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert sorted(map(tuple, D.audit(df, 3, 4).collect())) == plain(rows, 3, 4)
+
+
+def shuffled(plan):
+    """Rows that a plan's exchanges wrote, after it ran, largest first."""
+    kind, children = plan.getClass().getSimpleName(), plan.children()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [children.apply(k) for k in range(children.size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return sorted([x for p in below for x in shuffled(p)] + ([own.get().value()] if own.isDefined() else []), reverse=True)
+
+
+def test_counted_terms_are_shuffled_many_in_a_row(spark):
+    """A row a term cost more than the time there is: its sort and its way into and out of Python."""
+    words = [a + b + c for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl"]
+    docs = D.prepared(spark.createDataFrame([(" ".join(words), "l", s) for s in ("s", "s", "t")], SCHEMA).coalesce(1)).localCheckpoint()
+    machines = D.transducers(D.numbered(D.document_frequencies(docs).where("df >= 3")))
+    got = D.recounted(docs, machines, 1)
+    assert sorted((r["source"], r["ordinal"], r["n"]) for r in got.collect()) == [(s, k, n) for s, n in (("s", 2), ("t", 1)) for k in range(len(words))]
+    sums, *lines = shuffled(got._jdf.queryExecution().executedPlan())
+    assert sums == 2 * len(words) and sum(lines) < 20  # 12 bytes and 3 letters each, in rows of 4096 bytes

@@ -9,9 +9,7 @@ terms are numbers, whose order is that of the terms.
 
 from __future__ import annotations
 
-import re
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +21,19 @@ from pyspark.sql import functions as F
 from .common import stored
 from .transducer import Transducer
 
-#: Runs of letters: in UTF-8 every byte of a character beyond ASCII is one of \x80-\xff.
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: Bytes of a term: A-Z, a-z and in UTF-8 every byte of a character beyond ASCII; and what A-Z become.
+LETTER, LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+LOWER[65:91] += 32
+#: Bytes of whole texts whose terms are found side by side in arrays.
+PART = 1 << 22
 #: Terms of a transducer. What the driver knows of the vocabulary is the first term of each.
 BLOCK = 16_384
-#: A task hands its counts on when it holds so many different terms or tokens.
-MOST_COUNTED, MOST_TOKENS = 400_000, 6_000_000
+#: A task hands its counts on when it holds so many different terms, or has met so many tokens or bytes of terms.
+MOST_COUNTED, MOST_TOKENS, MOST_BYTES = 400_000, 6_000_000, 1 << 28
+#: Bytes of a source's terms and counts in a row of the shuffle, but for one term that is longer: Spark hands
+#: Python 10 000 rows at once. Terms looked up side by side.
+ROW_BYTES, SIDE_BY_SIDE = 4096, 1 << 18
 #: Documents to a salt: the terms of so many meet in one stream of a transducer.
 DOCS_A_SALT = 500_000
 #: Terms and sources of a tile in which distributions are compared as one block of numbers.
@@ -41,38 +46,77 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """A text's terms, A-Z lower-cased and nothing else."""
-    return TERM.findall(text.lower())
-
-
-def _strings(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary()).cast(pa.string())
-
-
-class _Ids(dict):
-    """Numbers for terms, from 0 in the order in which they come."""
-
-    def __missing__(self, term: bytes) -> int:
-        self[term] = n = len(self)
-        return n
-
-    def of(self, terms: list[bytes] | set[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, terms), np.int32, len(terms))
-
-
-def _tallied(tokens: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers below size that occur, and how often."""
-    ids = np.concatenate(tokens)
-    if 8 * len(ids) < size:
-        return np.unique(ids, return_counts=True)
-    n = np.bincount(ids, minlength=size)
-    at = np.flatnonzero(n)
-    return at, n[at]
-
-
-def _full(known: dict[str, _Ids], tokens: int) -> bool:
-    return tokens > MOST_TOKENS or sum(map(len, known.values())) > MOST_COUNTED
+def _begins(line: np.ndarray) -> np.ndarray:
+    """Where a sorted array's different values begin."""
+    return np.flatnonzero(np.append(True, line[1:] != line[:-1])[: len(line)])
+
+
+def _by(column: pa.Array):
+    """Each value of a column of texts, with the places that have it."""
+    found = column.dictionary_encode()
+    at = found.indices.to_numpy()
+    for k, value in enumerate(found.dictionary.to_pylist()):
+        yield value, np.flatnonzero(at == k)
+
+
+def _parts(texts: pa.Array):
+    """(first, texts): binary texts in parts of about PART bytes, none cut."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    edges = [*_begins((ends[:-1] - ends[0]) // PART).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield a, texts[a:b]
+
+
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of binary texts: their different terms, A-Z lower-cased and nothing else, and each token's term and text, as places."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letter = LETTER[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    new = ends[:-1][ends[:-1] < len(data)]
+    first[new] = letter[new]  # a text's first letter doesn't go on with the text before
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(np.flatnonzero(first), ends)))
+    letters = LOWER[data[letter]]
+    bounds = np.append(np.flatnonzero(first[letter]), len(letters)).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+    return tokens.dictionary, tokens.indices.to_numpy(), text
+
+
+class _Counts:
+    """Numbers by language, group (a whole number) and term, in parts that are merged when they are many."""
+
+    def __init__(self):
+        self.parts: dict[str, list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.terms = self.tokens = self.bytes = 0
+
+    def add(self, lang: str, terms: pa.Array, group: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        self.parts.setdefault(lang, []).append((terms, group, at, n))
+        self.terms += len(terms)
+        self.tokens += int(n.sum())
+        self.bytes += terms.nbytes
+
+    def full(self) -> bool:
+        if self.terms > 2 * MOST_COUNTED:
+            self.parts = {lang: [self.of(lang)] for lang in self.parts}
+            self.terms = sum(len(parts[0][0]) for parts in self.parts.values())
+            if self.terms > MOST_COUNTED:
+                return True
+        return self.tokens > MOST_TOKENS or self.bytes > MOST_BYTES
+
+    def of(self, lang: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """A language's different terms, and group, place among the terms and number of each pair that occurs, in this order."""
+        parts = self.parts[lang]
+        known = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        place, size = known.indices.to_numpy().astype(np.int64), max(1, len(known.dictionary))
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        key = np.concatenate([p[1] * size + place[before[k] + p[2]] for k, p in enumerate(parts)])
+        order = np.argsort(key)
+        key = key[order]
+        first = _begins(key)
+        n = np.add.reduceat(np.concatenate([p[3] for p in parts])[order], first) if len(first) else first
+        return known.dictionary, key[first] // size, key[first] % size, n
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -80,25 +124,23 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         def handed():
-            for lang, ids in known.items():
-                if ids:
-                    at, n = _tallied(seen[lang], len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), _strings(list(ids)).take(pa.array(at)), pa.array(n, pa.int64())], names=["lang", "term", "df"])
-
-        known: dict[str, _Ids] = {}
-        seen: dict[str, list[np.ndarray]] = {}
-        tokens = 0
+            for lang in held.parts:
+                terms, _, _, n = held.of(lang)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), terms.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "term", "df"])
+
+        held = _Counts()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                once = known.setdefault(lang, _Ids()).of(set(terms_of(text.as_py())))
-                seen.setdefault(lang, []).append(once)
-                tokens += len(once)
-                if tokens > MOST_TOKENS:
-                    yield from handed()
-                    known, seen, tokens = {}, {}, 0
-            if _full(known, tokens):
-                yield from handed()
-                known, seen, tokens = {}, {}, 0
+            for lang, rows in _by(batch.column(0)):
+                for _, texts in _parts(batch.column(1).take(pa.array(rows))):
+                    terms, at, text = terms_of(texts)
+                    if not len(terms):
+                        continue
+                    key = np.sort(text * len(terms) + at)
+                    df = np.bincount(key[_begins(key)] % len(terms))
+                    held.add(lang, terms, np.zeros(len(terms), np.int64), np.arange(len(terms)), df)
+                    if held.full():
+                        yield from handed()
+                        held = _Counts()
         yield from handed()
 
     partial = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(work, "lang string, term string, df long")
@@ -139,9 +181,9 @@ SOURCE_BITS = 29
 def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
     """(lang, source, ordinal, place, n): occurrences of the kept terms, from a pass of all texts through the transducers.
 
-    A task counts its texts' terms by language and source and sends each to its block; there the transducer
-    comes first in a sorted stream of terms, so a task holds one transducer and one source's counts. Rows are sorted
-    by one number: block, salt, then a hash of the source. place numbers the terms of all languages.
+    A task counts its texts' terms by language and source and sends each to its block, many of a source in a row;
+    there the transducer comes first in a sorted stream of such rows, so a task holds one transducer and one source's counts.
+    Rows are sorted by one number: block, salt, then a hash of the source. place numbers the terms of all languages.
     """
     firsts: dict[str, list[bytes]] = {}
     base: dict[str, int] = {}
@@ -151,86 +193,107 @@ def recounted(docs: DataFrame, machines: DataFrame, salts: int) -> DataFrame:
     starts = docs.sparkSession.createDataFrame(sorted(base.items()), "lang string, base long")  # a row for each language
 
     def count(batches):
-        names = ["spot", "line", "source", "term", "n"]
         flushes = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def handed():
-            for lang, ids in known.items():
-                if not ids:
-                    continue
-                terms = list(ids)
-                blocks = np.fromiter((bisect_right(firsts[lang], t) for t in terms), np.int64, len(terms)) - 1
-                strings = _strings(terms)
-                for source, arrays in spoken[lang].items():
-                    at, n = _tallied(arrays, len(ids))
-                    some = blocks[at] >= 0  # below the first kept term there is none
-                    at, n = at[some], n[some]
-                    spot = (blocks[at] + base[lang]) * salts + flushes % salts
-                    line = (spot << SOURCE_BITS + 1) + (1 << SOURCE_BITS) + zlib.crc32(source.encode()) % (1 << SOURCE_BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(line), pa.repeat(source, len(at)), strings.take(pa.array(at)), pa.array(n, pa.int64())], names=names)
-
-        known: dict[str, _Ids] = {}
-        spoken: dict[str, dict[str, list[np.ndarray]]] = {}
-        tokens = 0
+            names, hashes = pa.array(sources, pa.string()), np.array([zlib.crc32(s.encode()) % (1 << SOURCE_BITS) for s in sources], np.int64)
+            for lang in held.parts:
+                terms, source, at, n = held.of(lang)
+                marks = pa.array(firsts[lang], pa.binary())
+                order = pc.array_sort_indices(pa.concat_arrays([marks, terms])).to_numpy().astype(np.int64)
+                mark = order < len(marks)  # stands before the term that is the same
+                blocks, order = (np.cumsum(mark) - 1)[~mark], order[~mark] - len(marks)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                at = place[at]
+                line = np.argsort(source * len(order) + at)
+                line = line[blocks[at[line]] >= 0]  # below the first kept term there is none
+                source, at, n = source[line], at[line], n[line]
+                block = blocks[at]
+                new = _begins(source * (len(marks) + 1) + block)
+                texts = terms.take(pa.array(order[at])).cast(pa.string())
+                size = np.cumsum(np.append(0, pc.binary_length(texts).to_numpy() + 12))  # with an offset and a count
+                within = (size[:-1] - np.repeat(size[new], np.diff(np.append(new, len(at))))) // ROW_BYTES
+                new = np.union1d(new, 1 + np.flatnonzero(within[1:] != within[:-1]))
+                bounds = pa.array(np.append(new, len(at)), pa.int32())
+                spot = (block[new] + base[lang]) * salts + flushes % salts
+                key = (spot << SOURCE_BITS + 1) + (1 << SOURCE_BITS) + hashes[source[new]]
+                lists = [pa.ListArray.from_arrays(bounds, x) for x in (texts, pa.array(n, pa.int64()))]
+                rows = pa.RecordBatch.from_arrays([pa.array(spot), pa.array(key), names.take(pa.array(source[new])), *lists], names=["spot", "line", "source", "terms", "n"])
+                edges = [*_begins(new // SIDE_BY_SIDE).tolist(), len(new)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    yield rows[a:b]
+
+        held, sources = _Counts(), {}
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for lang, rows in _by(batch.column(0)):
                 if lang not in firsts:
                     continue
-                ids = known.setdefault(lang, _Ids()).of(terms_of(text.as_py()))
-                spoken.setdefault(lang, {}).setdefault(source, []).append(ids)
-                tokens += len(ids)
-                if tokens > MOST_TOKENS:
-                    yield from handed()
-                    known, spoken, tokens, flushes = {}, {}, 0, flushes + 1
-            if _full(known, tokens):
-                yield from handed()
-                known, spoken, tokens, flushes = {}, {}, 0, flushes + 1
+                spoken = batch.column(1).take(pa.array(rows)).dictionary_encode()
+                for k, texts in _parts(batch.column(2).take(pa.array(rows))):
+                    terms, at, text = terms_of(texts)
+                    if not len(terms):
+                        continue
+                    number = np.array([sources.setdefault(s, len(sources)) for s in spoken.dictionary.to_pylist()], np.int64)
+                    key = np.sort(number[spoken.indices.to_numpy()[k + text]] * len(terms) + at)
+                    first = _begins(key)
+                    held.add(lang, terms, key[first] // len(terms), key[first] % len(terms), np.diff(np.append(first, len(key))))
+                    if held.full():
+                        yield from handed()
+                        held, sources, flushes = _Counts(), {}, flushes + 1
         yield from handed()
 
     def walk(batches):
-        machine = sums = key = lang = None
+        machine = sums = source = lang = None
         block = place = 0
         names = ["lang", "source", "ordinal", "place", "n"]
 
         def made():
             at = np.flatnonzero(sums)
             k = len(at)
-            return pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.repeat(key[1], k), pa.array(at + block * BLOCK), pa.array(at + place * BLOCK), pa.array(sums[at])], names=names)
+            return pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.repeat(source, k), pa.array(at + block * BLOCK), pa.array(at + place * BLOCK), pa.array(sums[at])], names=names)
 
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
-            changes = pc.not_equal(column["line"][1:], column["line"][:-1]).to_numpy(zero_copy_only=False)
-            changes = changes | pc.not_equal(column["source"][1:], column["source"][:-1]).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
+            ends = np.cumsum(pc.list_value_length(column["terms"]).to_numpy())
+            heads = np.flatnonzero(column["machine"].is_valid().to_numpy(zero_copy_only=False))
+            new = pc.not_equal(column["source"][1:], column["source"][:-1]).to_numpy(zero_copy_only=False)
+            edges = np.unique([*heads, *_begins(ends // SIDE_BY_SIDE), batch.num_rows]).tolist()
+            for a, b in zip([0, *edges], edges, strict=False):
                 if a == b:
                     continue
-                now = (column["spot"][a].as_py(), column["source"][a].as_py())
                 packed = column["machine"][a].as_py()
                 if packed is not None:
                     if sums is not None:
                         yield made()
-                    machine, sums, key = Transducer.unpacked(packed), None, None
-                    place, lang = now[0] // salts, now[1]
+                    machine, sums, source = Transducer.unpacked(packed), None, None
+                    place, lang = column["spot"][a].as_py() // salts, column["source"][a].as_py()
                     block = place - base[lang]
-                    continue
-                if now != key:
-                    if sums is not None:
-                        yield made()
-                    sums, key = np.zeros(machine.size, np.int64), now
-                terms = column["term"][a:b]
+                    a += 1
+                    if a == b:
+                        continue
+                terms, n = column["terms"][a:b].flatten(), column["n"][a:b].flatten().to_numpy()
                 offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
                 found = machine.ordinals(offsets, np.frombuffer(terms.buffers()[2] or b"", np.uint8))
-                some = found >= 0
-                np.add.at(sums, found[some], column["n"][a:b].to_numpy()[some])
+                start = ends[a - 1] if a else 0
+                runs = [a, *(a + 1 + np.flatnonzero(new[a : b - 1])).tolist(), b]
+                for i, j in zip(runs, runs[1:], strict=False):
+                    now = column["source"][i].as_py()
+                    if now != source:
+                        if sums is not None:
+                            yield made()
+                        sums, source = np.zeros(machine.size, np.int64), now
+                    here = slice((ends[i - 1] if i else 0) - start, ends[j - 1] - start)
+                    some = found[here] >= 0
+                    np.add.at(sums, found[here][some], n[here][some])
         if sums is not None:
             yield made()
 
     text = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    rows = text.mapInArrow(count, "spot long, line long, source string, term string, n long").withColumn("machine", F.lit(None).cast("binary"))
+    rows = text.mapInArrow(count, "spot long, line long, source string, terms array<string>, n array<long>").withColumn("machine", F.lit(None).cast("binary"))
     heads = machines.join(starts, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spot = (F.col("base") + F.col("block")) * salts + F.col("salt")
-    heads = heads.select(spot.alias("spot"), F.shiftleft(spot, SOURCE_BITS + 1).alias("line"), F.col("lang").alias("source"), F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "machine")
+    heads = heads.select(spot.alias("spot"), F.shiftleft(spot, SOURCE_BITS + 1).alias("line"), F.col("lang").alias("source"), F.array().cast("array<string>").alias("terms"), F.array().cast("array<long>").alias("n"), "machine")
     line = heads.unionByName(rows).repartition("spot").sortWithinPartitions("line")
     sums = line.mapInArrow(walk, "lang string, source string, ordinal long, place long, n long")
     return sums.groupBy("place", "source", "lang", "ordinal").agg(F.sum("n").alias("n"))
