@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wavelode.functions import sliding, spectra, symbols
-from wavelode.operators import forest
+from wavelode.operators import forest, splits
 from wavelode.operators.candidates import Interval, Words
 from wavelode.sources import storage
 
@@ -76,3 +76,22 @@ def test_distances_of_many_rows_and_of_few(spark):
         a, q = rng.integers(0, 5, (rows, 7, 30)), rng.integers(0, 5, (11, 30))
         want = np.abs(a[:, :, None] - q[None, None]).sum(3).min(1)
         assert (sliding.least_distances(sliding.packed(a, 5), sliding.packed(q, 5)) == want).all()
+
+
+def test_splits_in_a_task_are_those_of_the_expressions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, a, float(np.round(rng.normal(), 1)) if a else 3.0, int(rng.integers(0, 4)), int(rng.integers(1, 3))) for k in range(2) for a in range(4) for _ in range(80)]
+    df = spark.createDataFrame(rows, "k int, attribute int, value double, label int, n long")
+    got, want = ({(r.k, r.attribute): (r.threshold, r.wgini) for r in f(df, ["k"], "n").collect()} for f in (splits.task_gini_splits, splits.small_gini_splits))
+    assert got == want and len(got) == 6
+
+
+def test_a_large_nodes_rows_are_dealt_over_tasks(spark, monkeypatch):
+    _, series = made(spark)
+    seen = []
+    real = forest.histograms
+    monkeypatch.setattr(forest, "histograms", lambda heads, members, f, cuts: seen.append((f.salt_rows, members.select("salt").distinct().count())) or real(heads, members, f, cuts))
+    many = series.crossJoin(spark.range(40)).select((F.col("series_id") + 100 * F.col("id")).alias("series_id"), "label", "split", "x")
+    f = forest.grow(many, forest.Settings(trees=4, word_tries=1, interval_tries=1, depth=1, task_rows=1000, word_params=PARAMS[:1], intervals=INTERVALS[:1]))
+    assert seen == [(1080, 2)]  # 4 * 2160 rows over 2 * 4 tasks
+    assert f.nodes.where("node_id = 'r' and n = 2160").count() == 4
