@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wavelode.functions import sliding, spectra, symbols
-from wavelode.operators import forest, splits
+from wavelode.operators import filtering, forest, splits
 from wavelode.operators.candidates import Interval, Words
+from wavelode.plans import catalogue
 from wavelode.sources import storage
 
 PARAMS = [Words("SAX", 12, 6), Words("SFA", 12, 6), Words("SFA", 24, 8)]
@@ -95,3 +96,21 @@ def test_a_large_nodes_rows_are_dealt_over_tasks(spark, monkeypatch):
     f = forest.grow(many, forest.Settings(trees=4, word_tries=1, interval_tries=1, depth=1, task_rows=1000, word_params=PARAMS[:1], intervals=INTERVALS[:1]))
     assert seen == [(1080, 2)]  # 4 * 2160 rows over 2 * 4 tasks
     assert f.nodes.where("node_id = 'r' and n = 2160").count() == 4
+
+
+def test_accuracy_asks_for_the_splits_it_reads_and_is_that_of_all_values(spark, small, monkeypatch):
+    monkeypatch.setattr(catalogue, "FOREST", forest.Settings.pooled(64, words=4, intervals=4, tries=(1, 1), trees=1))
+    real, seen, grown = forest.export_values, [], []
+    grow = catalogue._forest_features
+    monkeypatch.setattr(catalogue, "_forest_features", lambda s, d: grown.append(grow(s, d)) or grown[-1])
+    monkeypatch.setattr(forest, "export_values", lambda f, features, splits_=None, **more: seen.append(splits_) or real(f, features, splits_, **more))
+    got = catalogue.forest_test_accuracy(spark, small).first()
+    assert seen == [("validate",), ("validate", "test")]
+    f, features = grown[0]
+    values = storage.stored(real(f, features), "all-values")
+    acc = filtering.prefix_accuracy(features, values.where("split = 'validate'"), catalogue._split(spark, small, "validate"))
+    n, _ = filtering.choose(storage.stored(acc, "accuracies"), features.count())
+    some, theirs = filtering.top_features(features, n), filtering.top_values(features, values, n)
+    clusters = catalogue._clusters(spark, small, some.drop("rank"), theirs)
+    want = catalogue._test_accuracy(spark, small, *catalogue._search(spark, small, some, theirs, clusters)).first()
+    assert (got.n_filtered, got.accuracy, got.n_features) == (n, want.accuracy, want.n_features)
